@@ -20,7 +20,7 @@ def quality_report(df, value="no2", lat="latitude", lon="longitude", time="time"
     """One row: size, missing cells, value statistics, spatial and temporal extent.
 
     ``exact=False`` takes the median and the distinct times from mergeable sketches in the
-    same single pass.
+    same single pass; the exact median adds the passes of ``exact_quantiles``.
     """
     x = _valid(value)
     distinct = F.count_distinct(time) if exact else F.approx_count_distinct(time)
@@ -42,8 +42,8 @@ def quality_report(df, value="no2", lat="latitude", lon="longitude", time="time"
     )
     if not exact:
         return report
-    median = exact_quantiles(df, [value], [0.5], accuracy).select("quantile").scalar()
-    return report.withColumn("median", median)
+    median = exact_quantiles(df, [value], [0.5], accuracy)[value][0]
+    return report.withColumn("median", F.lit(median).cast("double"))
 
 
 def numeric_columns(df):
@@ -51,27 +51,27 @@ def numeric_columns(df):
 
 
 def describe(df, columns=None, exact=True, accuracy=10_000):
-    """One row per numeric column: count, mean, std, min, quartiles, max."""
+    """One row per numeric column: count, mean, std, min, quartiles, max.
+
+    One aggregate pass; exact quartiles add the passes of ``exact_quantiles``.
+    """
     columns = columns or numeric_columns(df)
+    quartiles = exact_quantiles(df, columns, QUARTILES, accuracy) if exact else None
     aggregates = []
     for c in columns:
         x = _valid(c)
-        fields = [
+        aggregates.append(F.struct(
             F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        ]
-        if not exact:
-            fields += [F.percentile_approx(x, p, accuracy).alias(f"p{int(p * 100)}") for p in QUARTILES]
-        aggregates.append(F.struct(*fields).alias(c))
+            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+            *[
+                (F.lit(quartiles[c][i]).cast("double") if exact else F.percentile_approx(x, p, accuracy))
+                .alias(f"p{int(p * 100)}")
+                for i, p in enumerate(QUARTILES)
+            ],
+            F.max(x).alias("max"),
+        ).alias(c))
     wide = df.agg(*aggregates)
-    table = wide.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
-    if exact:
-        quartiles = exact_quantiles(df, columns, QUARTILES, accuracy).groupBy("column").agg(*[
-            F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(f"p{int(p * 100)}")
-            for p in QUARTILES
-        ])
-        table = table.join(F.broadcast(quartiles), "column", "left")  # one row per column
-    return table.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return wide.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
 
 
 def value_range(df, value="no2"):

@@ -1,134 +1,68 @@
 """Exact order statistics without gathering a column in one task.
 
-The built-in exact ``percentile`` keeps every distinct value of a column in one buffer. Here
-a mergeable sketch (``percentile_approx``, bounded size) first brackets each wanted rank; only
-the values inside the bracket are counted, spread over tasks, and the wanted ranks read off
-the running counts. The sketch only narrows the search: a rank outside its bracket raises.
+The built-in exact ``percentile`` keeps every distinct value of a column in one buffer, so it
+is used only after a count has shown that the column is small. Otherwise a mergeable sketch
+(``percentile_approx``, bounded size) brackets each wanted rank, a histogram of the bracket
+finds the bucket that holds it, and only the values of that bucket are put in order. Like
+``DataFrame.approxQuantile`` these functions run jobs and return a few numbers. The sketch
+only narrows the search: a rank outside its bracket is an error, never a wrong result.
 """
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nitrogrid.functions.classes import is_missing
 
 BUCKETS = 1000
-
-
-def values_at_ranks(df, targets, accuracy=10_000):
-    """Values at rank ``k`` and ``k + 1`` (from 0) for each target.
-
-    ``targets`` is a list of ``(name, column, probability, rank)`` where ``rank`` maps the
-    number of present values (a Column) to ``(k, fraction)``, with ``k`` near
-    ``probability * n``. Result: ``target, n, fraction, value, next_value``, one row per
-    target; the values are null for an empty column.
+SMALL_ROWS = 1_000_000
+
+
+def exact_quantiles(df, columns, probabilities, accuracy=10_000, small_rows=SMALL_ROWS):
+    """Linear-interpolation quantiles: ``{column: [quantile, ...]}``, None for no values."""
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    clean = numbers.select(*[_present(numbers, c) for c in columns])
+    targets = {(c, p): (c, p) for c in columns for p in probabilities}
+    brackets = _brackets(clean, targets, accuracy)
+    if max(n for n, _, _ in brackets.values()) <= small_rows:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = clean.agg(*[F.percentile(c, wanted).alias(c) for c in columns]).first()
+        return {c: list(row[c]) if row[c] else [None] * len(probabilities) for c in columns}
+
+    def position(n, p):
+        return p * (n - 1)
+
+    ranks = {t: math.floor(position(brackets[t][0], t[1])) for t in targets}
+    found = _values_at(clean, targets, brackets, ranks)
+    result = {c: [] for c in columns}
+    for c in columns:
+        for p in probabilities:
+            n = brackets[c, p][0]
+            if not n:
+                result[c].append(None)
+                continue
+            value, following, _, _ = found[c, p]
+            part = position(n, p) - ranks[c, p]
+            result[c].append(value + (following - value) * part if part else value)
+    return result
+
+
+def value_at_share(df, column, share, rank, accuracy=10_000):
+    """Value at ``rank(n)`` (from 0), which must lie near ``share * n``.
+
+    Returns ``value, below, equal, k``: how many rows are smaller, how many are the same,
+    and the rank. None for an empty column.
     """
-    columns = sorted({c for _, c, _, _ in targets})
-    clean = df.select(*[_present(df, c) for c in columns])
-    margin = 4.0 / accuracy
-
-    bounds = []
-    for i, (_, c, p, _) in enumerate(targets):
-        x = F.col(f"`{c}`").cast("double")
-        n = F.count(x)
-        # below `accuracy` rows the bracket is the whole column
-        low, high = p - margin, p + margin
-        lo = F.min(x) if low <= 0 else F.when(n < accuracy, F.min(x)).otherwise(
-            F.percentile_approx(x, F.lit(low), accuracy))
-        hi = F.max(x) if high >= 1 else F.when(n < accuracy, F.max(x)).otherwise(
-            F.percentile_approx(x, F.lit(high), accuracy))
-        bounds.append(F.struct(n.alias("n"), lo.alias("lo"), hi.alias("hi")).alias(f"t{i}"))
-    bracket = clean.agg(*bounds).select(F.struct("*")).scalar()
-
-    wanted = _wanted_ranks(clean, targets, bracket)
-
-    # (target, value) pairs inside a bracket, counted: a hot value is one row
-    hits = F.array(*[
-        F.when(
-            F.col(f"`{c}`").cast("double").between(bracket[f"t{i}"]["lo"], bracket[f"t{i}"]["hi"]),
-            F.struct(
-                F.lit(i).alias("t"),
-                F.col(f"`{c}`").alias("value"),
-                F.coalesce(
-                    F.width_bucket(
-                        F.col(f"`{c}`").cast("double"),
-                        bracket[f"t{i}"]["lo"], bracket[f"t{i}"]["hi"], F.lit(BUCKETS),
-                    ),
-                    F.lit(0),
-                ).alias("bucket"),
-            ),
-        )
-        for i, (_, c, _, _) in enumerate(targets)
-    ])
-    counted = (
-        clean.select(F.explode(F.array_compact(hits)).alias("h")).select("h.*")
-        .groupBy("t", "bucket", "value").agg(F.count(F.lit(1)).alias("rows"))
-    )
-
-    # at most BUCKETS + 2 rows per target
-    earlier = (
-        Window.partitionBy("t").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    buckets = (
-        counted.groupBy("t", "bucket").agg(F.sum("rows").alias("bucket_rows"))
-        .withColumn("start", F.coalesce(F.sum("bucket_rows").over(earlier), F.lit(0)))
-        .join(F.broadcast(wanted), "t")  # one row per target
-        .withColumn("start", F.col("start") + F.col("below"))
-        .filter(
-            (F.col("start") <= F.col("k") + 1)
-            & (F.col("start") + F.col("bucket_rows") > F.col("k"))
-        )
-        .select("t", "bucket", "start", "k")
-    )
-    inside = Window.partitionBy("t", "bucket").orderBy("value")
-    ranked = (
-        counted.join(F.broadcast(buckets), ["t", "bucket"])  # at most a few rows per target
-        .withColumn("last", F.col("start") + F.sum("rows").over(inside) - 1)
-        .withColumn("first", F.col("last") - F.col("rows") + 1)
-    )
-    found = ranked.groupBy("t").agg(
-        F.max(F.when(F.col("k").between(F.col("first"), F.col("last")), F.col("value"))).alias("value"),
-        F.max(F.when((F.col("k") + 1).between(F.col("first"), F.col("last")), F.col("value")))
-        .alias("next_value"),
-    )
-    # target names are few: a literal array indexed by the target number
-    names = F.array(*[F.lit(name) for name, _, _, _ in targets])
-    lost = (F.col("n") > 0) & F.col("value").isNull()
-    return wanted.join(F.broadcast(found), "t", "left").select(
-        names[F.col("t")].alias("target"),
-        "n",
-        "fraction",
-        F.when(lost, F.raise_error(F.lit("rank outside its bracket")).cast(_kind(df, columns)))
-        .otherwise(F.col("value")).alias("value"),
-        "next_value",
-    )
-
-
-def exact_quantiles(df, columns, probabilities, accuracy=10_000):
-    """Linear-interpolation quantiles: rows ``column, probability, quantile``."""
-    targets = [
-        (f"{c}\t{p}", c, p, _linear(p)) for c in columns for p in probabilities
-    ]
-    ranked = values_at_ranks(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]),
-                             targets, accuracy)
-    part = F.split("target", "\t")
-    following = F.coalesce("next_value", "value")
-    return ranked.select(
-        part[0].alias("column"),
-        part[1].cast("double").alias("probability"),
-        (F.col("value") + (following - F.col("value")) * F.col("fraction")).alias("quantile"),
-    )
-
-
-def _linear(p):
-    def rank(n):
-        position = F.lit(p) * (n - 1)
-        k = F.floor(position)
-        return k, position - k
-    return rank
-
-
-def _kind(df, columns):
-    return df.schema[columns[0]].dataType
+    clean = df.select(_present(df, column))
+    targets = {"t": (column, share)}
+    brackets = _brackets(clean, targets, accuracy)
+    n = brackets["t"][0]
+    if not n:
+        return None
+    k = rank(n)
+    value, _, below, equal = _values_at(clean, targets, brackets, {"t": k})["t"]
+    return value, below, equal, k
 
 
 def _present(df, name):
@@ -138,21 +72,86 @@ def _present(df, name):
     return column.alias(name)
 
 
-def _wanted_ranks(clean, targets, bracket):
-    """One row per target: number of values, rank, fraction, values below the bracket."""
+def _brackets(clean, targets, accuracy):
+    """``{target: (n, low, high)}`` with the wanted rank inside. One pass."""
+    margin = 4.0 / accuracy
+    parts = []
+    for i, (c, p) in enumerate(targets.values()):
+        x = F.col(f"`{c}`").cast("double")
+        low = F.min(x) if p <= margin else F.percentile_approx(x, F.lit(p - margin), accuracy)
+        high = F.max(x) if p + margin >= 1 else F.percentile_approx(x, F.lit(p + margin), accuracy)
+        parts.append(F.struct(F.count(x).alias("n"), low.alias("low"), high.alias("high"),
+                              F.min(x).alias("min"), F.max(x).alias("max")).alias(f"t{i}"))
+    row = clean.agg(*parts).first()
+    found = {}
+    for i, t in enumerate(targets):
+        r = row[f"t{i}"]
+        # with few rows the margin is less than one rank: take the whole column
+        whole = r["n"] < accuracy
+        found[t] = (r["n"], r["min"] if whole else r["low"], r["max"] if whole else r["high"])
+    return found
+
+
+def _values_at(clean, targets, brackets, ranks):
+    """``{target: (value at k, value at k + 1, rows below, rows equal)}``."""
+    live = [t for t in targets if brackets[t][0]]
+    number = {t: i for i, t in enumerate(live)}
+
+    def cell(t):
+        return F.col(f"`{targets[t][0]}`")
+
+    def bucket(t):
+        _, low, high = brackets[t]
+        x = cell(t).cast("double")
+        return F.when(x.between(low, high), F.coalesce(
+            F.width_bucket(x, F.lit(low), F.lit(high), F.lit(BUCKETS)), F.lit(0)
+        ))
+
     below = clean.agg(*[
-        F.count_if(F.col(f"`{c}`").cast("double") < bracket[f"t{i}"]["lo"]).alias(f"b{i}")
-        for i, (_, c, _, _) in enumerate(targets)
+        F.count_if(cell(t).cast("double") < brackets[t][1]).alias(f"b{i}") for t, i in number.items()
+    ]).first()
+
+    inside = clean.select(F.explode(F.array_compact(F.array(*[
+        F.when(bucket(t).isNotNull(), F.struct(
+            F.lit(i).alias("t"), bucket(t).alias("bucket"), cell(t).alias("value"),
+        )) for t, i in number.items()
+    ]))).alias("h")).select("h.*")
+    # at most BUCKETS + 2 rows per target
+    sizes = inside.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("rows")).collect()
+
+    hits, starts = [], {}
+    for t, i in number.items():
+        start, k = below[f"b{i}"], ranks[t]
+        last = brackets[t][0] - 1
+        for b, rows in sorted((r["bucket"], r["rows"]) for r in sizes if r["t"] == i):
+            if start <= min(k + 1, last) and start + rows > k:
+                hits.append((i, b))
+                starts[i, b] = start
+            start += rows
+    chosen = F.lit(False)
+    for i, b in hits:
+        chosen = chosen | ((F.col("t") == i) & (F.col("bucket") == b))
+    order = Window.partitionBy("t", "bucket").orderBy("value")
+    counted = inside.filter(chosen).groupBy("t", "bucket", "value").agg(F.count(F.lit(1)).alias("rows"))
+    start_of = F.coalesce(*[
+        F.when((F.col("t") == i) & (F.col("bucket") == b), F.lit(s)) for (i, b), s in starts.items()
     ])
-    rows = []
-    for i, (_, _, _, rank) in enumerate(targets):
-        n = bracket[f"t{i}"]["n"]
-        k, fraction = rank(n)
-        rows.append(F.struct(
-            F.lit(i).alias("t"),
-            n.alias("n"),
-            k.cast("long").alias("k"),
-            fraction.cast("double").alias("fraction"),
-            F.col(f"b{i}").alias("below"),
-        ))
-    return below.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    wanted = F.coalesce(*[F.when(F.col("t") == i, F.lit(ranks[t])) for t, i in number.items()])
+    placed = counted.select(
+        "t", "value", "rows", wanted.alias("k"),
+        (start_of + F.sum("rows").over(order) - F.col("rows")).alias("first"),
+    ).withColumn("last", F.col("first") + F.col("rows") - 1)
+    at_k = F.col("k").between(F.col("first"), F.col("last"))
+    at_next = (F.col("k") + 1).between(F.col("first"), F.col("last"))
+    # at most two values per target
+    picked = placed.filter(at_k | at_next).select("t", "value", "first", "rows", at_k.alias("at_k"),
+                                                  at_next.alias("at_next")).collect()
+    result = {}
+    for t, i in number.items():
+        mine = [r for r in picked if r["t"] == i]
+        here = next((r for r in mine if r["at_k"]), None)
+        after = next((r for r in mine if r["at_next"]), here)
+        if here is None or (after is here and not here["at_next"] and ranks[t] < brackets[t][0] - 1):
+            raise ArithmeticError(f"rank {ranks[t]} of {targets[t][0]} lies outside its bracket")
+        result[t] = (here["value"], after["value"], here["first"], here["rows"])
+    return result

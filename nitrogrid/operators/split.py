@@ -1,11 +1,12 @@
 """Train / validation / test assignment by key."""
 
+import math
+
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from nitrogrid import constants as K
 from nitrogrid.functions.hashing import key_hash, unit_hash
-from nitrogrid.operators.quantiles import values_at_ranks
+from nitrogrid.operators.quantiles import value_at_share
 
 
 def split_rows(df, key, test_size=0.2, val_size=None, seed=K.SEED):
@@ -23,31 +24,25 @@ def split_rows(df, key, test_size=0.2, val_size=None, seed=K.SEED):
 def split_rows_exact(df, key, test_size=0.2, seed=K.SEED, accuracy=10_000):
     """Two-way split with exactly ``ceil(n * test_size)`` test rows. ``key`` must be unique.
 
-    The threshold is an exact order statistic of the key hash. Rows that share the
-    threshold hash are told apart by key.
+    The threshold is an exact order statistic of the key hash, found by a few narrow jobs.
+    Rows that share the threshold hash are told apart by key.
     """
-    hashed = df.withColumn("_hash", key_hash(F.col(key), seed))
-
-    def rank(n):
-        return F.ceil(F.round(n * F.lit(float(test_size)), 6)) - 1, F.lit(0.0)
-
-    cut = values_at_ranks(hashed.select("_hash"), [("cut", "_hash", test_size, rank)], accuracy)
-    cut_row = cut.select(F.struct("n", "value")).scalar()
-    threshold, total = cut_row["value"], cut_row["n"]
-
-    below = hashed.filter(F.col("_hash") < threshold).agg(F.count(F.lit(1))).scalar()
-    missing = rank(total)[0] + 1 - below
-    # the rows at the threshold itself: one, but for a hash collision
-    ties = (
-        hashed.filter(F.col("_hash") == threshold)
-        .select(key, F.row_number().over(Window.partitionBy("_hash").orderBy(key)).alias("_rank"))
-        .filter(F.col("_rank") <= missing)
-        .agg(F.max(key)).scalar()
+    hashed = df.select(key_hash(F.col(key), seed).alias("_hash"), F.col(key).alias("_key"))
+    found = value_at_share(
+        hashed, "_hash", test_size, lambda n: math.ceil(n * test_size) - 1, accuracy
     )
-    in_test = (F.col("_hash") < threshold) | ((F.col("_hash") == threshold) & (F.col(key) <= ties))
-    return hashed.withColumn(
-        "split", F.when(in_test, F.lit("test")).otherwise(F.lit("train"))
-    ).drop("_hash")
+    if found is None:
+        return df.withColumn("split", F.lit("test"))
+    threshold, below, equal, k = found
+    wanted = k + 1 - below
+    h = key_hash(F.col(key), seed)
+    in_test = h <= threshold
+    if wanted < equal:
+        # a hash collision at the threshold: take the smallest keys
+        tied = hashed.filter(F.col("_hash") == threshold).orderBy("_key").limit(wanted)
+        last = tied.agg(F.max("_key")).first()[0]
+        in_test = (h < threshold) | ((h == threshold) & (F.col(key) <= F.lit(last)))
+    return df.withColumn("split", F.when(in_test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def split_sizes(df):

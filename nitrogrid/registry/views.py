@@ -189,7 +189,7 @@ FILE_MANIFEST = """file_manifest AS (
          CASE WHEN page_id % 2 = 0 THEN 'Nitrogen Dioxide column' ELSE 'radiance' END AS collection
   FROM pages),
 matched AS (
-  SELECT *, nullif(trim(granule_path), '') AS file_path, nullif(trim(download_url), '') AS file_url,
+  SELECT *, coalesce(nullif(trim(granule_path), ''), nullif(trim(download_url), '')) AS file_path, nullif(trim(download_url), '') AS file_url,
          coalesce(regexp_matches(lower(granule_path), 'tempo|no2|nitrogen dioxide'), false) AS m1,
          coalesce(regexp_matches(lower(download_url), 'tempo|no2|nitrogen dioxide'), false) AS m2,
          coalesce(regexp_matches(lower(acquisition_date), 'tempo|no2|nitrogen dioxide'), false) AS m3,
