@@ -73,25 +73,38 @@ def _present(df, name):
 
 
 def _brackets(clean, targets, accuracy):
-    """``{target: (n, low, high)}`` with the wanted rank inside. One pass."""
+    """``{target: (n, low, high)}`` with the wanted rank inside.
+
+    One pass with one sketch per column, whatever the number of targets.
+    """
     margin = 4.0 / accuracy
+    columns = sorted({c for c, _ in targets.values()})
     parts = []
-    for i, (c, p) in enumerate(targets.values()):
+    for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
-        low = F.min(x) if p <= margin else F.percentile_approx(x, F.lit(p - margin), accuracy)
-        high = F.max(x) if p + margin >= 1 else F.percentile_approx(x, F.lit(p + margin), accuracy)
-        parts.append(F.struct(F.count(x).alias("n"), low.alias("low"), high.alias("high"),
-                              F.min(x).alias("min"), F.max(x).alias("max")).alias(f"t{i}"))
+        shares = _edges(targets, c, margin)
+        parts += [
+            F.count(x).alias(f"n{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
+            F.percentile_approx(x, shares, accuracy).alias(f"edges{i}"),
+        ]
     row = clean.agg(*parts).first()
     found = {}
-    for i, t in enumerate(targets):
-        r = row[f"t{i}"]
+    for t, (c, p) in targets.items():
+        i = columns.index(c)
+        n, low, high = row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]
         # with few rows the margin is less than one rank: take the whole column
-        whole = r["n"] < accuracy
-        found[t] = (r["n"], r["min"] if whole else r["low"], r["max"] if whole else r["high"])
+        if n >= accuracy:
+            edges = dict(zip(_edges(targets, c, margin), row[f"edges{i}"]))
+            low, high = edges.get(p - margin, low), edges.get(p + margin, high)
+        found[t] = (n, low, high)
     return found
 
 
+def _edges(targets, column, margin):
+    shares = {p + sign * margin for c, p in targets.values() if c == column for sign in (-1, 1)}
+    return sorted(s for s in shares if 0 < s < 1) or [0.5]
+
+
 def _values_at(clean, targets, brackets, ranks):
     """``{target: (value at k, value at k + 1, rows below, rows equal)}``."""
     live = [t for t in targets if brackets[t][0]]

@@ -41,7 +41,8 @@ def scale_features(df, columns, kind="standard", fit_on="train", prefix=""):
     check_kind(kind)
     training = df if fit_on is None else df.filter(F.col("split") == fit_on)
     fitted = scaler_statistics(training, columns, kind).select(F.struct("*")).scalar()
-    return df.withColumns({
-        f"{prefix}{c}": (F.col(c).cast("double") - fitted[c]["shift"]) / fitted[c]["scale"]
+    # one column that holds the row, so that the subquery is planned once
+    return df.withColumn("_fit", fitted).withColumns({
+        f"{prefix}{c}": (F.col(c).cast("double") - F.col("_fit")[c]["shift"]) / F.col("_fit")[c]["scale"]
         for c in columns
-    })
+    }).drop("_fit")

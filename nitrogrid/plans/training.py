@@ -71,9 +71,10 @@ def train_model(df, features, key, profile="full", test_size=0.2, folds=5, seed=
         scaler_stage(train, features),
         VectorAssembler(inputCols=[SCALED + c for c in features], outputCol="features"),
     ]).fit(train)
-    ready = prepare.transform(train).select(
-        "features", "label", fold(F.col(key), folds, seed).alias("fold")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    fold_column = [fold(F.col(key), folds, seed).alias("fold")] if folds else []
+    ready = prepare.transform(_spread(train, key)).select("features", "label", *fold_column).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     try:
         estimator = forest(settings)
         if folds:
@@ -95,6 +96,16 @@ def train_model(df, features, key, profile="full", test_size=0.2, folds=5, seed=
     return trained
 
 
+def _spread(rows, key):
+    """At least one partition per core: a small table may come as a single file split.
+
+    A fit scans its rows many times, so one shuffle by the unique key pays off. Large tables
+    already have more splits than cores and stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def _split_metrics(trained, parts):
     """Metrics of both parts from one scoring pass."""
     rows = regression_metrics(trained.predict(parts), by=["split"]).collect()  # two rows

@@ -44,13 +44,13 @@ def score_json(spark, sf):
     replies = single_replies(scored, keep=["event_id"]).select(
         "event_id", F.to_json(F.struct("success", "prediction", "error")).alias("reply")
     )
-    get = F.get_json_object
-    return replies.select(
+    reply = F.from_json("reply", "success BOOLEAN, prediction STRUCT<no2_value: DOUBLE, air_quality: STRING>, error STRING")
+    return replies.select("event_id", reply.alias("r")).select(
         "event_id",
-        get("reply", "$.success").alias("success"),
-        F.round(get("reply", "$.prediction.no2_value").cast("double") / 1e13, 6).alias("no2_value"),
-        get("reply", "$.prediction.air_quality").alias("air_quality"),
-        get("reply", "$.error").alias("error"),
+        "r.success",
+        F.round(F.col("r.prediction.no2_value") / 1e13, 6).alias("no2_value"),
+        "r.prediction.air_quality",
+        "r.error",
     )
 
 
@@ -169,7 +169,7 @@ SELECT event_id, month, day_of_year, is_weekend, round(temperature, 6) AS temper
        round(wind_speed, 6) AS wind_speed, round(humidity, 6) AS humidity FROM filled""",
     "score_requests": f"WITH {_scored('smooth')} SELECT event_id, {SCORED_COLUMNS} FROM scored",
     "score_json": f"""WITH {_scored('boxes')}
-SELECT event_id, (error IS NULL)::varchar AS success, round(v / 1e13, 6) AS no2_value,
+SELECT event_id, error IS NULL AS success, round(v / 1e13, 6) AS no2_value,
        {V.CODE_SQL.format(x='v')} AS air_quality, error FROM scored""",
     "batch_score": f"WITH {_BATCH} SELECT request_id, name, {SCORED_COLUMNS} FROM scored",
     "batch_reply_counts": f"""WITH {_BATCH}

@@ -36,25 +36,35 @@ def read_manifest(spark, path, types=None, tokens=None):
     ])
 
 
+# texts that read as a number; the long form is checked by a cast as well
+NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+INTEGER = r"^\s*[+-]?\d+\s*$"
+BOOLEAN = r"^([tT]rue|TRUE|[fF]alse|FALSE)$"
+
+
 def infer_types(texts):
     """Column -> the narrowest of bigint, double, boolean, string that holds every cell.
 
     One aggregate over the table, like the reader's own inference, but after the
     missing-value texts are gone.
     """
-    kinds = ["bigint", "double", "boolean"]
     checks = []
     for i, c in enumerate(texts.columns):
         cell = F.col(f"`{c}`")
+        fits = {
+            "bigint": cell.rlike(INTEGER) & F.when(cell.rlike(INTEGER), cell).try_cast("bigint").isNotNull(),
+            "double": cell.rlike(NUMBER),
+            "boolean": cell.rlike(BOOLEAN),
+        }
         checks.append(F.count(cell).alias(f"n{i}"))
-        for kind in kinds:
-            fits = F.count_if(cell.isNotNull() & cell.try_cast(kind).isNotNull())
-            checks.append(fits.alias(f"{kind}{i}"))
+        checks += [F.count_if(test).alias(f"{kind}{i}") for kind, test in fits.items()]
     row = texts.agg(*checks).first()
     found = {}
     for i, c in enumerate(texts.columns):
         n = row[f"n{i}"]
-        found[c] = next((k for k in kinds if n and row[f"{k}{i}"] == n), "string")
+        found[c] = next(
+            (k for k in ("bigint", "double", "boolean") if n and row[f"{k}{i}"] == n), "string"
+        )
     return found
 
 
