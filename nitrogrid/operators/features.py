@@ -33,11 +33,13 @@ def interaction_features(df):
     })
 
 
-def weather_features(df, weather=None, on=("date",), fallback=None, salts=8):
+def weather_features(df, weather=None, on=("date",), fallback=None, salts=8,
+                     spread_by=("latitude", "longitude")):
     """Weather columns from a weather table, with fallbacks where it has no row.
 
     The weather table is averaged to one row per key first, so the join never multiplies
-    rows. Without a table only the fallbacks are used. Needs ``day_of_year``.
+    rows. A hot key is spread by the columns ``spread_by``. Without a table only the
+    fallbacks are used. Needs ``day_of_year``.
     """
     fallback = {**WEATHER_FALLBACK, **(fallback or {})}
     measures = ["temperature", *fallback]
@@ -45,7 +47,7 @@ def weather_features(df, weather=None, on=("date",), fallback=None, salts=8):
     if weather is not None:
         given = [m for m in measures if m in weather.columns]
         unique = weather.groupBy(*on).agg(*[F.avg(m).alias(f"_{m}") for m in given])
-        df = salted_left_join(df, unique, list(on), salts)
+        df = salted_left_join(df, unique, list(on), spread_by, salts)
     defaults = {
         "temperature": temperature_baseline(F.col("day_of_year")),
         **{m: F.lit(v) for m, v in fallback.items()},

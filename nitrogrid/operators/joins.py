@@ -6,19 +6,17 @@ from operator import and_
 from pyspark.sql import functions as F
 
 
-def salted_left_join(left, right, keys, salts=8):
+def salted_left_join(left, right, keys, spread_by, salts=8):
     """Left join where a hot key of ``left`` is spread over ``salts`` tasks.
 
     ``right`` must have one row per key; it is repeated once per salt. The salt is a hash of
-    the left row, so a retried task sends its rows to the same place. Spark still broadcasts
-    ``right`` when its measured size allows, and adaptive execution splits what stays skewed.
+    the columns ``spread_by``, which should vary within a key, so a retried task sends its
+    rows to the same place. Spark still broadcasts ``right`` when its measured size allows,
+    and adaptive execution splits what stays skewed.
     """
     if salts <= 1:
         return left.join(right, keys, "left")
-    hashable = [
-        f"`{f.name}`" for f in left.schema if f.dataType.typeName() not in ("map", "variant")
-    ]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     renamed = copies.select(*[
         F.col(c).alias(f"_r_{c}" if c in keys or c == "_salt" else c) for c in copies.columns

@@ -19,15 +19,13 @@ def scaler_statistics(df, columns, kind="standard"):
     fits = []
     for c in columns:
         x = F.col(c).cast("double")
-        constant = F.min(x) == F.max(x)
         if kind == "standard":
-            shift = F.when(constant, F.min(x)).otherwise(F.avg(x))
-            spread = F.stddev_pop(x)
+            # the running deviation of equal values is exactly 0
+            shift, spread = F.avg(x), F.stddev_pop(x)
         else:
-            shift = F.min(x)
-            spread = F.max(x) - F.min(x)
+            shift, spread = F.min(x), F.max(x) - F.min(x)
         fits.append(F.struct(
-            shift.alias("shift"), F.when(constant, F.lit(1.0)).otherwise(spread).alias("scale"),
+            shift.alias("shift"), F.when(spread == 0, F.lit(1.0)).otherwise(spread).alias("scale"),
         ).alias(c))
     return df.agg(*fits)
 

@@ -49,7 +49,7 @@ def prepared_features(spark, sf):
     table = prepared_table(V.obs(spark, sf), "event_id")
     return table.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.round(F.avg(c) + 0.0, 5).alias(c) for c in ("latitude", "longitude", "hour", "day_of_year", "is_weekend", "season")],
+        *[F.round(F.avg(F.col(c) * F.col(c)), 5).alias(c) for c in ("latitude", "longitude", "hour", "day_of_year", "is_weekend", "season")],
         *[F.round(F.max(c), 5).alias(f"max_{c}") for c in ("distance_from_center", "day_of_week", "pressure")],
     )
 
@@ -95,10 +95,10 @@ s AS (SELECT avg(latitude) la, stddev_pop(latitude) lb, avg(longitude) oa, stdde
         avg(hour) ha, stddev_pop(hour) hb, avg(day_of_year) ya, stddev_pop(day_of_year) yb,
         avg(is_weekend) wa, stddev_pop(is_weekend) wb, avg(dist) da, stddev_pop(dist) db,
         avg(dow) ka, stddev_pop(dow) kb FROM x WHERE split = 'train')
-SELECT split, count(*) AS n, round(avg((latitude - la) / lb) + 0.0, 5) AS latitude,
-       round(avg((longitude - oa) / ob) + 0.0, 5) AS longitude, round(avg((hour - ha) / hb) + 0.0, 5) AS hour,
-       round(avg((day_of_year - ya) / yb) + 0.0, 5) AS day_of_year,
-       round(avg((is_weekend - wa) / wb) + 0.0, 5) AS is_weekend, 0.0::double AS season,
+SELECT split, count(*) AS n, round(avg(pow((latitude - la) / lb, 2)), 5) AS latitude,
+       round(avg(pow((longitude - oa) / ob, 2)), 5) AS longitude, round(avg(pow((hour - ha) / hb, 2)), 5) AS hour,
+       round(avg(pow((day_of_year - ya) / yb, 2)), 5) AS day_of_year,
+       round(avg(pow((is_weekend - wa) / wb, 2)), 5) AS is_weekend, 0.0::double AS season,
        round(max((dist - da) / db), 5) AS max_distance_from_center,
        round(max((dow - ka) / kb), 5) AS max_day_of_week, 0.0::double AS max_pressure
 FROM x, s GROUP BY split""",
