@@ -162,30 +162,33 @@ def tile_blocks(blocks, rows_per_tile=64, keep=("source_file",)):
     flatten in parallel. The extent columns let a box filter skip tiles at the scan.
     """
     nlat, nlon = F.size("latitude"), F.size("longitude")
-    checked = valid_blocks(validate_blocks(blocks))
-    attrs = [c for c in ("var_attrs", "ds_attrs") if c in blocks.columns]
-    steps = checked.select(
-        *keep, *attrs, "time", "latitude", "longitude", "no2",
-        F.explode(F.sequence(F.lit(0), F.size("time") - 1)).alias("time_index"),
-    )
-    bands = steps.select(
-        "*", F.explode(F.sequence(F.lit(0), nlat - 1, F.lit(rows_per_tile))).alias("lat_offset")
+    checked = valid_blocks(validate_blocks(blocks)).filter(
+        (F.size("time") > 0) & (nlat > 0) & (nlon > 0)
     )
-    band = F.slice("latitude", F.col("lat_offset") + 1, F.lit(rows_per_tile))
-    first = (F.col("time_index") * nlat + F.col("lat_offset")) * nlon + 1
-    return bands.select(
-        *keep,
-        "time_index",
-        "lat_offset",
-        F.array(F.get("time", F.col("time_index"))).alias("time"),
-        band.alias("latitude"),
-        "longitude",
-        F.slice("no2", first, F.size(band) * nlon).alias("no2"),
-        F.array_min(band).alias("lat_min"),
-        F.array_max(band).alias("lat_max"),
-        F.array_min("longitude").alias("lon_min"),
-        F.array_max("longitude").alias("lon_max"),
-        *attrs,
+    attrs = [c for c in ("var_attrs", "ds_attrs") if c in blocks.columns]
+
+    def tile(step, offset):
+        band = F.slice("latitude", offset + 1, F.lit(rows_per_tile))
+        first = (step * nlat + offset) * nlon + 1
+        return F.struct(
+            step.alias("time_index"),
+            offset.alias("lat_offset"),
+            F.array(F.get("time", step)).alias("time"),
+            band.alias("latitude"),
+            F.slice("no2", first, F.size(band) * nlon).alias("no2"),
+            F.array_min(band).alias("lat_min"),
+            F.array_max(band).alias("lat_max"),
+        )
+
+    # the slices are cut inside the row: exploding rows that carry the whole value array
+    # would copy it once per tile
+    steps = F.sequence(F.lit(0), F.size("time") - 1)
+    offsets = F.sequence(F.lit(0), nlat - 1, F.lit(rows_per_tile))
+    tiles = F.flatten(F.transform(steps, lambda t: F.transform(offsets, lambda o: tile(t, o))))
+    return checked.select(
+        *keep, "longitude",
+        F.array_min("longitude").alias("lon_min"), F.array_max("longitude").alias("lon_max"),
+        *attrs, F.inline(tiles),
     )
 
 

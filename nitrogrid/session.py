@@ -47,9 +47,8 @@ def shared_dir(spark):
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="nitrogrid-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nitrogrid-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def work_path(spark, label):

@@ -47,7 +47,7 @@ def as_json(df, name="json"):
 
 def preview(df, order, n=5):
     """First rows in a stated order."""
-    return df.orderBy(*([order] if isinstance(order, str) else order)).limit(n)
+    return df.orderBy(*(order if isinstance(order, (list, tuple)) else [order])).limit(n)
 
 
 def column_types(df):

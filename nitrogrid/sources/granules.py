@@ -71,3 +71,15 @@ def decode_granules(spark, folder, decoder, pattern=K.GRANULE_GLOB, schema=GRID_
 
 def _as_list(paths):
     return [paths] if isinstance(paths, str) else list(paths)
+
+
+def unread_files(spark, folder, glob="*.parquet", schema=GRID_BLOCK):
+    """Files of a folder that gave no block: the ones a tolerant scan skipped."""
+    blocks = (
+        spark.read.schema(schema).option("ignoreCorruptFiles", True)
+        .option("pathGlobFilter", glob).parquet(folder)
+    )
+    seen = with_source_file(blocks.drop("source_file")).select(
+        F.col("source_file").alias("file_name")
+    ).distinct()
+    return list_files(spark, folder, glob).join(seen, "file_name", "left_anti")
