@@ -8,6 +8,8 @@ snap free coordinates to a regular axis first.
 
 from pyspark.sql import functions as F
 
+from nitrogrid.operators.partitioning import spread
+
 
 def snap(df, lat="latitude", lon="longitude", step=1.0):
     """Move coordinates down to a regular axis."""
@@ -30,7 +32,7 @@ def last_values(df, keys, value, order):
 def grid_frame(df, date="date", lat="latitude", lon="longitude"):
     """All cells: each date x each latitude x each longitude that occurs, with positions."""
     dates = df.select(date).distinct()
-    rows = dates.select(date, F.posexplode(axis(df, lat)).alias("lat_index", lat))
+    rows = spread(dates.select(date, F.posexplode(axis(df, lat)).alias("lat_index", lat)), date, lat)
     return rows.select(date, "lat_index", lat, F.posexplode(axis(df, lon)).alias("lon_index", lon))
 
 

@@ -7,6 +7,7 @@ from nitrogrid.functions.calendar import calendar_columns
 from nitrogrid.functions.field import temperature_baseline
 from nitrogrid.functions.geo import region_columns
 from nitrogrid.operators.joins import salted_left_join
+from nitrogrid.operators.partitioning import is_small
 
 # used where no weather row matches; temperature falls back to the seasonal baseline
 WEATHER_FALLBACK = {"wind_speed": K.DEFAULT_WIND_SPEED, "humidity": K.DEFAULT_HUMIDITY, "pressure": 1013.0}
@@ -38,8 +39,9 @@ def weather_features(df, weather=None, on=("date",), fallback=None, salts=8,
     """Weather columns from a weather table, with fallbacks where it has no row.
 
     The weather table is averaged to one row per key first, so the join never multiplies
-    rows. A hot key is spread by the columns ``spread_by``. Without a table only the
-    fallbacks are used. Needs ``day_of_year``.
+    rows. A weather table whose size was checked to be small is broadcast; with a large one
+    a hot key is spread by the columns ``spread_by``. Without a table only the fallbacks are
+    used. Needs ``day_of_year``.
     """
     fallback = {**WEATHER_FALLBACK, **(fallback or {})}
     measures = ["temperature", *fallback]
@@ -47,7 +49,10 @@ def weather_features(df, weather=None, on=("date",), fallback=None, salts=8,
     if weather is not None:
         given = [m for m in measures if m in weather.columns]
         unique = weather.groupBy(*on).agg(*[F.avg(m).alias(f"_{m}") for m in given])
-        df = salted_left_join(df, unique, list(on), spread_by, salts)
+        if is_small(unique):
+            df = df.join(F.broadcast(unique), list(on), "left")
+        else:
+            df = salted_left_join(df, unique, list(on), spread_by, salts)
     defaults = {
         "temperature": temperature_baseline(F.col("day_of_year")),
         **{m: F.lit(v) for m, v in fallback.items()},

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from nitrogrid import constants as K
 from nitrogrid.functions.geo import axis_values
+from nitrogrid.operators.partitioning import spread
 from nitrogrid.schemas import GRID_BLOCK
 
 VARIABLES = ["no2", "latitude", "longitude", "time"]
@@ -239,7 +240,12 @@ def dataset_structure(blocks):
 
 
 def regular_grid(days, resolution=0.2, box=None):
-    """Every row of ``days`` at every point of a regular grid over a box, latitude first."""
+    """Every row of ``days`` at every point of a regular grid over a box, latitude first.
+
+    Rows are spread over tasks while there is one per day and latitude, before the longitudes
+    multiply them.
+    """
     lat_lo, lat_hi, lon_lo, lon_hi = box or (K.LAT_MIN, K.LAT_MAX, K.LON_MIN, K.LON_MAX)
     rows = days.select("*", F.explode(axis_values(lat_lo, lat_hi, resolution)).alias("latitude"))
+    rows = spread(rows, *days.columns, "latitude")
     return rows.select("*", F.explode(axis_values(lon_lo, lon_hi, resolution)).alias("longitude"))

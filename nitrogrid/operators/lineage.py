@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from nitrogrid.operators.partitioning import broadcast_if_small
+
 
 def file_indexes(files, source="source_file"):
     """``source_file, file_index``: position (from 0) in the sorted list of distinct files.
@@ -18,8 +20,13 @@ def file_indexes(files, source="source_file"):
 
 
 def with_file_index(df, files=None, source="source_file"):
-    """Add ``file_index``. Pass the whole file list to keep gaps for rejected files."""
-    return df.join(file_indexes(df if files is None else files, source), source, "left")
+    """Add ``file_index``. Pass the whole file list to keep gaps for rejected files.
+
+    Use it on grid blocks rather than on flattened rows: one lookup per block instead of one
+    per value. The list is broadcast only after its size was checked.
+    """
+    indexes = file_indexes(df if files is None else files, source)
+    return df.join(broadcast_if_small(indexes), source, "left")
 
 
 def with_source_file(df):

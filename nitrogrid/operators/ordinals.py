@@ -9,7 +9,8 @@ def with_ordinal(df, key, name="ordinal", start=0, width=1_000_000):
 
     Rows are numbered inside key ranges of ``width`` (each a separate window partition of
     at most ``width`` rows, because the key is unique); the offset of a range is the number
-    of rows in earlier ranges, a running sum over one row per range.
+    of rows in earlier ranges, a running sum over one row per range. The key should be about
+    as dense as a row number, so that there are few ranges.
     """
     ranged = df.withColumn("_range", F.floor(F.col(key) / F.lit(width)))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))

@@ -4,14 +4,13 @@ from pyspark.sql import functions as F
 
 from nitrogrid.functions.text import na_to_null
 from nitrogrid.operators import catalog as C
-from nitrogrid.operators.grid import flatten_grid, rejected_blocks
+from nitrogrid.operators.grid import flatten_grid, rejected_blocks, valid_blocks
 from nitrogrid.operators.lineage import with_file_index
+from nitrogrid.schemas import OBSERVATION
 from nitrogrid.sinks.tables import write_catalog_report
 from nitrogrid.sources.files import list_files
-from nitrogrid.sources.granules import find_granules, read_blocks
-from nitrogrid.sources.manifest import (
-    read_manifest, read_manifest_texts, with_row_number,
-)
+from nitrogrid.sources.granules import read_blocks
+from nitrogrid.sources.manifest import read_manifest_texts, with_row_number
 
 
 def catalog_report(spark, csv_path, out=None):
@@ -27,7 +26,7 @@ def catalog_report(spark, csv_path, out=None):
 
 def manifest_files(spark, csv_path, data_dir):
     """Distinct files that a manifest of unknown shape names."""
-    numbered = with_row_number(read_manifest_texts(spark, csv_path), "entry", first=0)
+    numbered = with_row_number(read_manifest_texts(spark, csv_path), "entry", 0, per_file=False)
     texts = [c for c in numbered.columns if c != "entry"]
     clean = numbered.select("entry", *[
         na_to_null(F.col(f"`{c}`")).alias(c) for c in texts
@@ -36,30 +35,33 @@ def manifest_files(spark, csv_path, data_dir):
     return C.resolved_files(C.resolve_files(entries, list_files(spark, data_dir), "entry"))
 
 
-def observations(spark, paths, mode="lenient", keep=("source_file",)):
+def observations(spark, paths, mode="lenient"):
     """Observation rows and rejected blocks of many granules in one scan.
 
-    ``file_index`` counts rejected files too, so failures leave gaps.
+    ``file_index`` counts rejected files too, so failures leave gaps. It is looked up once
+    per block, before the block becomes rows.
     """
-    checked = read_blocks(spark, paths, mode)
-    rows = flatten_grid(checked.drop("error"), mode, keep=keep)
-    return with_file_index(rows, checked), rejected_blocks(checked)
+    return _flattened(read_blocks(spark, paths, mode), mode)
 
 
 def folder_observations(spark, folder, pattern="*.parquet", mode="lenient"):
     """Fallback without a manifest: all block files of a folder that match a glob."""
-    blocks = spark.read.option("pathGlobFilter", pattern)
-    from nitrogrid.operators.grid import extract_variables, validate_blocks
-    from nitrogrid.schemas import GRID_BLOCK
+    return _flattened(read_blocks(spark, folder, mode, glob=pattern), mode)
 
-    checked = validate_blocks(extract_variables(
-        blocks.schema(GRID_BLOCK).option("ignoreCorruptFiles", True).parquet(folder)
-    ), mode)
-    rows = flatten_grid(checked.drop("error"), mode)
-    return with_file_index(rows, checked), rejected_blocks(checked)
 
+def _flattened(checked, mode):
+    indexed = with_file_index(valid_blocks(checked), checked)
+    rows = flatten_grid(indexed, mode, keep=("source_file", "file_index"))
+    return rows, rejected_blocks(checked)
 
-__all__ = [
-    "catalog_report", "folder_observations", "find_granules", "manifest_files",
-    "observations", "read_manifest",
-]
+
+def manifest_observations(spark, csv_path, data_dir, mode="lenient"):
+    """From a manifest to observations of the files it names that exist.
+
+    The paths to read pass through the driver, as they do for any scan of many files.
+    """
+    files = manifest_files(spark, csv_path, data_dir).filter("origin = 'local'")
+    paths = sorted(row.resolved for row in files.select("resolved").collect())
+    if not paths:
+        return spark.createDataFrame([], OBSERVATION), None
+    return observations(spark, paths, mode)

@@ -12,23 +12,38 @@ from nitrogrid.schemas import GRID_BLOCK
 from nitrogrid.sources.files import list_files
 
 
-def find_granules(spark, folder, pattern=K.GRANULE_GLOB):
-    """Files that match a case-sensitive glob, in name order."""
-    return list_files(spark, folder, pattern).orderBy("file_name")
+def granules_by_glob(listing, pattern=K.GRANULE_GLOB):
+    """Files of a listing that match a case-sensitive glob of ``*`` and ``?``."""
+    like = pattern.replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
+    return listing.filter(F.col("file_name").like(like))
 
 
-def find_granules_by_token(spark, folder, tokens=None, suffix=K.GRANULE_SUFFIX):
+def granules_by_token(listing, tokens=None, suffix=K.GRANULE_SUFFIX):
     """Files whose name holds all tokens, in any order and case; the suffix is case-sensitive."""
     tokens = K.GRANULE_NAME_TOKENS if tokens is None else tokens
     name = F.col("file_name")
     wanted = reduce(and_, [F.upper(name).contains(t.upper()) for t in tokens], name.endswith(suffix))
-    return list_files(spark, folder).filter(wanted).orderBy("file_name")
+    return listing.filter(wanted)
 
 
-def read_blocks(spark, paths, mode="strict", schema=GRID_BLOCK):
-    """Grid blocks with an ``error`` column: a bad granule is reported, not fatal."""
-    blocks = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*_as_list(paths))
-    return validate_blocks(extract_variables(blocks), mode)
+def find_granules(spark, folder, pattern=K.GRANULE_GLOB):
+    """Granules of a folder by glob, applied while the folder is listed."""
+    return list_files(spark, folder, pattern)
+
+
+def find_granules_by_token(spark, folder, tokens=None, suffix=K.GRANULE_SUFFIX):
+    return granules_by_token(list_files(spark, folder), tokens, suffix)
+
+
+def read_blocks(spark, paths, mode="strict", schema=GRID_BLOCK, glob=None):
+    """Grid blocks with an ``error`` column: a bad granule is reported, not fatal.
+
+    Files that cannot be read at all are listed by ``unread_files``.
+    """
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return validate_blocks(extract_variables(reader.parquet(*_as_list(paths))), mode)
 
 
 def read_foreign_blocks(spark, paths, mode="strict"):

@@ -9,11 +9,16 @@ from nitrogrid.functions.text import contains_any, na_to_null
 from nitrogrid.sources.files import list_files
 
 
-def find_manifest(spark, folder, keywords=None):
+def manifest_in(listing, keywords=None):
     """One row ``path``: the first CSV file by name whose name mentions a keyword."""
     keywords = K.MANIFEST_NAME_KEYWORDS if keywords is None else keywords
-    files = list_files(spark, folder, "*.csv").filter(contains_any(F.lower("file_name"), keywords))
-    return files.agg(F.min_by("path", "file_name").alias("path")).filter("path IS NOT NULL")
+    named = F.col("file_name").endswith(".csv") & contains_any(F.lower("file_name"), keywords)
+    chosen = listing.filter(named).agg(F.min_by("path", "file_name").alias("path"))
+    return chosen.filter("path IS NOT NULL")
+
+
+def find_manifest(spark, folder, keywords=None):
+    return manifest_in(list_files(spark, folder, "*.csv"), keywords)
 
 
 def read_manifest_texts(spark, path, schema=None):
@@ -68,11 +73,12 @@ def infer_types(texts):
     return found
 
 
-def with_row_number(df, name="row_number", first=2):
+def with_row_number(df, name="row_number", first=2, per_file=True):
     """Ordinal of each record in its file, counted from ``first`` (the header is line 1).
 
     Only for a frame read straight from files. A split of a file is read by one task in
     order, so a row's place is its place in the split plus the records of earlier splits.
+    ``per_file=False`` counts on through the files in path order.
     """
     placed = df.select(
         "*",
@@ -83,15 +89,14 @@ def with_row_number(df, name="row_number", first=2):
     splits = placed.groupBy("_file", "_split").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    # one row per file split, as many as the scan has input splits
+    scope = Window.partitionBy("_file") if per_file else Window.partitionBy()
+    earlier = scope.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         F.col("_file").alias("_f"), F.col("_split").alias("_s"), "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
     )
     same = (F.col("_file") == F.col("_f")) & (F.col("_split") == F.col("_s"))
-    # one row per file split
     return placed.join(offsets, same).withColumn(
         name, F.col("_id") - F.col("_first") + F.col("_offset") + F.lit(first)
     ).select(*df.columns, name)

@@ -125,6 +125,15 @@ def test_row_numbers_over_file_splits(spark, tmp_path):
     assert all(int(r.k) + 2 == r.row_number for r in rows) and len(rows) == 5000
 
 
+def test_row_numbers_through_several_files(spark, tmp_path):
+    for part in range(3):
+        write(tmp_path / "m" / f"part{part}.csv", "k\n" + "".join(f"{part}{i}\n" for i in range(4)))
+    texts = read_manifest_texts(spark, str(tmp_path / "m"))
+    rows = sorted((r.n, r.k) for r in with_row_number(texts, "n", 0, per_file=False).collect())
+    assert rows == [(i, f"{i // 4}{i % 4}") for i in range(12)]
+    assert sorted(r.n for r in with_row_number(texts, "n").collect()) == sorted([2, 3, 4, 5] * 3)
+
+
 def test_short_records_and_absent_columns(spark, tmp_path):
     path = write(tmp_path / "m.csv", "Short Name,Entry Title,Version\nTEMPO_NO2_L3\nOTHER,Tempo thing,2\nX,y,1\n")
     standard = C.standard_columns(with_row_number(read_manifest_texts(spark, path)))
@@ -155,7 +164,7 @@ def test_discovery(spark, tmp_path):
         write(tmp_path / "g" / name, "x")
     folder = str(tmp_path / "g")
     assert [r.file_name for r in find_granules(spark, folder).collect()] == ["TEMPO_NO2_1.nc"]
-    assert [r.file_name for r in find_granules_by_token(spark, folder).collect()] == [
+    assert sorted(r.file_name for r in find_granules_by_token(spark, folder).collect()) == [
         "NO2_x_tempo.nc", "TEMPO_NO2_1.nc", "tempo_no2.nc"
     ]
     assert find_granules(spark, folder, "*O3*.nc").count() == 1
@@ -204,7 +213,7 @@ def test_manifest_to_observations(spark, tmp_path):
     found = [r.resolved for r in files.collect()]
     assert sorted(found) == sorted(listed)
     rows, rejected = observations(spark, found)
-    assert rows.count() == 6 and {r.file_index for r in rows.collect()} == {0}
+    assert rows.count() == 6 and rows.columns[:2] == ["source_file", "file_index"] and {r.file_index for r in rows.collect()} == {0}
     assert [tuple(r) for r in rejected.collect()] == [("g2", "sizes of variables differ")]
     fallback, _ = folder_observations(spark, str(data / "*"))
     assert fallback.count() == 6

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from nitrogrid.operators import features
 from nitrogrid.operators import grid as G
-from nitrogrid.operators.features import weather_features
 from nitrogrid.registry import grids, observations, preparation, scoring
 from nitrogrid.registry import views as V
 from nitrogrid.session import shared_dir, work_path
@@ -71,12 +71,13 @@ def test_dense_tiles_use_one_shuffle_for_both_aggregates(spark):
     assert "ENSURE_REQUIREMENTS" not in re.sub(r"Subquery.*", "", after.split("Exchange")[0])
 
 
-def test_large_weather_is_not_broadcast_by_hint(spark):
+def test_large_weather_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(features, "is_small", lambda df: False)
     rows = V.obs(spark, SF).withColumns({"date": F.to_date("time"), "day_of_year": F.dayofyear("time")})
     weather = V.table(spark, SF, "events").select(F.to_date("ts").alias("date"), F.col("value").alias("temperature"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan_text(weather_features(rows, weather, spread_by=["event_id"]))
+        text = plan_text(features.weather_features(rows, weather, spread_by=["event_id"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin [date" in text and "_salt" in text
