@@ -8,7 +8,7 @@ snap free coordinates to a regular axis first.
 
 from pyspark.sql import functions as F
 
-from nitrogrid.operators.partitioning import spread
+from nitrogrid.operators.partitioning import broadcast_if_small, spread
 
 
 def snap(df, lat="latitude", lon="longitude", step=1.0):
@@ -51,37 +51,39 @@ def dense_tiles(df, value="no2", order="event_id", date="date", lat="latitude",
                 rows_per_tile=64, absent=0.0, attrs=None, ds_attrs=None):
     """Grid-block rows, one per date and band of latitudes.
 
-    Observed cells and the frame meet in one shuffle on (date, band): both the cell
-    aggregate and the array aggregate use that partitioning. A band holds at most
+    Observed cells and the frame meet in one shuffle on (date, band): the cell aggregate and
+    both array aggregates use that partitioning. A band holds at most
     ``rows_per_tile * number of longitudes`` cells.
     """
     lat_axis, lon_axis = axis(df, lat), axis(df, lon)
-    band = F.floor(F.col("lat_index") / F.lit(rows_per_tile)).cast("int")
+    band = F.floor(F.col("lat_index") / F.lit(rows_per_tile)).cast("int").alias("band")
+    # one row per latitude of the grid
+    bands = df.sparkSession.range(1).select(F.posexplode(lat_axis).alias("lat_index", "_lat"))
     frame = grid_frame(df, date, lat, lon).select(
-        date, band.alias("band"), "lat_index", "lon_index",
-        F.lit(None).cast("double").alias(value), F.lit(False).alias("seen"),
+        date, band, lat, lon, F.lit(None).cast("double").alias(value), F.lit(False).alias("seen"),
     )
     cells = last_values(df, [date, lat, lon], value, order)
-    positions = cells.select(
-        date,
-        (F.array_position(lat_axis, F.col(lat)) - 1).cast("int").alias("lat_index"),
-        (F.array_position(lon_axis, F.col(lon)) - 1).cast("int").alias("lon_index"),
-        F.col(value).cast("double").alias(value),
-    ).select(date, band.alias("band"), "lat_index", "lon_index", value, F.lit(True).alias("seen"))
-    placed = frame.unionAll(positions).repartition(date, "band")
-    full = placed.groupBy(date, "band", "lat_index", "lon_index").agg(
+    placed = cells.join(broadcast_if_small(bands), F.col(lat) == F.col("_lat")).select(
+        date, band, lat, lon, F.col(value).cast("double").alias(value), F.lit(True).alias("seen"),
+    )
+    full = frame.unionAll(placed).repartition(date, "band").groupBy(date, "band", lat, lon).agg(
         F.max("seen").alias("seen"), F.max(value).alias(value)
     )
     filled = F.when(F.col("seen"), F.col(value)).otherwise(F.lit(absent))
-    ordered = F.array_sort(F.collect_list(F.struct("lat_index", "lon_index", filled.alias("v"))))
-    tiles = full.groupBy(date, "band").agg(ordered.alias("cells"))
+    # rows of a band first, then the band: short sorts instead of one long one
+    rows = full.groupBy(date, "band", lat).agg(
+        F.array_sort(F.collect_list(F.struct(lon, filled.cast("float").alias("v")))).alias("cells")
+    ).select(date, "band", lat, F.transform("cells", lambda c: c["v"]).alias("row"))
+    tiles = rows.groupBy(date, "band").agg(
+        F.array_sort(F.collect_list(F.struct(lat, "row"))).alias("rows")
+    )
     return tiles.select(
         F.concat(F.lit("grid_"), F.col(date).cast("date").cast("string")).alias("source_file"),
         (F.col("band") * rows_per_tile).alias("lat_offset"),
         F.array(F.col(date).cast("timestamp_ntz")).alias("time"),
-        F.slice(lat_axis, F.col("band") * rows_per_tile + 1, F.lit(rows_per_tile)).alias("latitude"),
+        F.transform("rows", lambda r: r[lat]).alias("latitude"),
         lon_axis.alias("longitude"),
-        F.transform("cells", lambda c: c["v"].cast("float")).alias("no2"),
+        F.flatten(F.transform("rows", lambda r: r["row"])).alias("no2"),
         _literal_map(attrs).alias("var_attrs"),
         _literal_map(ds_attrs).alias("ds_attrs"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nitrogrid.functions.classes import is_missing
+from nitrogrid.functions.text import any_of
 
 BUCKETS = 1000
 SMALL_ROWS = 1_000_000
@@ -124,7 +125,9 @@ def _values_at(clean, targets, brackets, ranks):
         F.count_if(cell(t).cast("double") < brackets[t][1]).alias(f"b{i}") for t, i in number.items()
     ]).first()
 
-    inside = clean.select(F.explode(F.array_compact(F.array(*[
+    # plain range tests first: few rows are left for the per-target work
+    near = any_of([cell(t).cast("double").between(*brackets[t][1:]) for t in live])
+    inside = clean.filter(near).select(F.explode(F.array_compact(F.array(*[
         F.when(bucket(t).isNotNull(), F.struct(
             F.lit(i).alias("t"), bucket(t).alias("bucket"), cell(t).alias("value"),
         )) for t, i in number.items()
