@@ -6,7 +6,7 @@ from nitrogrid import constants as K
 from nitrogrid.functions.text import (
     any_of, blank_to_null, contains_any, download_file_name, title_from_snake,
 )
-from nitrogrid.operators.joins import salted_left_join
+from nitrogrid.operators.joins import lookup_join
 from nitrogrid.operators.ordinals import with_ordinal
 
 
@@ -109,7 +109,7 @@ def resolve_files(entries, listing, key, salts=8):
     """
     numbered = with_ordinal(entries, key, "position")
     existing = listing.select(F.col("path").alias("file_path"), F.lit(True).alias("_exists"))
-    joined = salted_left_join(numbered, existing, ["file_path"], [key], salts)
+    joined = lookup_join(numbered, existing, ["file_path"], [key], salts)
     origin = F.when(F.col("_exists"), F.lit("local")).when(
         F.col("file_url").isNotNull(), F.lit("download")
     )

@@ -5,6 +5,8 @@ from operator import and_
 
 from pyspark.sql import functions as F
 
+from nitrogrid.operators.partitioning import is_small
+
 
 def salted_left_join(left, right, keys, spread_by, salts=8):
     """Left join where a hot key of ``left`` is spread over ``salts`` tasks.
@@ -25,3 +27,14 @@ def salted_left_join(left, right, keys, spread_by, salts=8):
     return salted.join(renamed, reduce(and_, same), "left").drop(
         "_salt", *[f"_r_{k}" for k in [*keys, "_salt"]]
     )
+
+
+def lookup_join(left, right, keys, spread_by=None, salts=8):
+    """Left join with a lookup table that has one row per key.
+
+    A table whose size was checked is broadcast, so ``left`` stays where it is. A larger one
+    is joined by shuffle, salted when ``spread_by`` is given.
+    """
+    if is_small(right):
+        return left.join(F.broadcast(right), keys, "left")
+    return salted_left_join(left, right, keys, spread_by, salts if spread_by else 1)

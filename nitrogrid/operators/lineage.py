@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from nitrogrid.operators.partitioning import broadcast_if_small
+from nitrogrid.operators.joins import lookup_join
 
 
 def file_indexes(files, source="source_file"):
@@ -26,7 +26,7 @@ def with_file_index(df, files=None, source="source_file"):
     per value. The list is broadcast only after its size was checked.
     """
     indexes = file_indexes(df if files is None else files, source)
-    return df.join(broadcast_if_small(indexes), source, "left")
+    return lookup_join(df, indexes, [source])
 
 
 def with_source_file(df):

@@ -95,7 +95,7 @@ def grid_round_trip(spark, sf):
     )
 
 
-def _gridded(spark, sf):
+def gridded(spark, sf):
     snapped = D.snap(V.obs(spark, sf), step=5.0)
     return snapped.withColumns({"date": F.to_date("time"), "no2": F.col("no2") / 1e13})
 
@@ -105,18 +105,18 @@ def axis_values(spark, sf):
 
 
 def grid_spine(spark, sf):
-    return D.grid_frame(_gridded(spark, sf)).withColumn("date", F.col("date").cast("string"))
+    return D.grid_frame(gridded(spark, sf)).withColumn("date", F.col("date").cast("string"))
 
 
 def densify_grid(spark, sf):
-    return D.densify(_gridded(spark, sf)).select(
+    return D.densify(gridded(spark, sf)).select(
         F.col("date").cast("string").alias("date"), "latitude", "longitude", F.round("no2", 6).alias("no2")
     )
 
 
 def dense_tiles(spark, sf):
     """Dense tiles of two latitude rows, flattened again: the gridded sink's content."""
-    tiles = D.dense_tiles(_gridded(spark, sf), rows_per_tile=2)
+    tiles = D.dense_tiles(gridded(spark, sf), rows_per_tile=2)
     rows = G.flatten_grid(tiles, keep=["source_file", "lat_offset"])
     return rows.select("source_file", "lat_offset", "latitude", "longitude", F.round("no2", 2).alias("no2"))
 

@@ -1,16 +1,16 @@
 """Registered queries: request scoring with a formula predictor, batch and streaming."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nitrogrid.plans import scoring as S
 from nitrogrid.registry import views as V
+from nitrogrid.schemas import BATCH_REQUEST, SCORE_REQUEST
 from nitrogrid.session import work_path
 from nitrogrid.sinks.replies import batch_replies, single_replies
 from nitrogrid.sources.requests import parse_requests
 from nitrogrid.streaming import pipelines as P
 
-RESULT = ["no2_value", "air_quality", "color", "error"]
-
 
 def _shown(scored, *keep):
     return scored.select(
@@ -62,10 +62,13 @@ def batch_score(spark, sf):
 
 
 def batch_reply_counts(spark, sf):
-    """Reply envelopes without the range test: size and summed value per request."""
+    """Batch requests as JSON text in, reply envelopes out, without the range test."""
+    bodies = V.batch_requests(spark, sf).select(
+        "request_id", F.to_json(F.struct(*BATCH_REQUEST.names)).alias("body")
+    )
+    batches = parse_requests(bodies, schema=BATCH_REQUEST, keep=["request_id"])
     scored = S.score_batches(
-        V.batch_requests(spark, sf), S.formula_predictor(), V.AS_OF, keep=["request_id"],
-        range_check=False,
+        batches, S.formula_predictor(), V.AS_OF, keep=["request_id"], range_check=False
     ).withColumn("position", F.struct("latitude", "longitude", "name"))
     replies = batch_replies(scored)
     total = F.aggregate("predictions", F.lit(0.0), lambda a, p: a + p["no2_value"] / 1e13)
@@ -88,9 +91,7 @@ def scenario_offsets(spark, sf):
 
 def stream_flatten(spark, sf):
     """The embeddings table as a block stream, flattened to Parquet, then read."""
-    from nitrogrid.registry.views import table
-
-    source = table(spark, sf, "embeddings")
+    source = V.table(spark, sf, "embeddings")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
     start = F.to_timestamp_ntz(F.lit("2023-08-01 00:00:00"))
     blocks = stream.select(
@@ -112,9 +113,6 @@ def stream_score(spark, sf):
     """Requests written as JSON files, scored as a stream, then read."""
     out = work_path(spark, "stream-score")
     V.requests(spark, sf).write.json(f"{out}/requests")
-    from nitrogrid.schemas import SCORE_REQUEST
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("event_id", T.LongType()), *SCORE_REQUEST.fields])
     stream = P.read_request_stream(spark, f"{out}/requests", schema)
     scored = P.score_stream(stream, S.formula_predictor(), V.AS_OF)
@@ -145,7 +143,7 @@ FILLED = V.REQUESTS + f""", filled AS (
 NAMES = dict(lat="latitude", lon="longitude", doy="day_of_year", weekend="is_weekend", t="temperature", w="wind_speed")
 
 
-def _scored(kind):
+def scored_sql(kind):
     sql = V.SMOOTH_SQL if kind == "smooth" else V.BOXES_SQL
     return FILLED + f""", scored AS (
   SELECT *, CASE WHEN error IS NULL THEN {sql.format(**NAMES)} END AS v FROM filled)"""
@@ -167,8 +165,8 @@ ORACLE = {
     "score_defaults": f"""WITH {FILLED}
 SELECT event_id, month, day_of_year, is_weekend, round(temperature, 6) AS temperature,
        round(wind_speed, 6) AS wind_speed, round(humidity, 6) AS humidity FROM filled""",
-    "score_requests": f"WITH {_scored('smooth')} SELECT event_id, {SCORED_COLUMNS} FROM scored",
-    "score_json": f"""WITH {_scored('boxes')}
+    "score_requests": f"WITH {scored_sql('smooth')} SELECT event_id, {SCORED_COLUMNS} FROM scored",
+    "score_json": f"""WITH {scored_sql('boxes')}
 SELECT event_id, error IS NULL AS success, round(v / 1e13, 6) AS no2_value,
        {V.CODE_SQL.format(x='v')} AS air_quality, error FROM scored""",
     "batch_score": f"WITH {_BATCH} SELECT request_id, name, {SCORED_COLUMNS} FROM scored",
@@ -182,5 +180,5 @@ SELECT month, round(avg(v) FILTER (is_weekend = 0) / 1e13, 6) AS weekday,
        round(avg(v) FILTER (is_weekend = 1) / 1e13, 6) AS weekend FROM scored GROUP BY 1""",
     "stream_flatten": f"""WITH {V.grid_sql()}
 SELECT vec_id, round(no2, 6) AS no2, latitude, longitude, strftime(day, '%Y-%m-%d') AS day FROM flat""",
-    "stream_score": f"WITH {_scored('smooth')} SELECT event_id, {SCORED_COLUMNS} FROM scored",
+    "stream_score": f"WITH {scored_sql('smooth')} SELECT event_id, {SCORED_COLUMNS} FROM scored",
 }

@@ -8,13 +8,16 @@ from nitrogrid.plans import scoring as S
 from nitrogrid.plans.catalog import manifest_observations
 from nitrogrid.registry import grids
 from nitrogrid.registry import views as V
+from nitrogrid.registry.scoring import scored_sql
 from nitrogrid.schemas import GRID_BLOCK
 from nitrogrid.session import work_path
 from nitrogrid.sinks.grids import write_grid
 from nitrogrid.sinks.replies import single_replies, write_replies
 from nitrogrid.sinks.tables import preview, write_catalog_report, write_csv, write_observations
 from nitrogrid.sources.files import list_files
-from nitrogrid.sources.granules import granules_by_glob, granules_by_token, read_blocks
+from nitrogrid.sources.granules import (
+    granules_by_glob, granules_by_token, read_blocks, unread_files,
+)
 from nitrogrid.sources.manifest import manifest_in
 
 
@@ -68,11 +71,21 @@ def catalog_sink(spark, sf):
 
 def grid_sink(spark, sf):
     """Rows made a dense grid, written as blocks, read and flattened."""
-    path = write_grid(grids._gridded(spark, sf), work_path(spark, "grid"), rows_per_tile=2)
+    path = write_grid(grids.gridded(spark, sf), work_path(spark, "grid"), rows_per_tile=2)
     rows = flatten_grid(valid_blocks(read_blocks(spark, path)))
     return rows.select("source_file", "latitude", "longitude", F.round("no2", 2).alias("no2"))
 
 
+def unread_granules(spark, sf):
+    """Blocks read from a folder that also holds three files that are not blocks."""
+    folder = work_path(spark, "mixed")
+    V.grid(spark, sf).select(*GRID_BLOCK.names).write.parquet(folder)
+    V.table(spark, sf, "pages").select("url").repartition(3).write.mode("append").text(folder)
+    blocks = read_blocks(spark, folder).agg(F.count(F.lit(1)).alias("blocks"))
+    unread = unread_files(spark, folder, "*").agg(F.count(F.lit(1)))
+    return blocks.withColumn("unread", unread.scalar())
+
+
 def reply_sink(spark, sf):
     scored = S.score_requests(V.requests(spark, sf), S.formula_predictor(), V.AS_OF)
     path = write_replies(single_replies(scored, keep=["event_id"]), work_path(spark, "replies"))
@@ -112,6 +125,7 @@ QUERIES = {
     "csv_sink": csv_sink,
     "catalog_sink": catalog_sink,
     "grid_sink": grid_sink,
+    "unread_granules": unread_granules,
     "reply_sink": reply_sink,
     "preview_rows": preview_rows,
     "manifest_to_observations": manifest_to_observations,
@@ -123,12 +137,6 @@ _LISTING = """listing AS (
     WHEN 4 THEN 'edsc_Collection_' || p_partkey || '.csv' ELSE 'export_' || p_partkey || '.csv' END AS file_name FROM part)"""
 
 
-def _scored():
-    from nitrogrid.registry.scoring import _scored as scored
-
-    return scored("smooth")
-
-
 ORACLE = {
     "granules_glob": f"WITH {_LISTING} SELECT file_name, '/data/' || file_name AS path FROM listing WHERE file_name GLOB '*TEMPO*NO2*.nc'",
     "granules_token": f"""WITH {_LISTING} SELECT file_name, '/data/' || file_name AS path FROM listing
@@ -141,7 +149,8 @@ WHERE file_name LIKE '%.csv' AND regexp_matches(lower(file_name), 'collection|ed
     "catalog_sink": f"WITH {V.MANIFEST} SELECT row_number, category, short_name, data_provider FROM subject",
     "grid_sink": f"""WITH {grids.GRIDDED}
 SELECT 'grid_' || strftime(date, '%Y-%m-%d') AS source_file, latitude, longitude, round(no2::float::double, 2) AS no2 FROM dense""",
-    "reply_sink": f"""WITH {_scored()}
+    "unread_granules": "SELECT count(*) AS blocks, 3 AS unread FROM embeddings",
+    "reply_sink": f"""WITH {scored_sql('smooth')}
 SELECT error IS NULL AS success, error, {V.CODE_SQL.format(x='v')} AS air_quality, count(*) AS n FROM scored GROUP BY ALL""",
     "preview_rows": f"WITH {V.OBS} SELECT event_id, source_file, round(no2 / 1e13, 6) AS no2 FROM obs ORDER BY event_id LIMIT 5",
     "manifest_to_observations": f"""WITH {V.grid_sql()}

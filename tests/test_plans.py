@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from nitrogrid.operators import features
+from nitrogrid.operators import features, joins
 from nitrogrid.operators import grid as G
 from nitrogrid.registry import grids, observations, preparation, scoring
 from nitrogrid.registry import views as V
@@ -72,7 +72,7 @@ def test_dense_tiles_use_one_shuffle_for_both_aggregates(spark):
 
 
 def test_large_weather_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(features, "is_small", lambda df: False)
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
     rows = V.obs(spark, SF).withColumns({"date": F.to_date("time"), "day_of_year": F.dayofyear("time")})
     weather = V.table(spark, SF, "events").select(F.to_date("ts").alias("date"), F.col("value").alias("temperature"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

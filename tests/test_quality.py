@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from nitrogrid.operators import features, quality
+from nitrogrid.operators import joins, quality
 from nitrogrid.operators.features import (
     interaction_features, model_features, select_features, temporal_features, weather_features,
 )
@@ -120,7 +120,7 @@ def test_features_and_selection(spark):
 
 @pytest.mark.parametrize("salts,small", [(1, False), (4, False), (4, True)])
 def test_weather_never_multiplies_rows(spark, monkeypatch, salts, small):
-    monkeypatch.setattr(features, "is_small", lambda df: small)
+    monkeypatch.setattr(joins, "is_small", lambda df: small)
     df = spark.range(100).select(
         "id", F.lit("2023-08-01").alias("date"), F.lit(10).alias("day_of_year"),
         F.lit(1.0).alias("latitude"), F.col("id").cast("double").alias("longitude"),
