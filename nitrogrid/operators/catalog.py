@@ -101,7 +101,7 @@ def extract_entries(df, key, roles=None, keywords=None, columns=None):
     )
 
 
-def resolve_files(entries, listing, key, salts=8):
+def resolve_files(entries, listing, key):
     """File of each entry: an existing path first, else a name derived from its URL.
 
     ``listing`` has one row per existing file (``path``). Adds ``position`` among the
@@ -109,7 +109,7 @@ def resolve_files(entries, listing, key, salts=8):
     """
     numbered = with_ordinal(entries, key, "position")
     existing = listing.select(F.col("path").alias("file_path"), F.lit(True).alias("_exists"))
-    joined = lookup_join(numbered, existing, ["file_path"], [key], salts)
+    joined = lookup_join(numbered, existing, ["file_path"])
     origin = F.when(F.col("_exists"), F.lit("local")).when(
         F.col("file_url").isNotNull(), F.lit("download")
     )

@@ -33,14 +33,11 @@ def interaction_features(df):
     })
 
 
-def weather_features(df, weather=None, on=("date",), fallback=None, salts=8,
-                     spread_by=("latitude", "longitude")):
+def weather_features(df, weather=None, on=("date",), fallback=None):
     """Weather columns from a weather table, with fallbacks where it has no row.
 
     The weather table is averaged to one row per key first, so the join never multiplies
-    rows. A weather table whose size was checked to be small is broadcast; with a large one
-    a hot key is spread by the columns ``spread_by``. Without a table only the fallbacks are
-    used. Needs ``day_of_year``.
+    rows. Without a table only the fallbacks are used. Needs ``day_of_year``.
     """
     fallback = {**WEATHER_FALLBACK, **(fallback or {})}
     measures = ["temperature", *fallback]
@@ -48,7 +45,7 @@ def weather_features(df, weather=None, on=("date",), fallback=None, salts=8,
     if weather is not None:
         given = [m for m in measures if m in weather.columns]
         unique = weather.groupBy(*on).agg(*[F.avg(m).alias(f"_{m}") for m in given])
-        df = lookup_join(df, unique, list(on), spread_by, salts)
+        df = lookup_join(df, unique, list(on))
     defaults = {
         "temperature": temperature_baseline(F.col("day_of_year")),
         **{m: F.lit(v) for m, v in fallback.items()},
@@ -59,12 +56,12 @@ def weather_features(df, weather=None, on=("date",), fallback=None, salts=8,
     return df.withColumns(filled).drop(*[f"_{m}" for m in given])
 
 
-def model_features(df, weather=None, on=("date",), date="date", salts=8):
+def model_features(df, weather=None, on=("date",), date="date"):
     """Calendar, region, weather and interaction columns of the full model."""
     calendar = calendar_columns(F.col(date))
     wanted = {k: calendar[k] for k in ("year", "month", "day", "day_of_year", "day_of_week", "is_weekend")}
     df = spatial_features(df.withColumns(wanted))
-    return interaction_features(weather_features(df, weather, on, salts=salts))
+    return interaction_features(weather_features(df, weather, on))
 
 
 def select_features(df, features, target="no2", keys=()):

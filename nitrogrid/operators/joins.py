@@ -1,40 +1,52 @@
-"""Joins against a table with one row per key."""
+"""Left joins with a lookup table that has one row per key."""
 
 from functools import reduce
-from operator import and_
+from operator import or_
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nitrogrid.operators.partitioning import is_small
 
+HOT_KEYS = 1000
+HOT_ROWS = 1_000_000
 
-def salted_left_join(left, right, keys, spread_by, salts=8):
-    """Left join where a hot key of ``left`` is spread over ``salts`` tasks.
-
-    ``right`` must have one row per key; it is repeated once per salt. The salt is a hash of
-    the columns ``spread_by``, which should vary within a key, so a retried task sends its
-    rows to the same place. Spark still broadcasts ``right`` when its measured size allows,
-    and adaptive execution splits what stays skewed.
-    """
-    if salts <= 1:
-        return left.join(right, keys, "left")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    renamed = copies.select(*[
-        F.col(c).alias(f"_r_{c}" if c in keys or c == "_salt" else c) for c in copies.columns
-    ])
-    same = [F.col(k) == F.col(f"_r_{k}") for k in [*keys, "_salt"]]
-    return salted.join(renamed, reduce(and_, same), "left").drop(
-        "_salt", *[f"_r_{k}" for k in [*keys, "_salt"]]
-    )
 
-
-def lookup_join(left, right, keys, spread_by=None, salts=8):
-    """Left join with a lookup table that has one row per key.
+def lookup_join(left, right, keys, hot_keys=HOT_KEYS):
+    """Left join with a lookup table.
 
     A table whose size was checked is broadcast, so ``left`` stays where it is. A larger one
-    is joined by shuffle, salted when ``spread_by`` is given.
+    is joined by ``skewed_left_join``.
     """
     if is_small(right):
         return left.join(F.broadcast(right), keys, "left")
-    return salted_left_join(left, right, keys, spread_by, salts if spread_by else 1)
+    return skewed_left_join(left, right, keys, hot_keys)
+
+
+def skewed_left_join(left, right, keys, hot_keys=HOT_KEYS, hot_rows=HOT_ROWS):
+    """Left join of two large tables where a few keys may hold most rows of ``left``.
+
+    The keys with more than ``hot_rows`` rows are counted first (combined before the
+    shuffle), at most the ``hot_keys`` most frequent ones. Their rows meet as many rows of
+    ``right`` by broadcast and are not shuffled; rows with a null key match nothing and are
+    not shuffled either. The other keys hold at most one part in ``hot_keys`` of the rows
+    each, and are joined by shuffle.
+    """
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    keyed = left.filter(~no_key)
+    frequent = (
+        keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+        .orderBy(F.desc("_rows"), *keys).limit(hot_keys).select(*keys)
+    )
+    # fixed once, so that the two branches cannot disagree; at most `hot_keys` rows
+    found = frequent.collect()
+    columns = [*left.columns, *[c for c in right.columns if c not in keys]]
+    branches = []
+    if found:
+        hot = F.broadcast(left.sparkSession.createDataFrame(found, frequent.schema))
+        hot_right = F.broadcast(right.join(hot, keys, "left_semi"))
+        branches.append(keyed.join(hot, keys, "left_semi").join(hot_right, keys, "left"))
+        keyed = keyed.join(hot, keys, "left_anti")
+    branches.append(keyed.join(right, keys, "left"))
+    joined = reduce(DataFrame.unionByName, [b.select(columns) for b in branches])
+    return joined.unionByName(left.filter(no_key), allowMissingColumns=True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from nitrogrid.operators import features, joins
+from nitrogrid.operators import joins
 from nitrogrid.operators import grid as G
 from nitrogrid.registry import grids, observations, preparation, scoring
 from nitrogrid.registry import views as V
@@ -71,16 +71,17 @@ def test_dense_tiles_use_one_shuffle_for_both_aggregates(spark):
     assert "ENSURE_REQUIREMENTS" not in re.sub(r"Subquery.*", "", after.split("Exchange")[0])
 
 
-def test_large_weather_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(joins, "is_small", lambda df: False)
-    rows = V.obs(spark, SF).withColumns({"date": F.to_date("time"), "day_of_year": F.dayofyear("time")})
-    weather = V.table(spark, SF, "events").select(F.to_date("ts").alias("date"), F.col("value").alias("temperature"))
+@pytest.mark.parametrize("hot_rows,anti", [(0, True), (10**6, False)])
+def test_large_lookup_is_shuffled_but_hot_keys_are_not(spark, hot_rows, anti):
+    rows = V.obs(spark, SF).withColumn("date", F.to_date("time"))
+    weather = V.table(spark, SF, "events").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("t"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan_text(features.weather_features(rows, weather, spread_by=["event_id"]))
+        text = plan_text(joins.skewed_left_join(rows, weather, ["date"], hot_rows=hot_rows))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin [date" in text and "_salt" in text
+    assert text.count("SortMergeJoin") == 1
+    assert ("LeftAnti" in text) == anti == ("BroadcastHashJoin" in text)
 
 
 def test_shared_folder_comes_from_the_session(spark):
