@@ -1,7 +1,6 @@
 """Grid blocks: variables by alias, validation, structure, tiles, and flattening to rows."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nitrogrid import constants as K
 from nitrogrid.functions.geo import axis_values

@@ -1,6 +1,5 @@
 import os
 
-from pyspark.sql import functions as F
 
 from nitrogrid import constants as K
 from nitrogrid.operators import catalog as C
