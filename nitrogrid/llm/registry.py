@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from nitrogrid.llm import exact_dedup, packing, token_counts
+from nitrogrid.llm import exact_dedup, language_id, license_scan, packing, token_counts, toxicity
 from nitrogrid.llm.common import documents
 
 
+def op1_set_similarity_license_scan(spark, sf_dir):
+    return license_scan.license_blocks(documents(spark, sf_dir))
+
+
+def op4_ordinal_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.graded(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_bloom_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(documents(spark, sf_dir))
 
@@ -18,11 +27,18 @@ def op8_rank_synchronous_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op10_crf_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return language_id.predicted(docs, language_id.fit(docs))
+
+
 QUERIES = {f.__name__: f for f in (
-    op5_bloom_exact_dedup, op7_best_fit_packing, op8_rank_synchronous_token_counts,
+    op1_set_similarity_license_scan, op4_ordinal_toxicity, op5_bloom_exact_dedup, op7_best_fit_packing,
+    op8_rank_synchronous_token_counts, op10_crf_language_id,
 )}
 
 ORACLE = {
+    "op1_set_similarity_license_scan": license_scan.oracle_sql(),
     "op5_bloom_exact_dedup": r"""
         WITH h AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS sha
