@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from nitrogrid.llm import exact_dedup, language_id, license_scan, packing, token_counts, toxicity
+from nitrogrid.llm import (
+    decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, token_counts, toxicity,
+)
 from nitrogrid.llm.common import documents
 
 
@@ -10,6 +12,10 @@ def op1_set_similarity_license_scan(spark, sf_dir):
     return license_scan.license_blocks(documents(spark, sf_dir))
 
 
+def op3_probminhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_classes(documents(spark, sf_dir))
+
+
 def op4_ordinal_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return toxicity.graded(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -19,6 +25,10 @@ def op5_bloom_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(documents(spark, sf_dir))
 
 
+def op6_latent_decontamination(spark, sf_dir):
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.packed(documents(spark, sf_dir))
 
@@ -33,7 +43,8 @@ def op10_crf_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_set_similarity_license_scan, op4_ordinal_toxicity, op5_bloom_exact_dedup, op7_best_fit_packing,
+    op1_set_similarity_license_scan, op3_probminhash_near_dedup, op4_ordinal_toxicity, op5_bloom_exact_dedup,
+    op6_latent_decontamination, op7_best_fit_packing,
     op8_rank_synchronous_token_counts, op10_crf_language_id,
 )}
 
