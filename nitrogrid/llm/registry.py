@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from nitrogrid.llm import (
-    decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, token_counts, toxicity,
+    decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, suffix_dedup,
+    token_counts, toxicity,
 )
 from nitrogrid.llm.common import documents
 
@@ -12,6 +13,10 @@ def op1_set_similarity_license_scan(spark, sf_dir):
     return license_scan.license_blocks(documents(spark, sf_dir))
 
 
+def op2_recompression_substring_dedup(spark, sf_dir):
+    return substring_dedup.without_repeats(documents(spark, sf_dir))
+
+
 def op3_probminhash_near_dedup(spark, sf_dir):
     return near_dedup.near_classes(documents(spark, sf_dir))
 
@@ -37,15 +42,19 @@ def op8_rank_synchronous_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op9_column_wise_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(documents(spark, sf_dir))
+
+
 def op10_crf_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return language_id.predicted(docs, language_id.fit(docs))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_set_similarity_license_scan, op3_probminhash_near_dedup, op4_ordinal_toxicity, op5_bloom_exact_dedup,
+    op1_set_similarity_license_scan, op2_recompression_substring_dedup, op3_probminhash_near_dedup, op4_ordinal_toxicity, op5_bloom_exact_dedup,
     op6_latent_decontamination, op7_best_fit_packing,
-    op8_rank_synchronous_token_counts, op10_crf_language_id,
+    op8_rank_synchronous_token_counts, op9_column_wise_suffix_dedup, op10_crf_language_id,
 )}
 
 ORACLE = {
