@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nitrogrid.session import work_path
+from nitrogrid.session import work_path  # noqa: F401  (also for tests)
 
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
