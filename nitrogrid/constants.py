@@ -81,6 +81,7 @@ DEFAULT_WIND_SPEED = 10.0
 DEFAULT_HUMIDITY = 60.0
 DEFAULT_LOCATION_NAME = "Unknown"
 
+MESSAGE_LOCATIONS_REQUIRED = "locations array is required"
 MESSAGE_COORDINATES_REQUIRED = "latitude and longitude are required"
 MESSAGE_LATITUDE_RANGE = "latitude must be between 25 and 50"
 MESSAGE_LONGITUDE_RANGE = "longitude must be between -125 and -65"

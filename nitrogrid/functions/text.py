@@ -60,3 +60,8 @@ def fixed3(column):
 def stamp(time):
     """Time suffix used in default output names."""
     return F.date_format(time, "yyyyMMdd_HHmmss")
+
+
+def plain_path(path):
+    """One form for the ways to write a local path: ``/d/f``, ``file:/d/f``, ``file:///d/f``."""
+    return F.regexp_replace(F.trim(path), "^file:/+", "/")

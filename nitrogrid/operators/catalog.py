@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from nitrogrid import constants as K
 from nitrogrid.functions.text import (
-    any_of, blank_to_null, contains_any, download_file_name, title_from_snake,
+    any_of, blank_to_null, contains_any, download_file_name, plain_path, title_from_snake,
 )
-from nitrogrid.operators.joins import lookup_join
 from nitrogrid.operators.ordinals import with_ordinal
 
 
@@ -108,17 +107,17 @@ def resolve_files(entries, listing, key):
     entries, ``resolved`` and ``origin`` (``local``, ``download`` or null).
     """
     numbered = with_ordinal(entries, key, "position")
-    existing = listing.select(F.col("path").alias("file_path"), F.lit(True).alias("_exists"))
-    joined = lookup_join(numbered, existing, ["file_path"])
-    origin = F.when(F.col("_exists"), F.lit("local")).when(
+    existing = listing.select(plain_path(F.col("path")).alias("_plain"), F.col("path").alias("_exists")).distinct()
+    joined = numbered.withColumn("_plain", plain_path(F.col("file_path"))).join(existing, "_plain", "left")
+    origin = F.when(F.col("_exists").isNotNull(), F.lit("local")).when(
         F.col("file_url").isNotNull(), F.lit("download")
     )
     return joined.withColumns({
         "origin": origin,
-        "resolved": F.when(F.col("_exists"), F.col("file_path")).when(
+        "resolved": F.when(F.col("_exists").isNotNull(), F.col("_exists")).when(
             F.col("file_url").isNotNull(), download_file_name(F.col("file_url"), F.col("position"))
         ),
-    }).drop("_exists")
+    }).drop("_exists", "_plain")
 
 
 def resolved_files(resolved):

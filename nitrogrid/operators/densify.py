@@ -8,7 +8,7 @@ snap free coordinates to a regular axis first.
 
 from pyspark.sql import functions as F
 
-from nitrogrid.operators.partitioning import broadcast_if_small, spread
+from nitrogrid.operators.partitioning import spread
 
 
 def snap(df, lat="latitude", lon="longitude", step=1.0):
@@ -63,7 +63,7 @@ def dense_tiles(df, value="no2", order="event_id", date="date", lat="latitude",
         date, band, lat, lon, F.lit(None).cast("double").alias(value), F.lit(False).alias("seen"),
     )
     cells = last_values(df, [date, lat, lon], value, order)
-    placed = cells.join(broadcast_if_small(bands), F.col(lat) == F.col("_lat")).select(
+    placed = cells.join(bands, F.col(lat) == F.col("_lat")).select(
         date, band, lat, lon, F.col(value).cast("double").alias(value), F.lit(True).alias("seen"),
     )
     full = frame.unionAll(placed).repartition(date, "band").groupBy(date, "band", lat, lon).agg(

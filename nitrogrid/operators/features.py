@@ -6,7 +6,6 @@ from nitrogrid import constants as K
 from nitrogrid.functions.calendar import calendar_columns
 from nitrogrid.functions.field import temperature_baseline
 from nitrogrid.functions.geo import region_columns
-from nitrogrid.operators.joins import lookup_join
 
 # used where no weather row matches; temperature falls back to the seasonal baseline
 WEATHER_FALLBACK = {"wind_speed": K.DEFAULT_WIND_SPEED, "humidity": K.DEFAULT_HUMIDITY, "pressure": 1013.0}
@@ -45,7 +44,7 @@ def weather_features(df, weather=None, on=("date",), fallback=None):
     if weather is not None:
         given = [m for m in measures if m in weather.columns]
         unique = weather.groupBy(*on).agg(*[F.avg(m).alias(f"_{m}") for m in given])
-        df = lookup_join(df, unique, list(on))
+        df = df.join(unique, list(on), "left")
     defaults = {
         "temperature": temperature_baseline(F.col("day_of_year")),
         **{m: F.lit(v) for m, v in fallback.items()},

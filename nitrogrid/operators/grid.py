@@ -12,22 +12,27 @@ MODES = ("strict", "lenient")
 
 
 def find_variables(columns, aliases=None):
-    """Canonical name -> the first accepted name that exists, or None."""
+    """Canonical name -> all accepted names that exist, in order."""
     aliases = K.VARIABLE_ALIASES if aliases is None else aliases
     return {
-        name: next((a for a in [*accepted, name] if a in columns), None)
+        name: list(dict.fromkeys(a for a in [*accepted, name] if a in columns))
         for name, accepted in aliases.items()
     }
 
 
 def extract_variables(df, aliases=None):
-    """Rename found variables to canonical names; a variable that is not there is null."""
+    """Rename variables to canonical names; a variable that is not there is null.
+
+    Each row takes the first accepted name that it has a value for, so blocks of files with
+    different names can stand in one frame.
+    """
     found = find_variables(df.columns, aliases)
     types = {f.name: f.dataType for f in GRID_BLOCK}
-    extra = [c for c in df.columns if c not in found.values()]
+    used = {a for names in found.values() for a in names}
+    extra = [f"`{c}`" for c in df.columns if c not in used]
     return df.select(*extra, *[
-        (F.col(f"`{a}`") if a else F.lit(None).cast(types[name])).alias(name)
-        for name, a in found.items()
+        F.coalesce(*[F.col(f"`{a}`").cast(types[name]) for a in names], F.lit(None).cast(types[name])).alias(name)
+        for name, names in found.items()
     ])
 
 
@@ -44,7 +49,8 @@ def _sizes():
 def validate_blocks(blocks, mode="strict"):
     """Add ``error``, null for a usable block.
 
-    Strict: all four variables are required. Lenient: what exists must agree in size.
+    Strict: all four variables are required. Lenient: what exists must agree in size. A block
+    without any variable is rejected in either mode, with the decoder's error if there is one.
     """
     _check_mode(mode)
     nt, nlat, nlon, n = _sizes()
@@ -57,11 +63,13 @@ def validate_blocks(blocks, mode="strict"):
     points = nlat * nlon
     expected = F.when(has_grid, F.when(has_time, nt * points).otherwise(points)).when(has_time, nt)
     mismatch = F.when(has_no2 & (n != expected), F.lit("sizes of variables differ"))
-    return blocks.withColumn("error", F.coalesce(missing, mismatch))
+    nothing = F.when(~F.greatest(*[F.col(v).isNotNull() for v in VARIABLES]), F.lit("no variables"))
+    decoder = F.col("decode_error") if "decode_error" in blocks.columns else F.lit(None).cast("string")
+    return blocks.withColumn("error", F.coalesce(decoder, missing, nothing, mismatch))
 
 
 def valid_blocks(checked):
-    return checked.filter(F.col("error").isNull()).drop("error")
+    return checked.filter(F.col("error").isNull()).drop("error", "decode_error")
 
 
 def rejected_blocks(checked):
@@ -73,10 +81,10 @@ def flatten_grid(blocks, mode="strict", bbox=None, keep=("source_file",), drop=T
 
     Strict mode drops rows with any missing value. Lenient mode looks only at the variables
     that the block has. ``bbox = (lat_lo, lat_hi, lon_lo, lon_hi)`` selects array positions
-    before rows are made. Nothing is shuffled.
+    before rows are made; a block without coordinates has no point in any box. Nothing is shuffled.
     """
     good = valid_blocks(validate_blocks(blocks, mode))
-    rows = _flatten_box(good, bbox, keep) if bbox else _flatten_all(good, mode, keep)
+    rows = _flatten_box(good, mode, bbox, keep) if bbox else _flatten_all(good, mode, keep)
     if not drop:
         return rows.drop("_grid", "_no2", "_time")
     if mode == "strict":
@@ -130,7 +138,7 @@ def _div(a, b):
     return F.call_function("div", a, b)
 
 
-def _flatten_box(blocks, bbox, keep):
+def _flatten_box(blocks, mode, bbox, keep):
     lat_lo, lat_hi, lon_lo, lon_hi = bbox
 
     def positions(axis, lo, hi):
@@ -138,21 +146,36 @@ def _flatten_box(blocks, bbox, keep):
         return F.filter(index, lambda i: F.get(axis, i).between(lo, hi))
 
     nlat, nlon = F.size("latitude"), F.size("longitude")
+    flags = {}
+    if mode == "lenient":
+        flags = {"_grid": F.lit(True), "_no2": F.col("no2").isNotNull(), "_time": F.col("time").isNotNull()}
+        # a block without time has one step, whose time is null
+        blocks = blocks.withColumns({
+            **flags, "time": F.coalesce("time", F.array(F.lit(None).cast("timestamp_ntz"))),
+        })
     boxed = blocks.filter(
         (F.size("time") > 0) & (nlat > 0) & (nlon > 0)
     ).withColumns({
         "_la": positions("latitude", lat_lo, lat_hi), "_lo": positions("longitude", lon_lo, lon_hi),
     }).filter((F.size("_la") > 0) & (F.size("_lo") > 0))
-    cells = F.flatten(F.transform(
+    # first one row per time and latitude, with that latitude's slice of the values, then the
+    # longitudes: no row holds more values than the block did
+    lines = F.flatten(F.transform(
         F.sequence(F.lit(0), F.size("time") - 1),
-        lambda t: F.flatten(F.transform("_la", lambda la: F.transform("_lo", lambda lo: F.struct(
-            F.get("no2", (t * nlat + la) * nlon + lo).cast("double").alias("no2"),
-            F.get("latitude", la).alias("latitude"),
-            F.get("longitude", lo).alias("longitude"),
+        lambda t: F.transform("_la", lambda la: F.struct(
             F.get("time", t).alias("time"),
-        )))),
+            F.get("latitude", la).alias("latitude"),
+            F.slice("no2", (t * nlat + la) * nlon + 1, nlon).alias("_line"),
+        )),
     ))
-    return boxed.select(*keep, F.inline(cells))
+    line = boxed.select(*keep, *flags, "longitude", "_lo", F.inline(lines))
+    return line.select(*keep, *flags, "longitude", "time", "latitude", "_line", F.explode("_lo").alias("_i")).select(
+        *keep, *flags,
+        F.get("_line", F.col("_i")).cast("double").alias("no2"),
+        "latitude",
+        F.get("longitude", F.col("_i")).alias("longitude"),
+        "time",
+    )
 
 
 def tile_blocks(blocks, rows_per_tile=64, keep=("source_file",)):

@@ -2,31 +2,27 @@
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from nitrogrid.operators.joins import lookup_join
+from nitrogrid.operators.ordinals import with_ordinal
 
 
 def file_indexes(files, source="source_file"):
     """``source_file, file_index``: position (from 0) in the sorted list of distinct files.
 
-    The list has one row per file, the same list that a scan's file index holds on the
-    driver, so the ordering window runs over file names and never over observations.
+    The list has one row per file, and is numbered without gathering it in one task.
     """
-    return files.select(source).distinct().select(
-        source, (F.row_number().over(Window.orderBy(source)) - 1).alias("file_index")
-    )
+    return with_ordinal(files.select(source).distinct(), source, "file_index")
 
 
 def with_file_index(df, files=None, source="source_file"):
     """Add ``file_index``. Pass the whole file list to keep gaps for rejected files.
 
     Use it on grid blocks rather than on flattened rows: one lookup per block instead of one
-    per value. The list is broadcast only after its size was checked.
+    per value.
     """
     indexes = file_indexes(df if files is None else files, source)
-    return lookup_join(df, indexes, [source])
+    return df.join(indexes, source, "left")
 
 
 def with_source_file(df):

@@ -3,25 +3,29 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from nitrogrid.session import work_path
 
-def with_ordinal(df, key, name="ordinal", start=0, width=1_000_000):
-    """Number the rows 0, 1, 2 ... in the order of the unique integer ``key``.
 
-    Rows are numbered inside key ranges of ``width`` (each a separate window partition of
-    at most ``width`` rows, because the key is unique); the offset of a range is the number
-    of rows in earlier ranges, a running sum over one row per range. The key should be about
-    as dense as a row number, so that there are few ranges.
+def with_ordinal(df, key, name="ordinal", start=0):
+    """Number the rows ``start``, ``start`` + 1 ... in the order of ``key``; null keys come first.
+
+    The rows are written in that order to the shared folder, one file per task. A row's number is
+    its place in its file plus the rows of the files before, which is a running sum over one row
+    per file: no task sees more than its part, whatever the keys are like. Rows with one key are
+    numbered once, in the written table, so later reads agree.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / F.lit(width)))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return (
-        ranged.withColumn("_inside", inside)
-        .join(offsets, "_range")
-        .withColumn(name, F.col("_offset") + F.col("_inside") + F.lit(start - 1))
-        .select(*df.columns, name)
+    spark = df.sparkSession
+    path = work_path(spark, "ordered")
+    df.orderBy(key).write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path).select(
+        "*",
+        F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("_part"),
+        F.col("_metadata.row_index").alias("_row"),
     )
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    # one row per file of a table that was written by so many tasks
+    return rows.join(F.broadcast(offsets), "_part").withColumn(
+        name, F.col("_offset") + F.col("_row") + F.lit(start)
+    ).select(*[f"`{c}`" for c in df.columns], name)

@@ -1,21 +1,4 @@
-"""Choices that depend on the size of a frame or on the number of shuffle partitions."""
-
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if_small(df, max_rows=BROADCAST_ROWS):
-    """A broadcast hint only when a count has shown that the frame is small.
-
-    The count stops after ``max_rows + 1`` rows. For narrow lookup rows the default is a few
-    tens of megabytes. A larger frame comes back as it is, and the join shuffles.
-    """
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def is_small(df, max_rows=BROADCAST_ROWS):
-    return df.limit(max_rows + 1).count() <= max_rows
+"""Distribution of few rows that are about to become many."""
 
 
 def spread(df, *columns):

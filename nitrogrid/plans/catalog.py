@@ -9,7 +9,7 @@ from nitrogrid.operators.lineage import with_file_index
 from nitrogrid.schemas import OBSERVATION
 from nitrogrid.sinks.tables import write_catalog_report
 from nitrogrid.sources.files import list_files
-from nitrogrid.sources.granules import read_blocks
+from nitrogrid.sources.granules import checked_blocks
 from nitrogrid.sources.manifest import read_manifest_texts, with_row_number
 
 
@@ -35,33 +35,29 @@ def manifest_files(spark, csv_path, data_dir):
     return C.resolved_files(C.resolve_files(entries, list_files(spark, data_dir), "entry"))
 
 
-def observations(spark, paths, mode="lenient"):
-    """Observation rows and rejected blocks of many granules in one scan.
+def observations(spark, folder, pattern="*.parquet", mode="lenient", wanted=None):
+    """Observation rows of a folder's granules, and what was left out with the reason.
 
-    ``file_index`` counts rejected files too, so failures leave gaps. It is looked up once
-    per block, before the block becomes rows.
+    A granule that is no usable block and a file that is damaged are rejected whole and reported
+    in ``rejected`` (``source_file, error``). ``file_index`` counts them too, so failures leave
+    gaps. It is looked up once per block, before the block becomes rows. ``wanted`` (column
+    ``path``) restricts the folder to some files.
     """
-    return _flattened(read_blocks(spark, paths, mode), mode)
+    checked, faults = checked_blocks(spark, folder, mode, pattern, wanted)
+    lost = faults.select(F.col("file_name").alias("source_file"), "error")
+    known = checked.select("source_file").unionByName(lost.select("source_file"))
+    indexed = with_file_index(valid_blocks(checked), known)
+    rows = flatten_grid(indexed, mode, keep=("source_file", "file_index")).select(*OBSERVATION.names)
+    return rows, rejected_blocks(checked).unionByName(lost)
 
 
-def folder_observations(spark, folder, pattern="*.parquet", mode="lenient"):
-    """Fallback without a manifest: all block files of a folder that match a glob."""
-    return _flattened(read_blocks(spark, folder, mode, glob=pattern), mode)
-
-
-def _flattened(checked, mode):
-    indexed = with_file_index(valid_blocks(checked), checked)
-    rows = flatten_grid(indexed, mode, keep=("source_file", "file_index"))
-    return rows, rejected_blocks(checked)
-
-
-def manifest_observations(spark, csv_path, data_dir, mode="lenient"):
+def manifest_observations(spark, csv_path, data_dir, pattern="*.parquet", mode="lenient"):
     """From a manifest to observations of the files it names that exist.
 
-    The paths to read pass through the driver, as they do for any scan of many files.
+    Returns rows, rejected granules, and the entries without a file here (``resolved, origin``).
+    A manifest that names no existing file falls back to all files of the folder that match.
     """
-    files = manifest_files(spark, csv_path, data_dir).filter("origin = 'local'")
-    paths = sorted(row.resolved for row in files.select("resolved").collect())
-    if not paths:
-        return spark.createDataFrame([], OBSERVATION), None
-    return observations(spark, paths, mode)
+    files = manifest_files(spark, csv_path, data_dir)
+    local = files.filter("origin = 'local'").select(F.col("resolved").alias("path"))
+    rows, rejected = observations(spark, data_dir, pattern, mode, None if local.isEmpty() else local)
+    return rows, rejected, files.filter("origin <> 'local'")

@@ -78,11 +78,11 @@ def score_requests(df, predictor, as_of=None, range_check=True):
 def score_batches(batches, predictor, as_of=None, keep=(), range_check=True):
     """Score every location of batch requests.
 
-    Locations without coordinates are left out; a missing name becomes the default. With
-    ``range_check`` a location outside the box stays with its ``error``.
+    A missing name becomes the default. A location without coordinates, or outside the box where
+    ``range_check`` is on, stays with its ``error`` and no prediction; so does a request without
+    locations, as one row.
     """
     rows = explode_batches(batches, keep)
-    rows = rows.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     rows = rows.withColumn("name", F.coalesce("name", F.lit(K.DEFAULT_LOCATION_NAME)))
     return score_requests(rows, predictor, as_of, range_check)
 

@@ -132,11 +132,12 @@ _RESOLVED = V.FILE_MANIFEST + """, numbered AS (
   SELECT *, row_number() OVER (ORDER BY entry) - 1 AS position,
          regexp_extract(regexp_replace(regexp_replace(file_url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '([^/]*)$', 1) AS url_name
   FROM entries),
-listing AS (SELECT DISTINCT '/data/tempo_' || (page_id % 40) || '.nc' AS path FROM pages WHERE (page_id % 40) % 2 = 0),
+listing AS (SELECT DISTINCT '/data/tempo_' || (page_id % 40) || CASE WHEN (page_id % 40) % 2 = 0 THEN '.nc' ELSE '.h5' END AS path,
+    CASE WHEN (page_id % 40) % 2 = 0 THEN 'file:' ELSE 'file://' END AS scheme FROM pages),
 resolved AS (
   SELECT entry, position,
          CASE WHEN path IS NOT NULL THEN 'local' WHEN file_url IS NOT NULL THEN 'download' END AS origin,
-         CASE WHEN path IS NOT NULL THEN path WHEN file_url IS NULL THEN NULL
+         CASE WHEN path IS NOT NULL THEN scheme || path WHEN file_url IS NULL THEN NULL
               WHEN url_name LIKE '%.nc' THEN url_name ELSE 'tempo_file_' || (position + 1) || '.nc' END AS resolved
   FROM numbered LEFT JOIN listing ON file_path = path)"""
 

@@ -132,7 +132,17 @@ def lineage_union(spark, sf):
     )
 
 
+def flatten_bbox_lenient(spark, sf):
+    """A box over blocks of which some have no time and some no values."""
+    blocks = V.grid(spark, sf).withColumns({
+        "time": F.when(F.col("vec_id") % 3 != 0, F.col("time")), "no2": F.when(F.col("vec_id") % 5 != 0, F.col("no2"))})
+    rows = G.flatten_grid(blocks, "lenient", bbox=(26.0, 28.0, -124.0, -121.0), keep=["vec_id"])
+    return rows.select("vec_id", F.round("no2", 6).alias("no2"), "latitude", "longitude",
+                       F.date_format("time", "yyyy-MM-dd").alias("day"))
+
+
 QUERIES = {
+    "flatten_bbox_lenient": flatten_bbox_lenient,
     "flatten_grid": flatten_grid,
     "flatten_steps": flatten_steps,
     "flatten_bbox": flatten_bbox,
@@ -163,6 +173,11 @@ dense AS (SELECT spine.*, coalesce(c.no2, 0.0) AS no2 FROM spine LEFT JOIN (
   USING (date, latitude, longitude))"""
 
 ORACLE = {
+    "flatten_bbox_lenient": """WITH cells AS (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding) AS v FROM embeddings)
+SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN round(v::double, 6) END AS no2,
+       25.0::double + p // 8 AS latitude, -125.0::double + p % 8 AS longitude,
+       CASE WHEN vec_id % 3 <> 0 THEN strftime(DATE '2023-08-01' + vec_id::int, '%Y-%m-%d') END AS day
+FROM cells WHERE p // 8 BETWEEN 1 AND 3 AND p % 8 BETWEEN 1 AND 4 AND (vec_id % 5 = 0 OR v >= -0.2::float)""",
     "flatten_grid": f"WITH {V.grid_sql()} SELECT {FLAT} FROM flat",
     "flatten_steps": f"WITH {V.grid_sql(2, 4, 8)} SELECT {FLAT} FROM flat",
     "flatten_bbox": f"WITH {V.grid_sql(2, 4, 8)} SELECT {FLAT} FROM flat WHERE {BOXED}",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from nitrogrid import constants as K
 from nitrogrid.functions.field import box_response, expected_field, smooth_response
 from nitrogrid.functions.calendar import date_spine, is_weekend
-from nitrogrid.functions.geo import box_weight, hotspot_influence
+from nitrogrid.functions.geo import box_weight, cell_index, hotspot_influence
 from nitrogrid.operators import quality
 from nitrogrid.operators.air_quality import classify, with_display
 from nitrogrid.operators.features import (
@@ -173,12 +173,12 @@ def metrics_by_group(spark, sf):
 
 
 def weather_enriched(spark, sf):
-    """Daily weather for even days; odd days use the fallbacks."""
+    """Daily weather that begins half a month later; the days before it use the fallbacks."""
     rows = V.obs(spark, sf).withColumns({
         "date": F.to_date("time"), "day_of_year": F.dayofyear("time"),
     })
-    weather = V.table(spark, sf, "events").filter(F.dayofmonth("ts") % 2 == 0).select(
-        F.to_date("ts").alias("date"), (F.col("value") / 4).alias("temperature"),
+    weather = V.table(spark, sf, "events").select(
+        F.date_add(F.to_date("ts"), 15).alias("date"), (F.col("value") / 4).alias("temperature"),
         (F.col("value") % 20).alias("wind_speed"),
     )
     joined = weather_features(rows, weather)
@@ -187,7 +187,23 @@ def weather_enriched(spark, sf):
     ])
 
 
+def weather_by_cell(spark, sf):
+    """Weather by day and integer cell of a coarser grid, a day later than it was observed."""
+    def cell(name, origin):
+        return cell_index(F.col(name), origin, 0.7)
+
+    rows = V.obs(spark, sf).withColumns({
+        "date": F.to_date("time"), "day_of_year": F.dayofyear("time"),
+        "cell_lat": cell("latitude", 25.0), "cell_lon": cell("longitude", -125.0),
+    })
+    weather = rows.select(
+        F.date_add("date", 1).alias("date"), "cell_lat", "cell_lon", (F.col("no2") / 1e13 / 4).alias("temperature"))
+    joined = weather_features(rows, weather, on=("date", "cell_lat", "cell_lon"))
+    return joined.select("event_id", F.round("temperature", 6).alias("temperature"), "wind_speed")
+
+
 QUERIES = {
+    "weather_by_cell": weather_by_cell,
     "flagship_air_quality": flagship_air_quality,
     "temporal_features": temporal_features_orders,
     "temporal_features_hourly": temporal_features_events,
@@ -231,6 +247,11 @@ SMOOTH_OBS = V.SMOOTH_SQL.format(
 )
 
 ORACLE = {
+    "weather_by_cell": f"""WITH {V.OBS}, placed AS (
+  SELECT *, round((latitude - 25.0::double) / 0.7::double)::int AS i, round((longitude + 125.0::double) / 0.7::double)::int AS j FROM obs),
+weather AS (SELECT time::date + 1 AS date, i, j, avg(no2 / 1e13 / 4) AS temperature FROM placed GROUP BY ALL)
+SELECT event_id, round(coalesce(w.temperature, {BASELINE_SQL}), 6) AS temperature, 10.0::double AS wind_speed
+FROM placed p LEFT JOIN weather w ON p.time::date = w.date AND p.i = w.i AND p.j = w.j""",
     "flagship_air_quality": f"""WITH {V.OBS_YEAR}
 SELECT ((month(time) % 12) // 3) AS season, {V.CODE_SQL.format(x='no2')} AS air_quality,
        count(*) AS n, round(avg(no2) / 1e13, 6) AS mean_no2,
@@ -324,8 +345,8 @@ SELECT grp, n, round(r2, 6) AS r2, round(rmse / 1e13, 6) AS rmse, round(mae / 1e
             WHEN r2 > 0.7 THEN 'FAIR' ELSE 'NEEDS IMPROVEMENT' END AS level, r2 > 0.8 AS passed
 FROM scored""",
     "weather_enriched": f"""WITH {V.OBS}, weather AS (
-  SELECT ts::date AS date, avg(value / 4) AS temperature, avg(value % 20) AS wind_speed
-  FROM events WHERE day(ts) % 2 = 0 GROUP BY 1)
+  SELECT ts::date + 15 AS date, avg(value / 4) AS temperature, avg(value % 20) AS wind_speed
+  FROM events GROUP BY 1)
 SELECT event_id, round(coalesce(w.temperature, {BASELINE_SQL}), 6) AS temperature,
        round(coalesce(w.wind_speed, 10.0::double), 6) AS wind_speed,
        60.0::double AS humidity, 1013.0::double AS pressure

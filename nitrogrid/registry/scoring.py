@@ -62,17 +62,24 @@ def batch_score(spark, sf):
 
 
 def batch_reply_counts(spark, sf):
-    """Batch requests as JSON text in, reply envelopes out, without the range test."""
-    bodies = V.batch_requests(spark, sf).select(
-        "request_id", F.to_json(F.struct(*BATCH_REQUEST.names)).alias("body")
-    )
+    """Batch requests as JSON text in, reply envelopes out, without the range test.
+
+    Some requests have no list, an empty list, places without coordinates, or are no JSON.
+    """
+    key, none = F.col("request_id"), F.lit(None)
+    placeless = F.transform("locations", lambda e: F.struct(
+        none.cast("double").alias("latitude"), none.cast("double").alias("longitude"), e["name"].alias("name")))
+    requests = V.batch_requests(spark, sf).withColumn("locations", F.when(key % 7 == 5, F.slice("locations", 1, 0)).when(
+        key % 11 == 4, placeless).when(key % 7 != 3, F.col("locations")))
+    bodies = requests.select("request_id", F.when(key % 13 == 6, F.lit("not JSON")).otherwise(
+        F.to_json(F.struct(*BATCH_REQUEST.names))).alias("body"))
     batches = parse_requests(bodies, schema=BATCH_REQUEST, keep=["request_id"])
     scored = S.score_batches(
         batches, S.formula_predictor(), V.AS_OF, keep=["request_id"], range_check=False
     ).withColumn("position", F.struct("latitude", "longitude", "name"))
     replies = batch_replies(scored)
     total = F.aggregate("predictions", F.lit(0.0), lambda a, p: a + p["no2_value"] / 1e13)
-    return replies.select("request_id", "success", "count", F.round(total, 5).alias("total"))
+    return replies.select("request_id", "success", "count", F.round(total, 5).alias("total"), "error")
 
 
 def scenario_offsets(spark, sf):
@@ -156,7 +163,7 @@ _BATCH = V.REQUESTS + f""", located AS (
   SELECT event_id // 16 AS request_id, coalesce(name, 'Unknown') AS name, latitude, longitude, {ERROR_SQL} AS error,
          CASE WHEN (event_id // 16) % 3 <> 0 THEN (event_id // 16) % 365 + 1 ELSE 20 END AS day_of_year,
          CASE WHEN (event_id // 16) % 3 <> 0 THEN (event_id // 16) % 2 ELSE 1 END AS is_weekend
-  FROM requests WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+  FROM requests),
 valued AS (SELECT *, {V.SMOOTH_SQL.format(**NAMES)} AS raw FROM located),
 scored AS (SELECT *, CASE WHEN error IS NULL THEN raw END AS v FROM valued)"""
 
@@ -171,7 +178,12 @@ SELECT event_id, error IS NULL AS success, round(v / 1e13, 6) AS no2_value,
        {V.CODE_SQL.format(x='v')} AS air_quality, error FROM scored""",
     "batch_score": f"WITH {_BATCH} SELECT request_id, name, {SCORED_COLUMNS} FROM scored",
     "batch_reply_counts": f"""WITH {_BATCH}
-SELECT request_id, true AS success, count(*) AS count, round(sum(raw / 1e13), 5) AS total FROM scored GROUP BY 1""",
+SELECT request_id, ok AS success, CASE WHEN ok THEN n END AS count, CASE WHEN ok THEN total END AS total,
+       CASE WHEN NOT ok THEN 'locations array is required' END AS error
+FROM (SELECT request_id, NOT (request_id % 13 = 6 OR (request_id % 7 = 3 AND request_id % 11 <> 4)) AS ok,
+             count(raw) FILTER (request_id % 7 <> 5 AND request_id % 11 <> 4) AS n,
+             coalesce(round(sum(raw / 1e13) FILTER (request_id % 7 <> 5 AND request_id % 11 <> 4), 5), 0) AS total
+      FROM scored GROUP BY 1)""",
     "scenario_offsets": f"""WITH {V.OBS_YEAR}, flags AS (
   SELECT latitude, longitude, month(time) AS month, dayofyear(time) AS day_of_year, f AS is_weekend,
          25.0::double AS temperature, 10.0::double AS wind_speed FROM obs_year, (VALUES (0), (1)) w(f)),

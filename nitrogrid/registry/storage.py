@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from nitrogrid.operators import catalog as C
 from nitrogrid.operators.grid import flatten_grid, valid_blocks
 from nitrogrid.plans import scoring as S
-from nitrogrid.plans.catalog import manifest_observations
+from nitrogrid.plans.catalog import manifest_observations, observations
 from nitrogrid.registry import grids
 from nitrogrid.registry import views as V
 from nitrogrid.registry.scoring import scored_sql
@@ -16,7 +16,7 @@ from nitrogrid.sinks.replies import single_replies, write_replies
 from nitrogrid.sinks.tables import preview, write_catalog_report, write_csv, write_observations
 from nitrogrid.sources.files import list_files
 from nitrogrid.sources.granules import (
-    granules_by_glob, granules_by_token, read_blocks, unread_files,
+    checked_blocks, granules_by_glob, granules_by_token, read_blocks, unread_files,
 )
 from nitrogrid.sources.manifest import manifest_in
 
@@ -77,13 +77,29 @@ def grid_sink(spark, sf):
 
 
 def unread_granules(spark, sf):
-    """Blocks read from a folder that also holds three files that are not blocks."""
+    """Blocks read from a folder that also holds three files that are not blocks, and an empty one."""
     folder = work_path(spark, "mixed")
-    V.grid(spark, sf).select(*GRID_BLOCK.names).write.parquet(folder)
+    blocks = V.grid(spark, sf).select(*GRID_BLOCK.names)
+    blocks.write.parquet(folder)
+    spark.createDataFrame([], GRID_BLOCK).coalesce(1).write.mode("append").parquet(folder)
     V.table(spark, sf, "pages").select("url").repartition(3).write.mode("append").text(folder)
-    blocks = read_blocks(spark, folder).agg(F.count(F.lit(1)).alias("blocks"))
+    found, _ = checked_blocks(spark, folder, glob="*")
     unread = unread_files(spark, folder, "*").agg(F.count(F.lit(1)))
-    return blocks.withColumn("unread", unread.scalar())
+    return found.agg(F.count(F.lit(1)).alias("blocks")).withColumn("unread", unread.scalar())
+
+
+def granule_faults(spark, sf):
+    """Granules of a folder with undecodable blocks and files of another format: all are accounted for."""
+    folder = work_path(spark, "faulty")
+    gap = F.col("vec_id") % 50 == 7
+    V.grid(spark, sf).select(*[
+        c if c in ("source_file", "var_attrs", "ds_attrs") else F.when(~gap, F.col(c)).alias(c) for c in GRID_BLOCK.names
+    ]).write.parquet(folder)
+    V.table(spark, sf, "pages").select("url").repartition(3).write.mode("append").text(folder)
+    rows, rejected = observations(spark, folder, "*")
+    good = rows.groupBy("source_file", "file_index").agg(F.count(F.lit(1)).alias("n"))
+    return good.agg(F.lit("good").alias("state"), F.count(F.lit(1)).alias("granules"), F.max("file_index").alias("last")).unionByName(
+        rejected.groupBy(F.col("error").alias("state")).agg(F.count(F.lit(1)).alias("granules"), F.lit(None).cast("long").alias("last")))
 
 
 def reply_sink(spark, sf):
@@ -100,21 +116,44 @@ def preview_rows(spark, sf):
     return preview(V.obs(spark, sf), "event_id", 5).select("event_id", "source_file", V.scaled("no2"))
 
 
-def manifest_to_observations(spark, sf):
-    """Blocks in files, a manifest that names the files, then rows of the files it names."""
+def _named_granules(spark, sf):
+    """Block files of two kinds: canonical names, and other accepted names."""
     folder = work_path(spark, "granules")
-    blocks = V.grid(spark, sf).select(*GRID_BLOCK.names)
-    blocks.repartition(4, "source_file").write.parquet(folder)
+    blocks = V.grid(spark, sf)
+    other = F.col("vec_id") % 2 == 1
+    columns = [c for c in GRID_BLOCK.names if c not in ("latitude", "longitude")]
+    blocks.filter(~other).select(*GRID_BLOCK.names).repartition(2, "source_file").write.parquet(folder)
+    blocks.filter(other).select(*columns, F.col("latitude").alias("lat"), F.col("longitude").alias("lon")) \
+        .repartition(2, "source_file").write.mode("append").parquet(folder)
+    return folder
+
+
+def _observed(rows):
+    return rows.select("source_file", "file_index", F.round("no2", 6).alias("no2"), "latitude", "longitude")
+
+
+def manifest_to_observations(spark, sf):
+    """A manifest that names files by plain paths and URIs, some twice, some missing; then their rows."""
+    folder = _named_granules(spark, sf)
     files = list_files(spark, folder, "*.parquet")
     csv = write_csv(
         files.select(F.col("path").alias("granule"), F.lit("TEMPO").alias("what"))
-        .unionAll(files.select("path", F.lit("other NO2"))),
+        .unionAll(files.select(F.concat(F.lit("file://"), "path"), F.lit("other NO2")))
+        .unionAll(files.select(F.concat(F.lit("/gone"), "path"), F.lit("no2"))),
         work_path(spark, "collection"),
     )
-    rows, _ = manifest_observations(spark, csv, folder)
-    return rows.select(
-        "source_file", "file_index", F.round("no2", 6).alias("no2"), "latitude", "longitude"
-    )
+    rows, _, _ = manifest_observations(spark, csv, folder)
+    return _observed(rows)
+
+
+def manifest_fallback(spark, sf):
+    """A manifest of which no file exists: the folder's files are taken."""
+    folder = _named_granules(spark, sf)
+    files = list_files(spark, folder, "*.parquet")
+    csv = write_csv(files.select(F.concat(F.lit("/gone"), "path").alias("granule"), F.lit("no2").alias("what")),
+                    work_path(spark, "collection"))
+    rows, _, _ = manifest_observations(spark, csv, folder)
+    return _observed(rows)
 
 
 QUERIES = {
@@ -129,6 +168,8 @@ QUERIES = {
     "reply_sink": reply_sink,
     "preview_rows": preview_rows,
     "manifest_to_observations": manifest_to_observations,
+    "manifest_fallback": manifest_fallback,
+    "granule_faults": granule_faults,
 }
 
 _LISTING = """listing AS (
@@ -153,7 +194,10 @@ SELECT 'grid_' || strftime(date, '%Y-%m-%d') AS source_file, latitude, longitude
     "reply_sink": f"""WITH {scored_sql('smooth')}
 SELECT error IS NULL AS success, error, {V.CODE_SQL.format(x='v')} AS air_quality, count(*) AS n FROM scored GROUP BY ALL""",
     "preview_rows": f"WITH {V.OBS} SELECT event_id, source_file, round(no2 / 1e13, 6) AS no2 FROM obs ORDER BY event_id LIMIT 5",
-    "manifest_to_observations": f"""WITH {V.grid_sql()}
+    "granule_faults": """SELECT 'good' AS state, count(*) AS granules, max(vec_id) AS last FROM embeddings WHERE vec_id % 50 <> 7
+UNION ALL SELECT 'no variables', count(*), NULL FROM embeddings WHERE vec_id % 50 = 7
+UNION ALL SELECT 'unreadable file', 3, NULL""",
+    **dict.fromkeys(["manifest_to_observations", "manifest_fallback"], f"""WITH {V.grid_sql()}
 SELECT source_file, (SELECT count(*) FROM embeddings e WHERE e.vec_id < flat.vec_id) AS file_index,
-       round(no2, 6) AS no2, latitude, longitude FROM flat""",
+       round(no2, 6) AS no2, latitude, longitude FROM flat"""),
 }

@@ -199,10 +199,11 @@ entries AS (SELECT * FROM matched WHERE m1 OR m2 OR m3 OR m4)"""
 
 
 def file_listing(spark, sf):
-    """Files that exist: the paths with an even number, one row each."""
+    """Files that exist, one row each, as URIs: of the odd numbers the name has another ending."""
     key = F.col("page_id") % 40
-    return table(spark, sf, "pages").filter(key % 2 == 0).select(
-        F.format_string("/data/tempo_%d.nc", key).alias("path")
+    name = F.when(key % 2 == 0, "file:/data/tempo_%d.nc").otherwise("file:///data/tempo_%d.h5")
+    return table(spark, sf, "pages").select(
+        F.replace(name, F.lit("%d"), key.cast("string")).alias("path")
     ).distinct()
 
 

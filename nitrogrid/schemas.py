@@ -14,11 +14,12 @@ GRID_BLOCK = T.StructType([
 ])
 
 OBSERVATION = T.StructType([
+    T.StructField("source_file", T.StringType()),
+    T.StructField("file_index", T.LongType()),
     T.StructField("no2", T.DoubleType()),
     T.StructField("latitude", T.DoubleType()),
     T.StructField("longitude", T.DoubleType()),
     T.StructField("time", T.TimestampNTZType()),
-    T.StructField("source_file", T.StringType()),
 ])
 
 COVARIATES = [

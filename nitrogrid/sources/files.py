@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from nitrogrid.functions.text import base_name
+from nitrogrid.functions.text import base_name, plain_path
 
 
 def list_files(spark, folder, glob="*"):
@@ -11,4 +11,4 @@ def list_files(spark, folder, glob="*"):
         spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
         .select("path", "length", F.col("modificationTime").alias("modified"))
     )
-    return listing.select("path", base_name(F.col("path")).alias("file_name"), "length", "modified")
+    return listing.select(plain_path(F.col("path")).alias("path"), base_name(F.col("path")).alias("file_name"), "length", "modified")

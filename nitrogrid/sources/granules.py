@@ -4,13 +4,18 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nitrogrid import constants as K
+from nitrogrid.functions.text import plain_path
 from nitrogrid.operators.grid import extract_variables, validate_blocks
 from nitrogrid.operators.lineage import with_source_file
 from nitrogrid.schemas import GRID_BLOCK
 from nitrogrid.sources.files import list_files
 
+# a Parquet file without rows is a footer; larger files without rows are taken as unreadable
+BARE_FOOTER = 1 << 20
+
 
 def granules_by_glob(listing, pattern=K.GRANULE_GLOB):
     """Files of a listing that match a case-sensitive glob of ``*`` and ``?``."""
@@ -35,32 +40,110 @@ def find_granules_by_token(spark, folder, tokens=None, suffix=K.GRANULE_SUFFIX):
     return granules_by_token(list_files(spark, folder), tokens, suffix)
 
 
+def _reader(spark, schema, glob):
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    return reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)
+
+
+def _tolerant(spark, schema, glob, folder):
+    """A scan that passes damage by; only for finding out what is missing."""
+    return _reader(spark, schema, glob).option("ignoreCorruptFiles", True).parquet(folder)
+
+
 def read_blocks(spark, paths, mode="strict", schema=GRID_BLOCK, glob=None):
-    """Grid blocks with an ``error`` column: a bad granule is reported, not fatal.
+    """Grid blocks with an ``error`` column: a bad block is reported, not fatal.
 
-    Files that cannot be read at all are listed by ``unread_files``.
+    A damaged file ends the scan. ``checked_blocks`` reports such files and reads the others.
     """
-    reader = spark.read.schema(schema).option("ignoreCorruptFiles", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return validate_blocks(extract_variables(reader.parquet(*_as_list(paths))), mode)
+    blocks = _reader(spark, schema, glob).parquet(*_as_list(paths))
+    return validate_blocks(extract_variables(blocks), mode)
 
 
-def read_foreign_blocks(spark, paths, mode="strict"):
-    """Blocks whose variables carry other accepted names; schema taken from the files."""
-    blocks = spark.read.option("ignoreCorruptFiles", True).parquet(*_as_list(paths))
+def read_foreign_blocks(spark, paths, mode="strict", glob=None):
+    """Blocks whose variables carry other accepted names; schema merged from the files."""
+    blocks = _reader(spark, None, glob).parquet(*_as_list(paths))
     if "source_file" not in blocks.columns:
         blocks = with_source_file(blocks)
     return validate_blocks(extract_variables(blocks), mode)
 
 
+def file_faults(spark, folder, glob="*.parquet", schema=GRID_BLOCK):
+    """Files of a folder that do not give all their rows: ``path, file_name, error``.
+
+    The number of rows that the footers state (a scan of no column) is compared, per file, with
+    the number that a scan of every column gives. A file without rows is sound if it is nothing
+    but a footer of the stated length.
+    """
+    path = F.col("_metadata.file_path").alias("path")
+    rows = _tolerant(spark, schema, glob, folder)
+    stated = rows.select(path).groupBy("path").agg(F.count(F.lit(1)).alias("stated"))
+    every = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(f.dataType, T.MapType) else F.col(c)
+                         for c, f in ((f"`{f.name}`", f) for f in rows.schema)])
+    read = rows.select(path, every.alias("h")).groupBy("path").agg(
+        F.count(F.lit(1)).alias("read"), F.bit_xor("h").alias("_all"))
+    footer = F.conv(F.hex(F.reverse(F.substring("content", -8, 4))), 16, 10).cast("long")
+    bare = (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+        .filter(F.col("length") <= BARE_FOOTER)
+        .select("path", (
+            (F.substring("content", -4, 4) == F.lit(b"PAR1")) & (footer + 12 == F.col("length"))
+        ).alias("bare"))
+    )
+    found = list_files(spark, folder, glob)
+    sides = {"stated": stated, "read": read, "bare": bare}
+    for side in sides.values():
+        found = found.join(side.withColumn("path", plain_path(F.col("path"))), "path", "left")
+    error = (
+        F.when(F.col("stated").isNull() & F.coalesce("bare", F.lit(False)), None)
+        .when(F.col("stated").isNull(), F.lit("unreadable file"))
+        .when(F.coalesce("read", F.lit(0)) != F.col("stated"),
+              F.format_string("damaged file: %d of %d rows", F.coalesce("read", F.lit(0)), F.col("stated")))
+        # always false, but keeps the scan of every column
+        .when(F.col("_all").isNull() & (F.col("read") > 0), F.lit("unreadable file"))
+    )
+    return found.select("path", "file_name", error.alias("error")).filter("error IS NOT NULL")
+
+
+def checked_blocks(spark, folder, mode="lenient", glob="*.parquet", wanted=None, schema=None):
+    """``(blocks, faults)`` of a folder: all blocks of sound files, and the files left out whole.
+
+    Without a schema it is merged from the files, which may name their variables differently.
+    ``wanted`` (column ``path``) restricts both to some files; it may be as long as the listing.
+    Faulty files are excluded by name from a scan that stops at damage, so a file that breaks
+    between the two scans is an error and not a loss. The names of faulty files pass through the
+    driver, which holds the listing of the whole folder for the scan anyway.
+    """
+    faults = file_faults(spark, folder, glob, schema)
+    if wanted is not None:
+        wanted = wanted.select(plain_path(F.col("path")).alias("path")).distinct()
+        faults = faults.join(wanted, "path", "left_semi")
+    bad = [r.path for r in faults.collect()]
+    if schema is None:
+        # taken from the files that have one; a folder without any has no blocks
+        schema = _tolerant(spark, None, glob, folder).schema
+    blocks = _reader(spark, schema, glob).parquet(folder)
+    path = F.col("_metadata.file_path")
+    if bad:
+        blocks = blocks.filter(~path.isin([form for b in bad for form in (b, f"file:{b}", f"file://{b}")]))
+    if "source_file" not in blocks.columns:
+        blocks = with_source_file(blocks)
+    if wanted is not None:
+        blocks = blocks.withColumn("_path", plain_path(path))
+        blocks = blocks.join(wanted, blocks["_path"] == wanted["path"], "left_semi").drop("_path")
+    sound = validate_blocks(extract_variables(blocks), mode)
+    return sound, spark.createDataFrame(
+        [], "path string, file_name string, error string") if not bad else faults
+
+
 def decode_granules(spark, folder, decoder, pattern=K.GRANULE_GLOB, schema=GRID_BLOCK):
     """Grid blocks decoded from binary files by a user's function.
 
     ``decoder(name, content)`` returns the block's fields as a dict, for example with a
     NetCDF library. Each file is decoded in the task that reads it; a file that cannot be
-    decoded gives a block without variables, which validation rejects.
+    decoded gives a block with ``decode_error``, the reason that validation then rejects it for.
     """
+    decoded = T.StructType([*schema.fields, T.StructField("decode_error", T.StringType())])
+
     def decode(batches):
         import pandas as pd
 
@@ -68,20 +151,20 @@ def decode_granules(spark, folder, decoder, pattern=K.GRANULE_GLOB, schema=GRID_
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 name = path.rsplit("/", 1)[-1]
-                row = dict.fromkeys(schema.names)
+                row = dict.fromkeys(decoded.names)
                 try:
                     row.update(decoder(name, content))
-                except Exception:
-                    pass
+                except Exception as e:
+                    row["decode_error"] = f"{type(e).__name__}: {e}"
                 row["source_file"] = name
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=schema.names)
+            yield pd.DataFrame(rows, columns=decoded.names)
 
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
         .select("path", "content")
     )
-    return files.mapInPandas(decode, schema)
+    return files.mapInPandas(decode, decoded)
 
 
 def _as_list(paths):
@@ -89,12 +172,5 @@ def _as_list(paths):
 
 
 def unread_files(spark, folder, glob="*.parquet", schema=GRID_BLOCK):
-    """Files of a folder that gave no block: the ones a tolerant scan skipped."""
-    blocks = (
-        spark.read.schema(schema).option("ignoreCorruptFiles", True)
-        .option("pathGlobFilter", glob).parquet(folder)
-    )
-    seen = with_source_file(blocks.drop("source_file")).select(
-        F.col("source_file").alias("file_name")
-    ).distinct()
-    return list_files(spark, folder, glob).join(seen, "file_name", "left_anti")
+    """Files of a folder that cannot be read, in whole or in part, with the reason."""
+    return file_faults(spark, folder, glob, schema)

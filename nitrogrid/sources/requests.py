@@ -20,7 +20,12 @@ def parse_requests(df, body="body", schema=SCORE_REQUEST, keep=()):
 
 
 def explode_batches(batches, keep=()):
-    """One row per location; the shared covariates are kept. No shuffle."""
+    """One row per location; the shared covariates are kept. No shuffle.
+
+    A request without locations keeps one row, whose location is null; ``has_locations`` is false
+    where the request had no list at all.
+    """
     shared = [f.name for f in COVARIATES if f.name in batches.columns]
-    rows = batches.select(*keep, *shared, F.explode("locations").alias("_location"))
-    return rows.select(*keep, "_location.*", *shared)
+    rows = batches.select(*keep, *shared, F.col("locations").isNotNull().alias("has_locations"),
+                          F.explode_outer("locations").alias("_location"))
+    return rows.select(*keep, "_location.*", *shared, "has_locations")

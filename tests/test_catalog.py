@@ -4,7 +4,8 @@ import os
 from nitrogrid import constants as K
 from nitrogrid.operators import catalog as C
 from nitrogrid.operators.ordinals import with_ordinal
-from nitrogrid.plans.catalog import catalog_report, folder_observations, manifest_files, observations
+from nitrogrid.plans.catalog import catalog_report, manifest_files, manifest_observations, observations
+from nitrogrid.schemas import GRID_BLOCK, OBSERVATION
 from nitrogrid.sources.files import list_files
 from nitrogrid.sources.granules import decode_granules, find_granules, find_granules_by_token, unread_files
 from nitrogrid.sources.manifest import (
@@ -101,7 +102,7 @@ def test_resolution_prefers_existing_files_and_numbers_the_rest(spark):
 def test_ordinals_across_ranges(spark):
     keys = [3, 5, 1_000, 17, 4_000_000, 2_500, 18]
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
-    found = {r.k: r.n for r in with_ordinal(df, "k", "n", start=1, width=10).collect()}
+    found = {r.k: r.n for r in with_ordinal(df, "k", "n", start=1).collect()}
     assert found == {k: i + 1 for i, k in enumerate(sorted(keys))}
 
 
@@ -211,11 +212,14 @@ def test_manifest_to_observations(spark, tmp_path):
     files = manifest_files(spark, path, str(data / "*"))
     found = [r.resolved for r in files.collect()]
     assert sorted(found) == sorted(listed)
-    rows, rejected = observations(spark, found)
-    assert rows.count() == 6 and rows.columns[:2] == ["source_file", "file_index"] and {r.file_index for r in rows.collect()} == {0}
+    rows, rejected = observations(spark, str(data / "*"))
+    assert rows.count() == 6 and rows.columns == OBSERVATION.names and {r.file_index for r in rows.collect()} == {0}
     assert [tuple(r) for r in rejected.collect()] == [("g2", "sizes of variables differ")]
-    fallback, _ = folder_observations(spark, str(data / "*"))
-    assert fallback.count() == 6
+    named, _, absent = manifest_observations(spark, path, str(data / "*"))
+    assert named.count() == 6 and absent.count() == 0
+    other = write(tmp_path / "other.csv", "granule,link,what\n/gone.nc,https://h/tempo.nc,no2\n")
+    fallback, _, absent = manifest_observations(spark, other, str(data / "*"))
+    assert fallback.count() == 6 and [tuple(r) for r in absent.collect()] == [("tempo.nc", "download")]
 
 
 def test_decoding_stage_isolates_bad_files(spark, tmp_path):
@@ -234,7 +238,7 @@ def test_decoding_stage_isolates_bad_files(spark, tmp_path):
 
     assert sorted(r.no2 for r in flatten_grid(decoded).collect()) == [1.5, 2.5]
     bad = rejected_blocks(validate_blocks(decoded)).collect()
-    assert [tuple(r) for r in bad] == [("TEMPO_NO2_b.nc", "missing variable: no2")]
+    assert [tuple(r) for r in bad] == [("TEMPO_NO2_b.nc", "JSONDecodeError: Expecting value: line 1 column 1 (char 0)")]
 
 
 def test_corrupt_files_are_reported(spark, tmp_path):
@@ -242,3 +246,33 @@ def test_corrupt_files_are_reported(spark, tmp_path):
     blocks(spark, block("ok")).coalesce(1).write.parquet(str(folder))
     write(folder / "broken.parquet", "this is not parquet")
     assert [r.file_name for r in unread_files(spark, str(folder)).collect()] == ["broken.parquet"]
+
+
+def test_damaged_files_are_rejected_whole(spark, tmp_path):
+    """Sound, half-damaged, foreign and empty files: good and rejected ones make up the folder."""
+    folder = tmp_path / "blocks"
+    blocks(spark, block("ok")).coalesce(1).write.parquet(str(folder))
+    spark.createDataFrame([], GRID_BLOCK).coalesce(1).write.mode("append").parquet(str(folder))
+    many = spark.range(60_000).selectExpr("format_string('g%06d', id) as source_file", "array(timestamp_ntz'2023-08-01') as time",
+                                          "array(25D) as latitude", "array(-125D) as longitude", "array(float(rand(1))) as no2",
+                                          "cast(null as map<string,string>) as var_attrs", "cast(null as map<string,string>) as ds_attrs")
+    half = tmp_path / "half"
+    many.coalesce(1).write.option("parquet.page.size", "4096").parquet(str(half))
+    source = next(half.glob("part-*.parquet"))
+    content = bytearray(source.read_bytes())
+    for at in range(len(content) * 2 // 3, len(content) * 2 // 3 + 3000):
+        content[at] ^= 0x5A
+    (folder / "half.parquet").write_bytes(bytes(content))
+    write(folder / "broken.parquet", "this is not parquet")
+    faults = {r.file_name: r.error for r in unread_files(spark, str(folder)).collect()}
+    assert set(faults) == {"half.parquet", "broken.parquet"}
+    rows, rejected = observations(spark, str(folder))
+    found = rows.collect()
+    assert {r.source_file for r in found} == {"ok"} and len(found) == 6
+    assert {r.source_file for r in rejected.collect()} == {"half.parquet", "broken.parquet"}
+    assert {r.file_index for r in found} == {2}
+
+
+def test_ordinals_keep_null_keys(spark):
+    df = spark.createDataFrame([(None, "x"), (5, "y"), (-3, "z")], "k long, v string")
+    assert sorted((r.n, r.v) for r in with_ordinal(df, "k", "n").collect()) == [(0, "x"), (1, "z"), (2, "y")]

@@ -122,7 +122,29 @@ def test_box_without_points(spark):
 
 def test_aliases_prefer_the_full_name():
     found = G.find_variables(["lat", "latitude", "lon", "NO2", "x"])
-    assert found == {"no2": "NO2", "latitude": "latitude", "longitude": "lon", "time": None}
+    assert found == {"no2": ["NO2"], "latitude": ["latitude", "lat"], "longitude": ["lon"], "time": []}
+
+
+def test_aliases_are_chosen_per_block(spark):
+    full = blocks(spark, block("a"))
+    short = blocks(spark, block("b")).withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
+    both = full.unionByName(short, allowMissingColumns=True)
+    assert G.rejected_blocks(G.validate_blocks(G.extract_variables(both))).count() == 0
+    assert G.flatten_grid(G.extract_variables(both)).groupBy("source_file").count().count() == 2
+
+
+@pytest.mark.parametrize("mode", ["strict", "lenient"])
+def test_a_block_without_variables_is_rejected(spark, mode):
+    empty = blocks(spark, block("x")).withColumns({c: F.lit(None).cast(t) for c, t in (
+        ("no2", "array<float>"), ("latitude", "array<double>"), ("longitude", "array<double>"), ("time", "array<timestamp_ntz>"))})
+    assert G.rejected_blocks(G.validate_blocks(empty, mode)).count() == 1
+
+
+def test_lenient_box(spark):
+    df = blocks(spark, block("no time", time=None, no2=[1.0] * 6), block("no grid", lat=None, no2=[1.0] * 6), block("all"))
+    rows = G.flatten_grid(df, "lenient", bbox=(20.0, 50.0, -130.0, -60.0)).collect()
+    by = {n: [r for r in rows if r.source_file == n] for n in ("no time", "no grid", "all")}
+    assert [r.time for r in by["no time"]] == [None] * 6 and len(by["all"]) == 6 and not by["no grid"]
 
 
 def test_structure_lists_everything(spark):

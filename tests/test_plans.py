@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from nitrogrid.operators import joins
 from nitrogrid.operators import grid as G
 from nitrogrid.registry import grids, observations, preparation, scoring
 from nitrogrid.registry import views as V
@@ -15,7 +14,7 @@ from tests.conftest import plan_text
 
 SF = "/root/testdata/sf0.001"
 RUN_FREE = [
-    name for name in contract.queries()
+    name for m in contract.MODULES if m.__name__.startswith("nitrogrid.registry.") for name in m.QUERIES
     if not name.startswith(("csv_", "stream_", "model_", "forest_", "scenario_c", "scenario_s", "scenario_w"))
     and name not in {"cross_validation", "importances", "bulk_score", "saved_model_scores", "performance_report"}
 ]
@@ -71,19 +70,6 @@ def test_dense_tiles_use_one_shuffle_for_both_aggregates(spark):
     assert "ENSURE_REQUIREMENTS" not in re.sub(r"Subquery.*", "", after.split("Exchange")[0])
 
 
-@pytest.mark.parametrize("hot_rows,anti", [(0, True), (10**6, False)])
-def test_large_lookup_is_shuffled_but_hot_keys_are_not(spark, hot_rows, anti):
-    rows = V.obs(spark, SF).withColumn("date", F.to_date("time"))
-    weather = V.table(spark, SF, "events").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("t"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan_text(joins.skewed_left_join(rows, weather, ["date"], hot_rows=hot_rows))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert text.count("SortMergeJoin") == 1
-    assert ("LeftAnti" in text) == anti == ("BroadcastHashJoin" in text)
-
-
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:

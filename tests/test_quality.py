@@ -4,14 +4,13 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from nitrogrid.operators import joins, quality
+from nitrogrid.operators import quality
 from nitrogrid.operators.features import (
     interaction_features, model_features, select_features, temporal_features, weather_features,
 )
-from nitrogrid.operators.joins import skewed_left_join
 from nitrogrid.operators.metrics import regression_metrics, with_verdict
 from nitrogrid.operators.missing import drop_missing, missing_summary
-from nitrogrid.operators.partitioning import is_small, spread
+from nitrogrid.operators.partitioning import spread
 from nitrogrid.operators.quantiles import exact_quantiles, value_at_share
 from nitrogrid.sinks.tables import as_json, column_types, preview, write_csv, write_observations
 
@@ -119,9 +118,7 @@ def test_features_and_selection(spark):
     assert made.temp_humidity_interaction == pytest.approx(made.temperature * 60)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_weather_never_multiplies_rows(spark, monkeypatch, small):
-    monkeypatch.setattr(joins, "is_small", lambda df: small)
+def test_weather_never_multiplies_rows(spark):
     df = spark.range(100).select(
         "id", F.lit("2023-08-01").alias("date"), F.lit(10).alias("day_of_year"),
         F.lit(1.0).alias("latitude"), F.col("id").cast("double").alias("longitude"),
@@ -132,19 +129,18 @@ def test_weather_never_multiplies_rows(spark, monkeypatch, small):
     assert len(rows) == 100 and {r.temperature for r in rows} == {15.0} and {r.humidity for r in rows} == {60.0}
 
 
-@pytest.mark.parametrize("hot_keys,hot_rows", [(1, 0), (2, 10), (1000, 0), (1000, 1000)])
-def test_skewed_join_equals_plain_join(spark, hot_keys, hot_rows):
-    # one key holds most rows, some rows have no key, some keys have no match
-    left = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
-    left = left.withColumn("k", F.when(F.col("id") % 50 > 0, F.col("k")))
-    right = spark.createDataFrame([(7, "hot"), (3, "three"), (1000, "unused")], "k long, v string")
-    a = sorted(map(tuple, skewed_left_join(left, right, ["k"], hot_keys, hot_rows).select("id", "k", "v").collect()))
-    b = sorted(map(tuple, left.join(right, "k", "left").select("id", "k", "v").collect()))
-    assert a == b and len(a) == 300
+def test_weather_joins_a_stream(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "'2023-08-01' as date", "10 as day_of_year")
+    rows.write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).json(str(tmp_path / "in"))
+    weather = spark.createDataFrame([("2023-08-01", 10.0)], "date string, temperature double")
+    query = weather_features(stream, weather).writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).filter("temperature = 10").count() == 10
 
 
-def test_size_checks(spark):
-    assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
+def test_spread(spark):
     assert spread(spark.range(3), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 

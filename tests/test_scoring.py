@@ -81,18 +81,31 @@ def batch(spark, tmp_path):
 
 def test_batch(spark, tmp_path):
     rows = S.score_batches(batch(spark, tmp_path), S.formula_predictor(), AS_OF).collect()
-    assert [(r.name, r.error is None, r.day_of_year) for r in rows] == [
-        ("NYC", True, 220), ("Unknown", False, 220), ("LA", True, 220)]
+    assert [(r.name, r.error is None, r.day_of_year, r.has_locations) for r in rows[:4]] == [
+        ("NYC", True, 220, True), ("Unknown", False, 220, True), ("Unknown", False, 220, True), ("LA", True, 220, True)]
+    assert len(rows) == 5 and rows[4].latitude is None and rows[4].has_locations
     loose = S.score_batches(batch(spark, tmp_path), S.formula_predictor(), AS_OF, range_check=False).collect()
-    assert len(loose) == 3 and all(r.error is None and r.no2_value is not None for r in loose)
+    assert sum(r.error is None and r.no2_value is not None for r in loose) == 3
 
 
 def test_batch_replies(spark, tmp_path):
     numbered = batch(spark, tmp_path).withColumn("request_id", F.when(F.col("month") == 8, 1).otherwise(2))
     scored = S.score_batches(numbered, S.formula_predictor(), AS_OF, keep=["request_id"], range_check=False)
     replies = batch_replies(scored.withColumn("position", F.col("longitude"))).collect()
-    assert [(r.request_id, r.success, r["count"]) for r in replies] == [(1, True, 3)]
-    assert [p.name for p in replies[0].predictions] == ["LA", "Unknown", "NYC"]
+    found = {r.request_id: r for r in replies}
+    assert {k: (r.success, r["count"], r.error) for k, r in found.items()} == {1: (True, 3, None), 2: (True, 0, None)}
+    assert [p.name for p in found[1].predictions] == ["LA", "Unknown", "NYC"]
+
+
+def test_every_batch_is_answered(spark):
+    place = '{"latitude": 40.0, "longitude": -74.0}'
+    bodies = ['{"locations": []}', '{"month": 1}', '{"locations": [{"name": "x"}]}', f'{{"locations": [{place}]}}', "no JSON"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "request_id int, body string")
+    scored = S.score_batches(parse_requests(df, schema=BATCH_REQUEST, keep=["request_id"]), S.formula_predictor(), AS_OF,
+                             keep=["request_id"]).withColumn("position", F.col("longitude"))
+    found = {r.request_id: (r.success, r["count"], r.error) for r in batch_replies(scored).collect()}
+    missing = (False, None, "locations array is required")
+    assert found == {0: (True, 0, None), 1: missing, 2: (True, 0, None), 3: (True, 1, None), 4: missing}
 
 
 def test_scenarios(spark):
