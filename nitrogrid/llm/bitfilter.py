@@ -67,3 +67,23 @@ def passes(packed: np.ndarray, key: np.ndarray) -> np.ndarray:
     for cell in (key & mask, (key >> np.uint64(32)) & mask):
         found &= (packed[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return found
+
+
+def tester(spark, packed: np.ndarray):
+    """A column function: whether a key passes the filter."""
+    shared = spark.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, key.to_numpy(np.int64)))
+
+    return test
+
+
+def rows_near(rows: DataFrame, name: str, ids: DataFrame, id_name: str) -> DataFrame:
+    """The rows whose column `name` is among the ids, and a few more: what is left to be joined.
+
+    ids: distinct, from a stored table. Rows that are surely not among them need not shuffle.
+    """
+    packed = key_filter(ids.select(F.xxhash64(id_name).alias("key")), ids.count())
+    return rows.where(F.col(name).isNotNull() & tester(rows.sparkSession, packed)(F.xxhash64(name)))

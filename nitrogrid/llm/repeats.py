@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from nitrogrid.llm import bitfilter
 from nitrogrid.llm.common import id_and_text, mixed, pieces_of, stored
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 
 
 @dataclass
@@ -41,6 +40,7 @@ class Segments:
     count: np.ndarray  # windows
     first: np.ndarray  # per document its first symbol; one more entry than documents
     data: object       # what the keyer wants to know again
+    lead: np.ndarray | None = None  # from the segment's start to its anchor
 
     def documents(self) -> np.ndarray:
         return np.searchsorted(self.first, self.start, side="right") - 1
@@ -166,13 +166,8 @@ def cut_texts(docs: DataFrame, ranges: DataFrame, cut: Callable, schema: str) ->
     grouped = stored(
         ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
         .withColumnRenamed("doc_id", "range_id"), "repeat-ranges")
-    packed = spark.sparkContext.broadcast(
-        bitfilter.key_filter(grouped.select(F.xxhash64("range_id").alias("key")), grouped.count()))
-
-    @F.pandas_udf("boolean")
-    def maybe(key: pd.Series) -> pd.Series:
-        return pd.Series(bitfilter.passes(packed.value, key.to_numpy(np.int64)))
-
+    packed = bitfilter.key_filter(grouped.select(F.xxhash64("range_id").alias("key")), grouped.count())
+    maybe = bitfilter.tester(spark, packed)
     rows = id_and_text(docs).withColumn("touched", F.col("doc_id").isNotNull() & maybe(F.xxhash64("doc_id")))
     empty = F.expr("cast(array() as array<struct<lo: bigint, hi: bigint>>)")
     whole = rows.where(~F.col("touched")).select("doc_id", "text", empty.alias("ranges"))

@@ -5,13 +5,19 @@ All positions of all texts would make too many columns, so the collection is cut
 window of 100 bytes is anchored at the smallest hash of its 16-byte strings, and only windows whose
 anchor is repeated, in segments of one anchor, get that far (see repeats). The segments left open
 are short strings of bytes. They meet by key; each task takes whole keys, in collections of bounded
-size, and inserts one byte per segment and round, from the last to the first: the byte before each
-segment's present suffix stands in the transform, so its rank there is where the next longer suffix
-belongs; common prefixes of new neighbours are one more than the smallest common prefix between
-their tails. In the end equal windows stand together with common prefixes of 100 or more.
+size.
 
-The transform, the common prefixes and the suffix numbers are sequential arrays that are rewritten
-each round; because collections are bounded they are held in the task's memory instead of files.
+A collection is built column by column, from the last to the first: each round inserts one byte per
+segment, the one before its present suffix. The bytes in the order of the suffixes are the
+transform of that column; sorting it stably gives the order of the next longer suffixes, and the
+common prefix of new neighbours with one byte is one more than the smallest common prefix between
+their tails. Equal windows hold their anchor at one offset, so segments are laid out with their
+anchors in one column, and suffixes of different columns need not be compared: the transform is kept
+by columns (its positional form), which takes one row per segment and round, not one per byte.
+Windows that are equal then stand together with common prefixes of 100 or more.
+
+The order, the transform and the common prefixes are sequential arrays that are rewritten each
+round; because collections are bounded they are held in the task's memory instead of files.
 
 A key with more than TOGETHER different segments is dealt to several collections; then one
 representative of each class of each of them meets the others by a 128-bit fingerprint.
@@ -37,7 +43,7 @@ from nitrogrid.llm.textarrays import range_hash
 
 WINDOW = 100
 GRAM = 16
-TOGETHER = 2048
+TOGETHER = 8192
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE_A = mixed(np.arange(1, 257, dtype=np.uint64))
 _BYTE_B = mixed(_BYTE_A + _OTHER)
@@ -96,14 +102,15 @@ def keyed_windows(column: pa.Array, width: int = WINDOW) -> Segments:
         anchor[some] = start[some] + near.argmax(axis=1)
     # runs that go on beyond that place hold the minimum again: cut them at each place of it
     on = start + count - 1 > anchor
-    parts = [(key[~on], start[~on], count[~on])]
+    parts = [(key[~on], start[~on], count[~on], anchor[~on])]
     for i in np.flatnonzero(on).tolist():
         s, e = int(start[i]), int(start[i] + count[i])
         places = s + np.flatnonzero(gram[s:e + span - 1] == key[i])
         starts = np.append(s, places[places < e - 1] + 1)
-        parts.append((np.full(len(starts), key[i]), starts, np.diff(np.append(starts, e))))
-    key, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return Segments(key, start, count, first, raw)
+        anchors = places[np.searchsorted(places, starts)]
+        parts.append((np.full(len(starts), key[i]), starts, np.diff(np.append(starts, e)), anchors))
+    key, start, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Segments(key, start, count, first, raw, anchor - start)
 
 
 def fingerprint(s: Segments, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,89 +127,72 @@ def range_minima(table: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.
     return found
 
 
-def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of a collection in order: string, length, and common prefix with the one before.
+def columns(strings: list[bytes], lead: np.ndarray):
+    """The suffixes of a collection, column by column from the last: (column, order, common).
 
-    Strings have at most 255 bytes, none of them 0xFF (no UTF-8 text has it). A string's end is
-    smaller than every byte and equal to no other end.
+    The byte `lead[i]` of string i stands in column 0. order holds the strings that reach the column,
+    in the order of their suffixes from it; common is each one's common prefix with the one before.
+    A string's end is smaller than every byte and equal to no other end. Strings that begin after
+    the column come first and have no common prefix. Strings have at most 255 bytes, none of them
+    0xFF (no UTF-8 text has it).
     """
-    m = len(strings)
     size = np.array([len(s) for s in strings])
     data = np.frombuffer(b"".join(strings), np.uint8)
-    end = np.cumsum(size)
-    # the transform holds the byte before a suffix plus one, and 0 where the suffix is the whole string
-    transform = np.where(size > 0, data[np.maximum(end - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint8) if len(data) \
-        else np.zeros(m, np.uint8)
-    common = np.zeros(m, np.uint8)
-    number = np.arange(m, dtype=np.int32)      # string
-    length = np.zeros(m, np.uint8)
-    active, at = np.flatnonzero(size > 0), np.flatnonzero(size > 0)
-    turn = 0
-    while len(active):
-        turn += 1
-        n = len(transform)
-        order = np.argsort(transform, kind="stable")
-        whole = int(np.count_nonzero(transform == 0))
-        rank = np.empty(n, np.int32)
-        rank[order] = np.arange(n, dtype=np.int32)
-        spot = rank[at]                          # place of the byte among all bytes, in order of the bytes
-        target = m + spot - whole                # place of the longer suffix
-        # common prefixes with the suffixes of the same first byte before and after
-        mine = transform[at]
-        before = order[np.maximum(spot - 1, 0)]
-        has_before = (spot > whole) & (transform[before] == mine)
-        after = order[np.minimum(spot + 1, n - 1)]
-        has_after = (spot + 1 < n) & (transform[after] == mine)
-        longest = int(max((at - before)[has_before].max(initial=1), (after - at)[has_after].max(initial=1)))
-        table = [common]
-        while 2 << (len(table) - 1) <= longest:
-            half = 1 << (len(table) - 1)
-            table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-        left = np.zeros(len(at), np.uint8)
-        left[has_before] = 1 + range_minima(table, before[has_before] + 1, at[has_before] + 1)
-        right = np.zeros(len(at), np.uint8)
-        right[has_after] = 1 + range_minima(table, at[has_after] + 1, after[has_after] + 1)
-        # rewrite the arrays with the new suffixes in their places
-        total = n + len(at)
-        old = np.ones(total, bool)
-        old[target] = False
-        following = size[active] > turn
-        previous = np.where(following, data[np.maximum(end[active] - turn - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint8)
-
-        def rewritten(array, values, old=old, target=target, total=total):
-            out = np.empty(total, array.dtype)
-            out[old] = array
-            out[target] = values
-            return out
-
-        transform = rewritten(transform, previous)
-        number, length = rewritten(number, active), rewritten(length, turn)
-        common = rewritten(common, left)
-        ahead = target + 1
-        inside = ahead < total
-        common[ahead[inside]] = right[inside]    # new neighbours agree on it from both sides
-        active, at = active[following], target[following]
-    return number, length, common
-
-
-def equal_windows(strings: list[bytes], doc_id: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    base = np.cumsum(size) - size
+    lo, hi = -lead, size - lead
+    order, common = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    entering = np.argsort(-hi, kind="stable")
+    at = 0
+    for column in range(int(hi.max()) - 1, int(lo.min()) - 1, -1):
+        upto = int(np.searchsorted(-hi[entering], -column, side="left"))
+        new, at = entering[at:upto], upto
+        if len(new):
+            common[:1] = 0
+            order, common = np.concatenate([new, order]), np.concatenate([np.zeros(len(new), np.uint8), common])
+        begun = lo[order] <= column
+        transform = np.zeros(len(order), np.uint8)
+        transform[begun] = data[base[order[begun]] + column - lo[order[begun]]] + np.uint8(1)
+        turn = np.argsort(transform, kind="stable")
+        mine = transform[turn]
+        same = np.zeros(len(turn), bool)
+        same[1:] = (mine[1:] == mine[:-1]) & (mine[1:] > 0)
+        k = np.flatnonzero(same)
+        following = np.zeros(len(turn), np.uint8)
+        if len(k):
+            left, right = turn[k - 1] + 1, turn[k] + 1
+            table = [common]
+            longest = int((right - left).max())
+            while 2 << (len(table) - 1) <= longest:
+                half = 1 << (len(table) - 1)
+                table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+            following[k] = 1 + range_minima(table, left, right)
+        order, common = order[turn], following
+        yield column, order, common
+
+
+def equal_windows(strings: list[bytes], lead: np.ndarray, doc_id: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """Windows of the strings: (string, offset, is the class's first). First is by (doc_id, start)."""
-    number, length, common = sorted_suffixes(strings)
     size = np.array([len(s) for s in strings])
-    on = np.flatnonzero(length >= width)
-    string = number[on]
-    offset = size[string] - length[on]
-    opens = np.ones(len(on), bool)
-    opens[1:] = ~((on[1:] == on[:-1] + 1) & (common[on[1:]] >= width))
-    by_place = np.lexsort((start[string] + offset, doc_id[string]))
-    order = np.empty(len(on), np.int64)
-    order[by_place] = np.arange(len(on))
-    heads = np.flatnonzero(opens)
-    least = np.minimum.reduceat(order, heads) if len(heads) else order
-    best = by_place[np.repeat(least, np.diff(np.append(heads, len(on))))]
-    # windows at the same place as the first are not later than it
-    same = (doc_id[string] == doc_id[string[best]]) & (start[string] + offset == start[string[best]] + offset[best])
-    return string, offset, same
+    # in one column, windows are in the order of their anchors' places
+    by_place = np.lexsort((start + lead, doc_id))
+    ids, anchors = doc_id[by_place], (start + lead)[by_place]
+    later = np.ones(len(strings), bool)
+    later[1:] = (ids[1:] != ids[:-1]) | (anchors[1:] != anchors[:-1])
+    rank = np.empty(len(strings), np.int64)
+    rank[by_place] = np.cumsum(later)
+    found = []
+    for column, order, common in columns(strings, lead):
+        offset = column + lead[order]
+        on = np.flatnonzero((offset >= 0) & (size[order] - offset >= width))
+        if not len(on):
+            continue
+        opens = np.ones(len(on), bool)
+        opens[1:] = ~((on[1:] == on[:-1] + 1) & (common[on[1:]] >= width))
+        heads = np.flatnonzero(opens)
+        mine = rank[order[on]]
+        least = np.repeat(np.minimum.reduceat(mine, heads), np.diff(np.append(heads, len(on))))
+        found.append((order[on], offset[on], mine == least))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def opened_windows(width: int):
@@ -226,10 +216,11 @@ def opened_windows(width: int):
                 stop = s.start[on] + s.count[on] + width - 1
                 pieces = [raw[a:b] for a, b in zip(s.start[on].tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(home.view(np.int64)), pa.array(dealt), pa.array(ids), pa.array(place), pa.array(pieces, pa.binary())],
-                    names=["home", "hot", "doc_id", "start", "piece"])
+                    [pa.array(home.view(np.int64)), pa.array(dealt), pa.array(ids), pa.array(place),
+                     pa.array(s.lead[on].astype(np.int32)), pa.array(pieces, pa.binary())],
+                    names=["home", "hot", "doc_id", "start", "lead", "piece"])
 
-        pieces = rows.mapInArrow(emit, "home long, hot boolean, doc_id long, start long, piece binary")
+        pieces = rows.mapInArrow(emit, "home long, hot boolean, doc_id long, start long, lead int, piece binary")
         shape = "doc_id long, start long, windows long, fa long, fb long"
 
         def collections(batches):
@@ -259,9 +250,10 @@ def opened_windows(width: int):
                 strings = t.column("piece").to_pylist()
                 ids, starts = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
                 hot_rows = t.column("hot").to_numpy()
-                string, offset, first = equal_windows(strings, ids, starts, width)
+                lead = t.column("lead").to_numpy().astype(np.int64)
+                string, offset, first = equal_windows(strings, lead, ids, starts, width)
                 order = np.lexsort((offset, string))
-                string, offset, first = string[order], offset[order].astype(np.int64), first[order]
+                string, offset, first = string[order], offset[order], first[order]
                 # runs of later windows of one string
                 on = np.flatnonzero(~first)
                 s, o = string[on], offset[on]

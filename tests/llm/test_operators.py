@@ -127,18 +127,24 @@ def test_hot_keys_are_dealt_out(spark, monkeypatch):
     assert by_row(suffix_dedup.without_repeats(frame(spark, rows))) == sorted(want, key=repr)
 
 
-def test_sorted_suffixes():
+def test_columns():
+    """Order and common prefixes of the suffixes from each column, against sorting."""
     rng = random.Random(5)
     for _ in range(30):
-        strings = [bytes(rng.choice(b"ab\xe2") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 9))]
-        number, length, common = suffix_dedup.sorted_suffixes(strings)
-        got = [(i, strings[i][len(strings[i]) - n:]) for i, n in zip(number.tolist(), length.tolist())]
-        every = [(tuple(b + 1 for b in s[k:]) + (0, i), i, s[k:]) for i, s in enumerate(strings) for k in range(len(s) + 1)]
-        assert got == [(i, t) for _, i, t in sorted(every)]
-        for k in range(1, len(got)):
-            a, b = got[k - 1][1], got[k][1]
-            n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
-            assert common[k] == n
+        strings = [bytes(rng.choice(b"ab\xe2") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 12))]
+        lead = np.array([rng.randrange(len(s)) for s in strings])
+        for column, order, common in suffix_dedup.columns(strings, lead):
+            at = {i: column + int(lead[i]) for i in order.tolist()}
+            got = [i for i in order.tolist() if at[i] >= 0]
+            reach = [i for i, s in enumerate(strings) if 0 <= column + lead[i] < len(s)]
+            assert sorted(got) == reach
+            suffix = {i: strings[i][at[i]:] for i in got}
+            assert all(suffix[a] == suffix[b] or [*(x + 1 for x in suffix[a]), 0] < [*(x + 1 for x in suffix[b]), 0]
+                       for a, b in zip(got, got[1:]))
+            place = {i: k for k, i in enumerate(order.tolist())}
+            for a, b in zip(got, got[1:]):
+                n = next((j for j, (x, y) in enumerate(zip(suffix[a], suffix[b])) if x != y), min(len(suffix[a]), len(suffix[b])))
+                assert common[place[b]] == n
 
 
 # 3 near duplicates
