@@ -49,12 +49,12 @@ def title_from_snake(column):
 
 def scientific(column):
     """Display text such as ``1.06e+15``."""
-    return F.format_string("%.2e", column)
+    return F.when(column.isNotNull(), F.format_string("%.2e", column))
 
 
 def fixed3(column):
     """Display text such as ``40.713``."""
-    return F.format_string("%.3f", column)
+    return F.when(column.isNotNull(), F.format_string("%.3f", column))
 
 
 def stamp(time):

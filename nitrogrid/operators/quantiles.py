@@ -1,11 +1,10 @@
 """Exact order statistics without gathering a column in one task.
 
-The built-in exact ``percentile`` keeps every distinct value of a column in one buffer, so it
-is used only after a count has shown that the column is small. Otherwise a mergeable sketch
-(``percentile_approx``, bounded size) brackets each wanted rank, a histogram of the bracket
-finds the bucket that holds it, and only the values of that bucket are put in order. Like
-``DataFrame.approxQuantile`` these functions run jobs and return a few numbers. The sketch
-only narrows the search: a rank outside its bracket is an error, never a wrong result.
+A mergeable sketch (``percentile_approx``, bounded size) brackets each wanted rank, a histogram of
+the bracket finds the bucket that holds it, brackets narrow to that bucket while it is large, and
+only the distinct values of the last one are put in order. Every column goes this way, whatever its
+size. Like ``DataFrame.approxQuantile`` these functions run jobs and return a few numbers. The
+sketch only narrows the search: a rank outside its bracket is an error, never a wrong result.
 """
 
 import math
@@ -17,20 +16,16 @@ from nitrogrid.functions.classes import is_missing
 from nitrogrid.functions.text import any_of
 
 BUCKETS = 1000
-SMALL_ROWS = 1_000_000
+ORDERED_ROWS = 1_000_000
+NARROWINGS = 20
 
 
-def exact_quantiles(df, columns, probabilities, accuracy=10_000, small_rows=SMALL_ROWS):
+def exact_quantiles(df, columns, probabilities, accuracy=10_000):
     """Linear-interpolation quantiles: ``{column: [quantile, ...]}``, None for no values."""
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     clean = numbers.select(*[_present(numbers, c) for c in columns])
     targets = {(c, p): (c, p) for c in columns for p in probabilities}
     brackets = _brackets(clean, targets, accuracy)
-    if max(n for n, _, _ in brackets.values()) <= small_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = clean.agg(*[F.percentile(c, wanted).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] else [None] * len(probabilities) for c in columns}
-
     def position(n, p):
         return p * (n - 1)
 
@@ -78,12 +73,12 @@ def _brackets(clean, targets, accuracy):
 
     One pass with one sketch per column, whatever the number of targets.
     """
-    margin = 4.0 / accuracy
+    offsets = _offsets(accuracy)
     columns = sorted({c for c, _ in targets.values()})
     parts = []
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
-        shares = _edges(targets, c, margin)
+        shares = _edges(targets, c, offsets)
         parts += [
             F.count(x).alias(f"n{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
             F.percentile_approx(x, shares, accuracy).alias(f"edges{i}"),
@@ -93,22 +88,33 @@ def _brackets(clean, targets, accuracy):
     for t, (c, p) in targets.items():
         i = columns.index(c)
         n, low, high = row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]
-        # with few rows the margin is less than one rank: take the whole column
-        if n >= accuracy:
-            edges = dict(zip(_edges(targets, c, margin), row[f"edges{i}"]))
-            low, high = edges.get(p - margin, low), edges.get(p + margin, high)
+        if n:
+            # the sketch may be off by a rank in `accuracy`, and by a few ranks of a short column
+            wide = next((o for o in offsets if o >= offsets[0] + 3 / n), 1.0)
+            edges = dict(zip(_edges(targets, c, offsets), row[f"edges{i}"]))
+            low, high = edges.get(p - wide, low), edges.get(p + wide, high)
         found[t] = (n, low, high)
     return found
 
 
-def _edges(targets, column, margin):
-    shares = {p + sign * margin for c, p in targets.values() if c == column for sign in (-1, 1)}
+def _offsets(accuracy):
+    """Distances from a wanted share at which a bracket may end, each twice the one before."""
+    found = [4.0 / accuracy]
+    while found[-1] < 1:
+        found.append(found[-1] * 2)
+    return found
+
+
+def _edges(targets, column, offsets):
+    shares = {p + sign * o for c, p in targets.values() if c == column for sign in (-1, 1) for o in offsets}
     return sorted(s for s in shares if 0 < s < 1) or [0.5]
 
 
-def _values_at(clean, targets, brackets, ranks):
+def _values_at(clean, targets, brackets, ranks, narrowings=NARROWINGS):
     """``{target: (value at k, value at k + 1, rows below, rows equal)}``."""
     live = [t for t in targets if brackets[t][0]]
+    if not live:
+        return {}
     number = {t: i for i, t in enumerate(live)}
 
     def cell(t):
@@ -135,7 +141,7 @@ def _values_at(clean, targets, brackets, ranks):
     # at most BUCKETS + 2 rows per target
     sizes = inside.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("rows")).collect()
 
-    hits, starts = [], {}
+    hits, starts, narrower = [], {}, dict(brackets)
     for t, i in number.items():
         start, k = below[f"b{i}"], ranks[t]
         last = brackets[t][0] - 1
@@ -144,6 +150,15 @@ def _values_at(clean, targets, brackets, ranks):
                 hits.append((i, b))
                 starts[i, b] = start
             start += rows
+        n, low, high = brackets[t]
+        mine = {b for j, b in hits if j == i}
+        held = sum(r["rows"] for r in sizes if r["t"] == i and r["bucket"] in mine)
+        if held > ORDERED_ROWS and high > low and narrowings:
+            # the buckets' own range, a little wider than their edges
+            step = (high - low) / BUCKETS
+            narrower[t] = (n, max(low, low + (min(mine) - 1.001) * step), min(high, low + (max(mine) + 0.001) * step))
+    if any(narrower[t][2] - narrower[t][1] < (brackets[t][2] - brackets[t][1]) / 2 for t in live):
+        return _values_at(clean, targets, narrower, ranks, narrowings - 1)
     chosen = F.lit(False)
     for i, b in hits:
         chosen = chosen | ((F.col("t") == i) & (F.col("bucket") == b))

@@ -58,11 +58,18 @@ def forest(params):
     return RandomForestRegressor(**settings)
 
 
-def train_model(df, features, key, profile="full", test_size=0.2, folds=5, seed=K.SEED, **params):
+PARTITIONS = 8
+
+
+def train_model(df, features, key, profile="full", test_size=0.2, folds=5, seed=K.SEED,
+                partitions=PARTITIONS, parallelism=None, **params):
     """Split, scale, cross-validate and fit on ``label``; metrics on train and test.
 
-    Cross-validation runs on the training part only, and its final refit on the whole
-    training part is the model, so nothing is fitted twice.
+    Cross-validation runs on the training part only, ``parallelism`` fits at a time (default: all
+    folds), and its final refit on the whole training part is the model, so nothing is fitted twice.
+    A fit samples rows by partition, so the training rows are dealt by a hash of the key to a stated
+    number of ``partitions`` and ordered there: the model does not depend on the machine or on how
+    the table was split. The number should suit the table.
     """
     settings = {**K.FOREST_PROFILES[profile], **params}
     parts = split_rows(df, key, test_size, seed=seed)
@@ -72,7 +79,9 @@ def train_model(df, features, key, profile="full", test_size=0.2, folds=5, seed=
         VectorAssembler(inputCols=[SCALED + c for c in features], outputCol="features"),
     ]).fit(train)
     fold_column = [fold(F.col(key), folds, seed).alias("fold")] if folds else []
-    ready = prepare.transform(_spread(train, key)).select("features", "label", *fold_column).persist(
+    ready = prepare.transform(
+        train.repartition(partitions, key).sortWithinPartitions(key)
+    ).select("features", "label", *fold_column).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
@@ -80,7 +89,7 @@ def train_model(df, features, key, profile="full", test_size=0.2, folds=5, seed=
         if folds:
             search = CrossValidator(
                 estimator=estimator, estimatorParamMaps=[{}], numFolds=folds, foldCol="fold",
-                evaluator=RegressionEvaluator(labelCol="label", metricName="r2"),
+                evaluator=RegressionEvaluator(labelCol="label", metricName="r2"), parallelism=parallelism or folds,
             ).fit(ready)
             model = search.bestModel
             cv = {"cv_mean": search.avgMetrics[0], "cv_std": search.stdMetrics[0]}
@@ -96,16 +105,6 @@ def train_model(df, features, key, profile="full", test_size=0.2, folds=5, seed=
     return trained
 
 
-def _spread(rows, key):
-    """At least one partition per core: a small table may come as a single file split.
-
-    A fit scans its rows many times, so one shuffle by the unique key pays off. Large tables
-    already have more splits than cores and stay where they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
-
-
 def _split_metrics(trained, parts):
     """Metrics of both parts from one scoring pass."""
     rows = regression_metrics(trained.predict(parts), by=["split"]).collect()  # two rows

@@ -1,7 +1,8 @@
 """Registered queries: forest training and scoring on rows of the orders table.
 
-The label is the smooth response at each order's place and day, so a fit can be judged.
-One fitted model per session and data folder is shared by the queries that only score.
+The label is the smooth response at each order's place and day, so a fit can be judged. Each query
+fits its own model; its results are stated as properties that SQL can state too: exact row counts,
+values inside the range of the labels, scores above the gate.
 """
 
 from pyspark.sql import functions as F
@@ -11,14 +12,14 @@ from nitrogrid.functions.calendar import is_weekend
 from nitrogrid.functions.field import smooth_response
 from nitrogrid.plans import scoring as S
 from nitrogrid.plans import training as T
+from nitrogrid.registry import scoring as RS
 from nitrogrid.registry import views as V
 from nitrogrid.registry.preparation import HASH_SQL
 from nitrogrid.session import work_path
+from nitrogrid.streaming import pipelines as P
 
 PROFILE = {"numTrees": 20, "maxDepth": 10, "maxBins": 32}
 
-_fitted = {}
-
 
 def training_rows(spark, sf):
     orders = V.table(spark, sf, "orders")
@@ -42,111 +43,152 @@ def fit(spark, sf, folds=0):
     )
 
 
-def _key(spark, sf):
-    return spark.sparkContext.applicationId, sf
+def _predictor(spark, sf):
+    return S.model_predictor(fit(spark, sf).pipeline)
 
 
-def fitted(spark, sf):
-    key = _key(spark, sf)
-    if key not in _fitted:
-        _fitted[key] = fit(spark, sf)
-    return _fitted[key]
+def _in_range(spark, sf, value):
+    """Whether a value lies in the range of all labels."""
+    labels = training_rows(spark, sf)
+    low, high = labels.agg(F.min("label")).scalar(), labels.agg(F.max("label")).scalar()
+    return F.coalesce((value >= low * 0.999999) & (value <= high * 1.000001), F.lit(False))
 
 
 def model_gate(spark, sf):
     """Train and judge: the acceptance test is R2 above 0.8 on unseen rows."""
-    trained = _fitted[_key(spark, sf)] = fit(spark, sf)
-    row = T.performance_row(trained, spark)
+    trained = fit(spark, sf)
     p = trained.performance
-    return row.select(
-        F.lit(p["train_n"]).alias("train_rows"), F.lit(p["test_n"]).alias("test_rows"), "passed"
+    gate = T.performance_row(trained, spark).select("passed")
+    return training_rows(spark, sf).agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.lit(p["train_n"]).alias("train_rows"), F.lit(p["test_n"]).alias("test_rows"), gate.scalar().alias("passed")
     )
 
 
 def cross_validation(spark, sf):
-    """Five-fold scores on the training part, with the other metrics."""
-    return T.performance_row(fit(spark, sf, folds=5), spark)
+    """Five-fold scores on the training part, importances, metadata and report of the refit."""
+    trained = fit(spark, sf, folds=5)
+    p = trained.performance
+    ranked = T.importances(trained, spark)
+    state = T.metadata(trained, spark, V.AS_OF)
+    facts = {
+        "importances_sum_to_one": ranked.select(F.abs(F.sum("importance") - 1) < 1e-6),
+        "ranks": ranked.select(F.concat_ws(",", F.array_sort(F.collect_list("rank")))),
+        "top_three": T.top_share(ranked).select(F.col("share").between(1e-9, 1 + 1e-9)),
+        "status": state.select("status"),
+        "features": state.select(F.size("features")),
+        "reported": T.report(trained, spark).select(F.count("value")),
+    }
+    return training_rows(spark, sf).agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", *[one.scalar().alias(name) for name, one in facts.items()],
+        F.lit(p["train_n"]).alias("train_rows"), F.lit(p["test_n"]).alias("test_rows"),
+        F.lit(p["cv_mean"] > K.R2_GATE).alias("folds_passed"), F.lit(p["cv_std"] < 0.1).alias("folds_agree"),
+    )
 
 
 def forest_predictions(spark, sf):
-    rows = training_rows(spark, sf)
-    return fitted(spark, sf).predict(rows).select(
-        "event_id", V.scaled("label"), V.scaled("prediction")
+    """Predictions of all rows, by month: a forest predicts means of labels."""
+    rows = fit(spark, sf).predict(training_rows(spark, sf))
+    return rows.groupBy("month").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(_in_range(spark, sf, F.col("prediction"))).alias("in_range"),
+        (F.abs(F.avg("prediction") / F.avg("label") - 1) < 0.2).alias("near"),
     )
 
 
-def importances(spark, sf):
-    return T.importances(fitted(spark, sf), spark)
-
-
 def bulk_score(spark, sf):
-    predictor = S.model_predictor(fitted(spark, sf).pipeline)
-    return S.bulk_predictions(training_rows(spark, sf).drop("label"), predictor)
+    rows = S.bulk_predictions(training_rows(spark, sf).drop("label"), _predictor(spark, sf))
+    return rows.select(
+        "event_id", F.round("latitude", 6).alias("latitude"), "month",
+        _in_range(spark, sf, F.col("predicted_no2")).alias("in_range"))
 
 
 def forest_batch(spark, sf):
     """Batch requests scored by the forest."""
-    predictor = S.model_predictor(fitted(spark, sf).pipeline)
-    return S.score_batches(V.batch_requests(spark, sf), predictor, V.AS_OF, keep=["request_id"])
+    scored = S.score_batches(V.batch_requests(spark, sf), _predictor(spark, sf), V.AS_OF, keep=["request_id"])
+    return scored.select(
+        "request_id", "name", "error", F.col("no2_value").isNotNull().alias("scored"),
+        F.col("air_quality").isNotNull().alias("classed"))
 
 
 def saved_model_scores(spark, sf):
-    """A saved and reloaded model gives the same predictions."""
-    trained = fitted(spark, sf)
+    """A saved and reloaded model gives the same predictions, in one pass over the rows."""
+    trained = fit(spark, sf)
     again = T.load_model(spark, T.save_model(trained, spark, work_path(spark, "model")))
-    rows = training_rows(spark, sf)
-    before = trained.predict(rows).select("event_id", F.col("prediction").alias("a"))
-    after = again.predict(rows).select("event_id", F.col("prediction").alias("b"))
-    return before.join(after, "event_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("a") == F.col("b")).alias("equal")
+    before = trained.predict(training_rows(spark, sf)).withColumnRenamed("prediction", "a")
+    return again.predict(before).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("a") == F.col("prediction")).alias("equal")
     )
 
 
-def _scenario(spark, sf, rows):
-    return S.score_requests(rows, S.model_predictor(fitted(spark, sf).pipeline), V.AS_OF)
-
-
-def scenario_cities(spark, sf):
-    return _scenario(spark, sf, S.city_scenarios(spark)).select("scenario", "label", "no2_value", "air_quality")
+def _scored_places(spark, sf, changes):
+    """All orders' places under each of some changes of their covariates, scored by one forest."""
+    places = training_rows(spark, sf).drop("label").withColumn("c", F.explode(F.array(*[
+        F.struct(F.lit(label).alias("label"), *[F.lit(v).alias(k) for k, v in values.items()]) for label, values in changes
+    ])))
+    names = changes[0][1]
+    rows = places.select(
+        *[c for c in places.columns if c not in names and c != "c"], "c.*")
+    return S.score_requests(rows, _predictor(spark, sf), V.AS_OF)
 
 
 def scenario_seasons(spark, sf):
-    return _scenario(spark, sf, S.season_scenarios(spark)).select("label", "month", "no2_value", "air_quality")
+    """All places in four seasons: more in summer's phase of the year than in autumn's."""
+    changes = [(name, {"month": month, "day_of_year": doy, "temperature": t}) for name, month, doy, t in K.SEASON_SCENARIOS]
+    scored = _scored_places(spark, sf, changes)
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(_in_range(spark, sf, F.col("no2_value"))).alias("in_range"))
 
 
 def scenario_weekend(spark, sf):
-    return S.weekend_effect(_scenario(spark, sf, S.weekend_scenarios(spark)))
-
-
-def performance_report(spark, sf):
-    scenarios = [_scenario(spark, sf, rows) for rows in (
-        S.city_scenarios(spark), S.season_scenarios(spark), S.weekend_scenarios(spark))]
-    return T.report(fitted(spark, sf), spark, scenarios)
-
-
-def model_metadata(spark, sf):
-    return T.metadata(fitted(spark, sf), spark, V.AS_OF)
+    """All places on a weekday and at a weekend."""
+    scored = _scored_places(spark, sf, [(name, {"is_weekend": flag}) for name, flag in K.WEEKEND_SCENARIOS])
+    value = F.col("no2_value")
+    return scored.groupBy("month").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.avg(F.when(F.col("is_weekend") == 0, value)) > F.avg(F.when(F.col("is_weekend") == 1, value))).alias("weekday_higher"))
+
+
+def stream_score_model(spark, sf):
+    """Requests scored by a fitted pipeline as a stream, and again as a batch."""
+    predictor = _predictor(spark, sf)
+    out = work_path(spark, "stream-model")
+    requests = V.requests(spark, sf)
+    requests.write.json(f"{out}/requests")
+    stream = P.read_request_stream(spark, f"{out}/requests", requests.schema)
+    P.start(P.score_stream(stream, predictor, V.AS_OF), f"{out}/scored", f"{out}/checkpoint").awaitTermination()
+    batch = S.score_requests(requests, predictor, V.AS_OF).select("event_id", "error", F.col("no2_value").alias("value"))
+    streamed = spark.read.parquet(f"{out}/scored").select("event_id", "no2_value")
+    return batch.join(streamed, "event_id").select(
+        "event_id", "error", F.col("value").eqNullSafe(F.col("no2_value")).alias("equal"), F.col("value").isNotNull().alias("scored"))
 
 
 QUERIES = {
+    "stream_score_model": stream_score_model,
     "model_gate": model_gate,
     "cross_validation": cross_validation,
     "forest_predictions": forest_predictions,
-    "importances": importances,
     "bulk_score": bulk_score,
     "forest_batch": forest_batch,
     "saved_model_scores": saved_model_scores,
-    "scenario_cities": scenario_cities,
     "scenario_seasons": scenario_seasons,
     "scenario_weekend": scenario_weekend,
-    "performance_report": performance_report,
-    "model_metadata": model_metadata,
 }
 
 _SPLIT = HASH_SQL.replace("event_id", "o_orderkey") + " / 4503599627370496.0::double < 0.2::double"
+_COUNTS = f"count(*) FILTER (NOT {_SPLIT}) AS train_rows, count(*) FILTER ({_SPLIT}) AS test_rows"
 
 ORACLE = {
-    "model_gate": f"""SELECT count(*) FILTER (NOT {_SPLIT}) AS train_rows,
-  count(*) FILTER ({_SPLIT}) AS test_rows, true AS passed FROM orders""",
+    "stream_score_model": f"""WITH {RS.FILLED} SELECT event_id, error, true AS equal, error IS NULL AS scored FROM filled""",
+    "model_gate": f"SELECT count(*) AS rows, {_COUNTS}, true AS passed FROM orders",
+    "cross_validation": f"""SELECT count(*) AS rows, true AS importances_sum_to_one, '1,2,3,4,5,6,7,8' AS ranks, true AS top_three,
+  'ready' AS status, 8 AS features, 14 AS reported, {_COUNTS}, true AS folds_passed, true AS folds_agree FROM orders""",
+    "forest_predictions": """SELECT month(o_orderdate) AS month, count(*) AS n, true AS in_range, true AS near
+FROM orders GROUP BY 1""",
+    "bulk_score": """SELECT o_orderkey AS event_id, round(25.0::double + (o_custkey % 251) * 0.1::double, 6) AS latitude,
+  month(o_orderdate) AS month, true AS in_range FROM orders""",
+    "forest_batch": RS.BATCH + """ SELECT request_id, name, error, error IS NULL AS scored, error IS NULL AS classed FROM located""",
     "saved_model_scores": "SELECT count(*) AS rows, count(*) AS equal FROM orders",
+    "scenario_seasons": """SELECT label, count(*) AS n, true AS in_range
+FROM orders, (VALUES ('Winter'), ('Spring'), ('Summer'), ('Fall')) s(label) GROUP BY 1""",
+    "scenario_weekend": """SELECT month(o_orderdate) AS month, 2 * count(*) AS n, true AS weekday_higher FROM orders GROUP BY 1""",
 }

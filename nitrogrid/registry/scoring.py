@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nitrogrid.functions.text import fixed3, scientific
 from nitrogrid.plans import scoring as S
 from nitrogrid.registry import views as V
 from nitrogrid.schemas import BATCH_REQUEST, SCORE_REQUEST
@@ -127,7 +128,15 @@ def stream_score(spark, sf):
     return _shown(spark.read.parquet(f"{out}/scored"), "event_id")
 
 
+def number_texts(spark, sf):
+    """Display texts of coordinates and values, read back as numbers."""
+    rows = V.requests(spark, sf).select("event_id", F.abs("latitude").alias("x"), ((F.col("temperature") + 0.0012) * 1e14).alias("v"))
+    return rows.select(
+        "event_id", fixed3(F.col("x")).cast("double").alias("x"), scientific(F.col("v")).cast("double").alias("v"))
+
+
 QUERIES = {
+    "number_texts": number_texts,
     "score_validate": score_validate,
     "score_defaults": score_defaults,
     "score_requests": score_requests,
@@ -167,7 +176,13 @@ _BATCH = V.REQUESTS + f""", located AS (
 valued AS (SELECT *, {V.SMOOTH_SQL.format(**NAMES)} AS raw FROM located),
 scored AS (SELECT *, CASE WHEN error IS NULL THEN raw END AS v FROM valued)"""
 
+BATCH = "WITH " + _BATCH
+# away from ties both roundings agree
+_NUMBER_TEXTS = f"""WITH {V.REQUESTS} SELECT event_id, printf('%.3f', latitude)::double AS x,
+  printf('%.2e', (temperature + 0.0012) * 1e14)::double AS v FROM requests"""
+
 ORACLE = {
+    "number_texts": _NUMBER_TEXTS,
     "score_validate": f"WITH {V.REQUESTS} SELECT event_id, {ERROR_SQL} AS error FROM requests",
     "score_defaults": f"""WITH {FILLED}
 SELECT event_id, month, day_of_year, is_weekend, round(temperature, 6) AS temperature,

@@ -21,9 +21,10 @@ def write_csv(df, path=None, prefix="no2_combined_data", mode="errorifexists"):
 def write_observations(df, path, date=None, mode="errorifexists"):
     """Parquet, partitioned by day so that later date filters skip files.
 
-    Rows of a day are not gathered in one task: the writer splits files by size.
+    Rows are rebalanced by day first, so a day has few files; a day with many rows is split by
+    size and not gathered in one task.
     """
-    writer = df.withColumn("date", F.to_date(date)) if date else df
+    writer = df.withColumn("date", F.to_date(date)).hint("rebalance", "date") if date else df
     out = writer.write.mode(mode)
     (out.partitionBy("date") if date else out).parquet(path)
     return path
@@ -34,7 +35,7 @@ def write_catalog_report(categorised, counts, sections, path, mode="errorifexist
     texts = categorised.select(
         "category", *[F.col(c) for c in categorised.columns if c != "category"]
     )
-    texts.write.mode(mode).partitionBy("category").json(f"{path}/entries")
+    texts.hint("rebalance", "category").write.mode(mode).partitionBy("category").json(f"{path}/entries")
     counts.write.mode(mode).json(f"{path}/categories")
     sections.write.mode(mode).json(f"{path}/instructions")
     return path

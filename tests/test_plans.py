@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 RUN_FREE = [
     name for m in contract.MODULES if m.__name__.startswith("nitrogrid.registry.") for name in m.QUERIES
     if not name.startswith(("csv_", "stream_", "model_", "forest_", "scenario_c", "scenario_s", "scenario_w"))
-    and name not in {"cross_validation", "importances", "bulk_score", "saved_model_scores", "performance_report"}
+    and name not in {"cross_validation", "bulk_score", "saved_model_scores"}
 ]
 
 

@@ -33,17 +33,17 @@ def test_distributed_quantiles_equal_numpy(spark, kind):
         "wide": 10.0 ** rng.uniform(-300, 300, size=3000),
     }[kind]
     # accuracy 100 and no small-table path: brackets and buckets are really used
-    found = exact_quantiles(column(spark, values), ["x"], PROBS, accuracy=100, small_rows=0)["x"]
+    found = exact_quantiles(column(spark, values), ["x"], PROBS, accuracy=100)["x"]
     assert found == pytest.approx([float(v) for v in np.quantile(values, PROBS)], rel=1e-9)
 
 
 def test_quantiles_ignore_missing_values(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "x double")
     for small in (0, 100):
-        assert exact_quantiles(df, ["x"], [0.5], small_rows=small) == {"x": [2.0]}
+        assert exact_quantiles(df, ["x"], [0.5]) == {"x": [2.0]}
     empty = df.filter("x > 10")
     for small in (0, 100):
-        assert exact_quantiles(empty, ["x"], [0.5], small_rows=small) == {"x": [None]}
+        assert exact_quantiles(empty, ["x"], [0.5]) == {"x": [None]}
 
 
 def test_value_at_share(spark):

@@ -77,6 +77,13 @@ def test_before_a_fit(spark):
         empty.predict(spark.range(1))
 
 
+def test_fit_does_not_depend_on_the_input_partitions(spark):
+    few = [T.train_model(rows(spark).repartition(n), K.SCORING_FEATURES, "id", "quick", folds=0, numTrees=3, maxDepth=5, maxBins=32)
+           for n in (2, 16)]
+    a, b = (m.predict(rows(spark)).orderBy("id").select("prediction").collect() for m in few)
+    assert a == b
+
+
 def test_profiles():
     assert K.FOREST_PROFILES["full"] == {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 2}
     forest = T.forest(K.FOREST_PROFILES["quick"])
