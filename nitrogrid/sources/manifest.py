@@ -21,9 +21,13 @@ def find_manifest(spark, folder, keywords=None):
     return manifest_in(list_files(spark, folder, "*.csv"), keywords)
 
 
-def read_manifest_texts(spark, path, schema=None):
-    """All cells as text, with quoted line breaks, in file order."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_manifest_texts(spark, path, schema=None, multi_line=True):
+    """All cells as text, in file order.
+
+    Cells may hold quoted line breaks, so a file is one split. A manifest without them can be read
+    with ``multi_line=False``, in as many splits as its size asks for.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)
