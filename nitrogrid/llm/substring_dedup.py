@@ -6,8 +6,9 @@ A name is a hash of what it stands for, and the class a bit of the name, so all
 and equal passages get equal symbols, save near their ends. Each symbol knows how far left and
 right of it the words decide that it is there; where that range is inside a window, the symbol is
 interior to the window, whatever stands around. After two rounds a window of 20 words without long
-runs has interior symbols. Its anchor is the one with the smallest hash, so windows with a common
-high-level symbol meet; a window without any has its own hash as key.
+runs has interior symbols. Its anchor is the one with the smallest hash, its key the symbol with
+the words that decide it; so windows with a common high-level symbol meet. A window without any has
+its own hash as key.
 
 Shared symbols only propose. Whole segments and, where those differ, single windows are then
 compared by 128-bit fingerprints of their words.
@@ -134,7 +135,8 @@ def keyed_windows(column: pa.Array, width: int = WINDOW) -> Segments:
     key = np.empty(total, np.uint64)
     anchor = np.empty(total, np.int64)
     at = smallest_between(value, lo[has], hi[has]) if has.any() else np.zeros(0, np.int64)
-    key[has], anchor[has] = value[at], at
+    # all words that decide the symbol are in the window: they make a key that seldom meets by chance
+    key[has], anchor[has] = mixed(range_hash(w.hashes, s.need_lo[at], s.need_hi[at]) + value[at]), at
     bare = place[~has]
     key[~has], anchor[~has] = mixed(range_hash(w.hashes, bare, bare + width)), -1 - bare
     key, start, n = repeats.by_anchor(key, anchor, place)
