@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nitrogrid.session import work_path  # noqa: F401  (also for tests)
 
+ROWS_PER_BATCH = 2_000
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
@@ -21,8 +22,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that tasks can import it."""
+    """Sends this package to the executors, once per application, so that tasks can import it.
+
+    Texts can be long, so Arrow batches get fewer rows than Spark's default.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
