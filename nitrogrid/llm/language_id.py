@@ -19,7 +19,6 @@ An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nitrogrid.llm.common import id_and_text, mixed, pieces_of, ship, texts
+from nitrogrid.llm.textarrays import BASE, range_hash
 
 HELD_OUT = 2
 FOLDS = 4
@@ -54,17 +54,42 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-def features(word: str) -> list[int]:
-    """Hashed affixes and character n-grams of a word."""
-    w = f"<{word[:64]}>"
-    n = len(w)
-    parts = {f"p{w[:k]}" for k in (2, 3, 4) if k < n} | {f"s{w[-k:]}" for k in (2, 3, 4) if k < n}
-    parts |= {w[i:i + k] for k in (1, 2, 3) for i in range(1 if k == 1 else 0, n - k + 1)}
-    return [zlib.crc32(p.encode()) % BUCKETS for p in sorted(parts)]
-
-
-def bucket(word: str) -> int:
-    return zlib.crc32(b"w" + word.encode()) % LEXICON
+def characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all words, each with a mark before and after it, and where each word begins."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.concatenate([[0], np.cumsum(size)])
+    flat = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat.astype(np.uint64), start
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed character n-grams and affixes: (feature, number of its word), and how many each word has."""
+    flat, start = characters(words)
+    size = np.diff(start)
+    number = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(start[1:], size) - np.arange(len(flat))  # characters from here to the word's end
+    found, owner = [], []
+    gram = np.zeros(len(flat), np.uint64)
+    for k in range(1, 5):
+        shifted = np.concatenate([flat[k - 1:], np.zeros(min(k - 1, len(flat)), np.uint64)])[:len(flat)]
+        gram = mixed(gram * BASE + shifted + np.uint64(k))
+        whole = left >= k
+        if k <= 3:
+            found.append(gram[whole])
+            owner.append(number[whole])
+        if k >= 2:  # affixes of one to three characters and the mark
+            has = np.flatnonzero(size > k)
+            for salt, place in ((101, start[has]), (202, start[has + 1] - k)):
+                found.append(mixed(gram[place] + np.uint64(salt)))
+                owner.append(has)
+    owner = np.concatenate(owner)
+    return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), owner, np.bincount(owner, minlength=len(words))
+
+
+def buckets(words: list[str]) -> np.ndarray:
+    """The lexicon bucket of each word."""
+    flat, start = characters(words)
+    return (mixed(range_hash(flat, start[:-1], start[1:])) % np.uint64(LEXICON)).astype(np.int64)
 
 
 @dataclass
@@ -76,12 +101,9 @@ class Model:
     transitions: np.ndarray  # languages x languages
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        lists = [features(w) for w in words]
-        sizes = np.array([len(f) for f in lists])
-        flat = np.fromiter((i for f in lists for i in f), np.int64, int(sizes.sum()))
-        total = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-        mean = total / sizes[:, None]
-        return mean + self.lean * self.lexicon[[bucket(w) for w in words]]
+        feature, owner, sizes = features(words)
+        total = np.stack([np.bincount(owner, self.weights[feature, k], len(words)) for k in range(len(self.languages))], 1)
+        return total / sizes[:, None] + self.lean * self.lexicon[buckets(words)]
 
 
 def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, pairs: bool = False):
@@ -155,13 +177,10 @@ def fit_weights(sequences: list[list[str]], states: list[list[int]], languages:
     flat = [w for s in sequences for w in s]
     known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
     which = np.array([known[w] for w in flat])
-    lists = [features(w) for w in known]
-    lengths = np.array([len(f) for f in lists])
-    feature = np.fromiter((i for f in lists for i in f), np.int64, int(lengths.sum()))
-    word_of = np.repeat(np.arange(len(known)), lengths)
+    feature, word_of, lengths = features(list(known))
     share = 1.0 / lengths
     used, slot = np.unique(feature, return_inverse=True)
-    lexical = lexicon[[bucket(w) for w in known]]
+    lexical = lexicon[buckets(list(known))]
     gold = np.array([y for s in states for y in s])
     hot = np.eye(count)[gold]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -216,16 +235,20 @@ def lexicon_table(rows: DataFrame, languages: list[str]) -> np.ndarray:
     place = {name: i for i, name in enumerate(languages)}
 
     def count(batches):
-        met = np.zeros((LEXICON, len(place)), np.int64)
+        met = np.zeros((len(place), LEXICON), np.int64)
         known: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(texts(batch), batch.column("lang").to_pylist(), strict=True):
-                found = words_of(text)
-                if len(known) > CACHED:
-                    known.clear()
-                for w in set(found) - known.keys():
-                    known[w] = bucket(w)
-                met[:, place[lang]] += np.bincount([known[w] for w in found], minlength=LEXICON)
+            found = [words_of(t) for t in texts(batch)]
+            if len(known) > CACHED:
+                known.clear()
+            new = sorted(set().union(*found) - known.keys())
+            known.update(zip(new, buckets(new).tolist(), strict=True))
+            get = known.__getitem__
+            lang = batch.column("lang").to_pylist()
+            for name in set(lang):
+                flat = [i for words, at in zip(found, lang, strict=True) if at == name for i in map(get, words)]
+                met[place[name]] += np.bincount(np.array(flat, np.int64), minlength=LEXICON)
+        met = met.T
         b, k = np.nonzero(met)
         yield pa.RecordBatch.from_arrays(
             [pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(met[b, k], pa.int64())], names=["bucket", "language", "n"])
