@@ -9,8 +9,8 @@ band are candidates, and the Jaccard similarity of their shingle sets decides (S
 
 Documents with one shingle set are one vertex from the start, so copies never form pairs. The
 candidates of a band are tested against one centre of it, the vertices that this leaves apart
-against a centre of another class, until a round links nothing. What then still shares a band
-without sharing a class is joined by the rarest shingles (prefix filter) with length filter: each
+against a few centres of other classes. What then still shares a band without sharing a class is
+joined by the rarest shingles (prefix filter) with length filter: each
 pair that can reach the threshold is tested there, so no link among the candidates is lost, and a
 common passage that many unlike documents share proposes nothing.
 
@@ -36,7 +36,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BATCH_BYTES = 4 << 20
-ROUNDS_AT_MOST = 12
+CENTRES = (1, 4)  # centres per band in the rounds before the rest is joined
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,16 +119,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def vertex_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(vertex, shingles) for the wanted vertices; texts that are surely not among them do not shuffle."""
-    spark = docs.sparkSession
     wanted = stored(wanted.select("vertex").distinct(), "near-wanted")
-    packed = bitfilter.key_filter(wanted.select(F.xxhash64("vertex").alias("key")), wanted.count())
-    shared = spark.sparkContext.broadcast(packed)
-
-    @F.pandas_udf("boolean")
-    def maybe(key):
-        import pandas as pd
-
-        return pd.Series(bitfilter.passes(shared.value, key.to_numpy(np.int64)))
 
     def sets(batches):
         for whole in batches:
@@ -140,7 +131,7 @@ def vertex_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(shingle.view(np.int64)))],
                     names=["vertex", "shingles"])
 
-    rows = id_and_text(docs).where(F.col("doc_id").isNotNull() & maybe(F.xxhash64("doc_id")))
+    rows = bitfilter.rows_near(id_and_text(docs), "doc_id", wanted, "vertex")
     rows = rows.join(wanted, rows["doc_id"] == wanted["vertex"], "left_semi").dropDuplicates(["doc_id"])
     return stored(rows.mapInArrow(sets, "vertex long, shingles array<long>"), "near-sets")
 
@@ -182,29 +173,26 @@ def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
         .select("vertex", F.coalesce("root", "label").alias("label")), "near-labels")
 
 
-def centre_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """One pair (a: vertex, b: centre of another label) for each vertex that shares a band with one.
+def centre_pairs(members: DataFrame, centres: int) -> DataFrame:
+    """Pairs (a: vertex, b: centre of another label), at most `centres` for each vertex.
 
-    members: band, vertex, label. A band has two centres, of different labels; of the centres that
-    its bands offer, a vertex takes the one that most of them do.
+    members: band, vertex, label. A band's members are dealt by a hash to so many shares, and each
+    share has a centre; of the centres that its bands offer, a vertex takes those that most of them do.
     """
-    rank = F.struct(F.xxhash64("vertex", F.lit(turn)), "vertex", "label")
-    first = members.groupBy("band").agg(F.min(rank).alias("one"))
-    by_label = members.groupBy("band", "label").agg(F.min(rank).alias("best"))
-    second = (
-        by_label.join(first, "band").where(F.col("label") != F.col("one.label"))
-        .groupBy("band").agg(F.min("best").alias("two"))
-    )
-    centres = stored(first.join(second, "band").select("band", "one", "two"), "near-centres")
+    dealt = members.withColumn("share", F.pmod(F.xxhash64("vertex", F.lit(centres)), F.lit(centres)))
+    first = F.min(F.struct(F.xxhash64("vertex"), "vertex", "label")).alias("centre")
+    chosen = stored(dealt.groupBy("band", "share").agg(first).select(
+        "band", F.col("centre.vertex").alias("b"), F.col("centre.label").alias("other")), "near-centres")
     offered = (
-        members.join(centres, "band")
-        .select("vertex", F.when(F.col("label") != F.col("one.label"), F.col("one.vertex")).otherwise(F.col("two.vertex")).alias("b"))
+        members.join(chosen, "band").where("label <> other")
         .groupBy("vertex", "b").agg(F.count("*").alias("shared"))
     )
-    return (
-        offered.groupBy("vertex").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-        .select(F.col("vertex").alias("a"), "b")
-    )
+    if centres == 1:
+        return offered.groupBy("vertex").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")) \
+            .select(F.col("vertex").alias("a"), "b")
+    # a vertex has a row per centre of its bands at most
+    place = F.row_number().over(Window.partitionBy("vertex").orderBy(F.desc("shared"), "b"))
+    return offered.withColumn("place", place).where(F.col("place") <= centres).select(F.col("vertex").alias("a"), "b")
 
 
 def mixed_bands(members: DataFrame) -> DataFrame:
@@ -255,15 +243,13 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("met")).where("met > 1").select("band")
     members = stored(bands.join(shared, "band", "left_semi"), "near-bands")
     sets = vertex_sets(docs, members)
-    for turn in range(ROUNDS_AT_MOST):
-        apart = stored(mixed_bands(members.join(labels, "vertex")), "near-apart")
-        if apart.isEmpty():
-            break
-        edges = stored(verified(centre_pairs(apart, turn), sets, similar), "near-links")
+    apart = members.withColumn("label", F.col("vertex"))
+    for centres in CENTRES:
+        edges = stored(verified(centre_pairs(apart, centres), sets, similar), "near-links")
         if edges.isEmpty():
-            break
+            continue
         labels = relabelled(labels, edges)
-    apart = stored(mixed_bands(members.join(labels, "vertex")), "near-apart")
+        apart = stored(mixed_bands(members.join(labels, "vertex")), "near-apart")
     if not apart.isEmpty():
         edges = stored(verified(rest_pairs(apart, sets, named.select("vertex", "n"), similar), sets, similar), "near-links")
         if not edges.isEmpty():
