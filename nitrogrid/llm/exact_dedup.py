@@ -10,8 +10,6 @@ text and one doc_id, one stays. An empty table gives an empty result. Other colu
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +22,6 @@ def text_hash(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE_CLASS, " "), 256))
 
 
-def maybe_repeated(spark, packed: np.ndarray):
-    """A column function: whether a key passes the filter."""
-    shared = spark.sparkContext.broadcast(packed)
-
-    @F.pandas_udf("boolean")
-    def test(key: pd.Series) -> pd.Series:
-        return pd.Series(bitfilter.passes(shared.value, key.to_numpy(np.int64)))
-
-    return test
-
-
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
@@ -44,12 +31,13 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
         "exact-hashes",
     )
     packed = bitfilter.repeat_filter(hashes.select("key"), parquet_rows(hashes))
-    tested = hashes.withColumn("repeated", maybe_repeated(spark, packed)("key"))
+    tested = hashes.withColumn("repeated", bitfilter.tester(spark, packed)("key"))
     single = tested.where(~F.col("repeated")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "sha",
     )
-    rows = tested.where("repeated").groupBy("sha", "doc_id").agg(F.count("*").alias("copies"))
+    # stored, so that the join below reads them by its own exchange and can split a hot text
+    rows = stored(tested.where("repeated").groupBy("sha", "doc_id").agg(F.count("*").alias("copies")), "exact-rows")
     groups = rows.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     several = (
         rows.join(groups, "sha")
@@ -77,7 +65,7 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("key", F.xxhash64("sha"))
     keys = stored(hashed.select("key"), "exact-keys")
     packed = bitfilter.repeat_filter(keys, parquet_rows(keys))
-    tested = hashed.withColumn("repeated", maybe_repeated(spark, packed)("key"))
+    tested = hashed.withColumn("repeated", bitfilter.tester(spark, packed)("key"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("row"))
     best = tested.where("repeated").groupBy("sha").agg(F.min_by("row", order).alias("row"))
     kept = tested.where(~F.col("repeated")).select("row").unionByName(best.select("row"))
