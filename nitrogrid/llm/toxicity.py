@@ -18,6 +18,7 @@ document, and null labels, are not used; without any labelled row of both kinds
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nitrogrid.llm import bitfilter
 from nitrogrid.llm.common import id_and_text, ship, stored, texts
 
 GRADES = 3
@@ -37,6 +39,7 @@ REJECT_FROM = 0.5
 STEPS = 400
 RATE = 0.3
 DECAY = 1e-3
+ROWS_OUT = 50_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,48 +51,63 @@ class Model:
 
     def severity(self, found: list[str]) -> tuple[list[float], list[float]]:
         """Expected grade and probability of any grade above 0, per text."""
-        score = np.array([self.weights[[self.words[w] for w in set(WORD.findall(t.lower())) if w in self.words]].sum()
+        score = np.array([self.weights[[self.words[w] for w in distinct_words(t) if w in self.words]].sum()
                           for t in found])
         above = 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -50, 50)))  # P(grade > k)
         return above.sum(axis=1).tolist(), above[:, 0].tolist()
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, words (distinct) of each labelled row."""
-    flags = labels.select(labels["doc_id"].cast("long").alias("labelled_id"), labels["toxic"].cast("int").alias("toxic")) \
-        .where("toxic in (0, 1)").groupBy("labelled_id").agg(F.max("toxic").alias("toxic"))
-    rows = id_and_text(docs)
-    rows = rows.join(flags, rows["doc_id"] == flags["labelled_id"]).select("doc_id", "toxic", "text")
+def flagged(labels: DataFrame) -> DataFrame:
+    """(labelled_id, toxic): one row per labelled document."""
+    return labels.select(labels["doc_id"].cast("long").alias("labelled_id"), labels["toxic"].cast("int").alias("toxic")) \
+        .where("labelled_id is not null and toxic in (0, 1)").groupBy("labelled_id").agg(F.max("toxic").alias("toxic"))
+
+
+def distinct_words(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
+
 
-    def split(batches):
+def word_counts(docs: DataFrame, flags: DataFrame) -> DataFrame:
+    """(word, bad, good): in how many toxic and clean labelled rows each word stands.
+
+    A task counts all its rows before anything is shuffled. The empty word stands for every row.
+    """
+    rows = bitfilter.rows_near(id_and_text(docs), "doc_id", flags, "labelled_id")
+    rows = rows.join(flags.hint("merge"), rows["doc_id"] == flags["labelled_id"]).select("toxic", "text")
+
+    def count(batches):
+        met = Counter(), Counter()
         for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), texts(batch), strict=True):
+                met[toxic].update(distinct_words(text))
+                met[toxic][""] += 1
+        words = list(met[0].keys() | met[1].keys())
+        for at in range(0, len(words), ROWS_OUT):
+            some = words[at:at + ROWS_OUT]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"),
-                 pa.array([sorted(set(WORD.findall(t.lower()))) for t in texts(batch)], pa.list_(pa.string()))],
-                names=["doc_id", "toxic", "words"])
+                [pa.array(some, pa.string()), *(pa.array([met[k][w] for w in some], pa.int64()) for k in (1, 0))],
+                names=["word", "bad", "good"])
 
-    return rows.mapInArrow(split, "doc_id long, toxic int, words array<string>")
+    counted = rows.mapInArrow(count, "word string, bad long, good long")
+    return counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def vocabulary(rows: DataFrame, most: int = MOST_WORDS) -> tuple[list[str], set[str]]:
-    """The words of the model, and those that lean to toxic rows. Counted over all labelled rows."""
-    totals = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
-    bad, good = totals["bad"] or 0, totals["good"] or 0
+def vocabulary(counts: DataFrame, most: int = MOST_WORDS) -> tuple[list[str], set[str]]:
+    """The words of the model, and those that lean to toxic rows."""
+    totals = counts.where("word = ''").first()
+    bad, good = (totals["bad"], totals["good"]) if totals else (0, 0)
     if not bad or not good:
         return [], set()
     share_bad = (F.col("bad") + 0.5) / (bad + 1)
     share_good = (F.col("good") + 0.5) / (good + 1)
     pooled = (F.col("bad") + F.col("good")) / (bad + good)
-    counted = (
-        rows.select("toxic", F.explode("words").alias("word"))
-        .groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-        .where(F.col("bad") + F.col("good") >= LEAST_ROWS_WITH_WORD)
+    judged = (
+        counts.where((F.col("word") != "") & (F.col("bad") + F.col("good") >= LEAST_ROWS_WITH_WORD))
         .withColumn("ratio", share_bad / share_good)
         .withColumn("strength", F.abs(F.col("bad") / bad - F.col("good") / good) / F.sqrt(pooled * (1 - pooled) + 1e-9))
     )
-    chosen = counted.orderBy(F.desc("strength"), "word").limit(most).select("word", "ratio", "bad").collect()
-    leaning = {r["word"] for r in chosen if r["ratio"] >= LEAN}
-    return [r["word"] for r in chosen], leaning
+    chosen = judged.orderBy(F.desc("strength"), "word").limit(most).select("word", "ratio").collect()
+    return [r["word"] for r in chosen], {r["word"] for r in chosen if r["ratio"] >= LEAN}
 
 
 def fit_cumulative(indices: list[np.ndarray], grades: np.ndarray, features: int, grade_count: int = GRADES,
@@ -130,25 +148,29 @@ def fit_cumulative(indices: list[np.ndarray], grades: np.ndarray, features: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    rows = stored(labelled(docs, labels), "toxicity-words")
-    words, leaning = vocabulary(rows)
+    flags = stored(flagged(labels), "toxicity-labels")
+    words, leaning = vocabulary(stored(word_counts(docs, flags), "toxicity-words"))
     if not words:
         return Model({}, np.zeros(0), np.full(GRADES - 1, 50.0))
     place = {w: i for i, w in enumerate(words)}
-    shared = rows.sparkSession.sparkContext.broadcast((place, leaning))
+    shared = docs.sparkSession.sparkContext.broadcast((place, leaning))
 
     def encode(batches):
         known, lean = shared.value
         for batch in batches:
-            lists = batch.column("words").to_pylist()
+            lists = [distinct_words(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("toxic"),
+                batch.column("doc_id"), batch.column("toxic"),
                 pa.array([sorted(known[w] for w in ws if w in known) for ws in lists], pa.list_(pa.int32())),
                 pa.array([sum(w in lean for w in ws) / max(1, len(ws)) for ws in lists], pa.float64()),
-            ], names=["toxic", "features", "density"])
+            ], names=["doc_id", "toxic", "features", "density"])
 
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    encoded = sample.mapInArrow(encode, "toxic int, features array<int>, density double").toPandas()
+    # at most most_rows labels go to all tasks; the texts stay where they are
+    sample = flags.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most_rows)
+    rows = id_and_text(docs)
+    rows = rows.join(F.broadcast(sample), rows["doc_id"] == sample["labelled_id"]).select("doc_id", "toxic", "text")
+    encoded = rows.mapInArrow(encode, "doc_id long, toxic int, features array<int>, density double").toPandas()
+    encoded = encoded.sort_values(["doc_id", "density"])
     toxic = encoded["toxic"].to_numpy()
     density = encoded["density"].to_numpy()
     half = np.median(density[toxic == 1]) if (toxic == 1).any() else 0.0
