@@ -261,6 +261,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["doc_id"] for r in left.collect()} == {i for i in got if not got[i]["rejected"]}
 
 
+def test_toxic_passages_in_long_texts(spark):
+    """What stands around a passage takes nothing off its severity; held-out rows of every length."""
+    rng = random.Random(13)
+    bad = [f"bad{c}" for c in "abcdefghij"]
+    clean = lambda n: ["w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    mix = lambda words, more: (at := rng.randrange(len(words) + 1)) and words[:at] + more + words[at:] or more + words
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = int(i % 8 == 0)
+        rows.append((i, " ".join(mix(clean(rng.randint(40, 400)), rng.sample(bad, rng.randint(1, 5)) if toxic else [])), "en"))
+        labels.append((i, toxic))
+    unseen = [(2000 + i, " ".join(clean(n)), "en") for i, n in enumerate([50, 300, 2000] * 20)]
+    added = {(k, n): [(10_000 * k + n + i, " ".join(mix(clean(n), rng.sample(bad, k))), "en") for i in range(15)]
+             for k in (1, 2, 4, 6) for n in (50, 300, 2000)}
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    late = [r for some in added.values() for r in some]
+    got = {r["doc_id"]: r["rejected"] for r in toxicity.graded(frame(spark, unseen + late), model).collect()}
+    assert np.mean([got[i] for i, _, _ in unseen]) <= 0.02
+    for (k, _), some in added.items():
+        assert np.mean([got[i] for i, _, _ in some]) >= (0.9 if k > 1 else 0.6)
+    assert model.severity([rows[0][1]])[0] <= model.severity([" ".join([*clean(640), rows[0][1], *clean(640)])])[0]
+
+
+def test_worst_passage():
+    place, weights = {"a": 0, "b": 1, "c": 2}, np.array([2.0, -0.5, 1.0])
+    for n in (0, 1, 31, 63, 64, 65, 96, 97, 400):
+        words = random.Random(n).choices(["a", "b", "c", "x"], [1, 3, 1, 30], k=n)
+        starts = range(0, max(1, n - 32), 32)
+        want = [sum(weights[place[w]] for w in set(words[s:s + 64]) if w in place) for s in starts]
+        score, first, feature = toxicity.worst_passage(words, place, weights)
+        assert (score, first) == (max(want), starts[want.index(max(want))])
+        assert set(feature) == {place[w] for w in words[first:first + 64] if w in place}
+
+
 def test_cumulative_gradient():
     """The fit is a maximum: no step of a single weight or cut raises the likelihood."""
     rng = np.random.default_rng(0)
