@@ -378,6 +378,27 @@ def test_leaks(spark):
     assert {r["doc_id"] for r in left.collect()} == {i for i, _, _ in rows} - {d for d, _ in truth}
 
 
+def test_leaks_of_many_short_items(spark):
+    """Verbatim copies among hundreds of items are found whatever their length; each pair has the LCS."""
+    rng = random.Random(16)
+    common = [f"c{k}" for k in range(300)]
+    text = lambda n: [rng.choice(common) for _ in range(n)]
+    items = [(k, text((6, 12, 20, 40, 64)[k % 5])) for k in range(700)]
+    rows, truth = [], set()
+    for i in range(120):
+        body, two = text(rng.choice([0, 60, 300])), rng.sample(items, 2)
+        for k, words in two:
+            at = rng.randrange(len(body) + 1) if not truth or i % 2 else len(body)
+            body = body + words if at == len(body) or i % 2 == 0 else body[:at] + words + body[at:]
+        held = f" {' '.join(body)} "
+        truth |= {(i, k) for k, words in two if f" {' '.join(words)} " in held}
+        rows.append((i, " ".join(body), "en"))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
+    assert len(truth) > 200 and not truth - got.keys()
+    assert all(r["lcs"] >= decontamination.LCS and -1 <= r["cosine"] <= 1 for r in got.values())
+
+
 def test_leaks_of_nothing(spark, odd, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(odd, none).count() == 0
