@@ -1,7 +1,7 @@
 """Packing of token ids into windows of fixed length by best-fit decreasing.
 
-Tasks tokenize whole texts and cut each document into full windows and a remainder; only piece
-descriptions leave them. The packing itself depends on how many pieces there are of each length:
+Tasks tokenize whole texts and cut each document into full windows and a remainder; the pieces carry
+their ids. The packing itself depends on how many pieces there are of each length:
 best-fit decreasing treats equal lengths alike. So the driver packs a histogram of at most
 `window` entries, with a segment tree over the remaining capacities, and gets rules of the form
 "pieces number i to j of length s go to windows from k, so many in each". Spark numbers the pieces
@@ -29,7 +29,7 @@ END_ID = 0
 SPECIAL = {"<|endoftext|>": 50256}
 NUMBERED_TOGETHER = 50_000
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 _loaded: dict[str, object] = {}
 
@@ -75,11 +75,12 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, fold
                 ids = np.append(token_ids(text, folder_path), end_id).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window]
-                    found.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            columns = list(zip(*found, strict=True)) or [[]] * 5
+                    found.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int32)))
+            columns = list(zip(*found, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return id_and_text(docs).mapInArrow(cut, PIECE)
 
@@ -156,7 +157,7 @@ def packing_rules(counts: dict[int, int], window: int = WINDOW) -> list[tuple[in
 
 
 def packed(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, folder_path=tokenizer_file) -> DataFrame:
-    """One row per piece with its sequence_id and its offset there."""
+    """One row per piece with its token ids, its sequence_id and its offset there."""
     spark = docs.sparkSession
     pieces = stored(cut_pieces(docs, window, end_id, folder_path), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
@@ -184,8 +185,16 @@ def packed(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, folder_p
         numbered.join(F.broadcast(rule_rows), (F.col("length") == F.col("of"))
                       & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("last")))
         .select(
-            "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+            "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids",
             (F.col("sequence") + F.floor(within / F.col("each"))).alias("sequence_id"),
             (F.col("at") + within % F.col("each") * F.col("length")).alias("offset"),
         )
     )
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """One row per window of packed(): sequence_id, its token ids in order, and the lengths of its pieces."""
+    # a window holds a bounded number of ids
+    held = F.sort_array(F.collect_list(F.struct("offset", "ids", "length")))
+    return pieces.groupBy("sequence_id").agg(held.alias("held")).select(
+        "sequence_id", F.flatten("held.ids").alias("ids"), F.col("held.length").alias("lengths"))

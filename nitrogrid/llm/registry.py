@@ -35,7 +35,7 @@ def op6_latent_decontamination(spark, sf_dir):
 
 
 def op7_best_fit_packing(spark, sf_dir):
-    return packing.packed(documents(spark, sf_dir))
+    return packing.packed(documents(spark, sf_dir)).drop("ids")
 
 
 def op8_rank_synchronous_token_counts(spark, sf_dir):

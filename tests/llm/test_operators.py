@@ -470,6 +470,19 @@ def test_packed(spark, odd_rows):
         assert at <= 1024
 
 
+def test_packed_sequences_hold_the_ids(spark, odd_rows):
+    rows = [r for r in odd_rows if r[0] is not None]
+    pieces = packing.packed(frame(spark, rows)).cache()
+    got = pieces.collect()
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in got)
+    windows = {r["sequence_id"]: r for r in packing.sequences(pieces).collect()}
+    assert windows.keys() == {r["sequence_id"] for r in got}
+    assert sum(len(w["ids"]) for w in windows.values()) == sum(r["length"] for r in got)
+    for r in got:
+        assert windows[r["sequence_id"]]["ids"][r["offset"]:r["offset"] + r["length"]] == r["ids"]
+    pieces.unpersist()
+
+
 # 8 token counts
 
 def test_token_counts(spark, odd_rows):
