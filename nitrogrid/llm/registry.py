@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from nitrogrid.llm import (
-    decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, suffix_dedup,
-    token_counts, toxicity,
+    decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, piece_spans, substring_dedup, suffix_dedup,
+    token_counts, toxicity, vector_codes, word_runs,
 )
 from nitrogrid.llm.common import documents
 
@@ -51,10 +51,23 @@ def op10_crf_language_id(spark, sf_dir):
     return language_id.predicted(docs, language_id.fit(docs))
 
 
+def op11_walsh_hadamard_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_offset_preserving_pieces(spark, sf_dir):
+    return piece_spans.digests(documents(spark, sf_dir))
+
+
+def op13_suffix_automaton_runs(spark, sf_dir):
+    return word_runs.run_digests(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_set_similarity_license_scan, op2_recompression_substring_dedup, op3_probminhash_near_dedup, op4_ordinal_toxicity, op5_bloom_exact_dedup,
     op6_latent_decontamination, op7_best_fit_packing,
     op8_rank_synchronous_token_counts, op9_column_wise_suffix_dedup, op10_crf_language_id,
+    op11_walsh_hadamard_vector_codes, op12_offset_preserving_pieces, op13_suffix_automaton_runs,
 )}
 
 ORACLE = {
@@ -70,4 +83,5 @@ ORACLE = {
                sha AS text_sha256
         FROM h
     """,
+    "op11_walsh_hadamard_vector_codes": vector_codes.oracle_sql(),
 }
