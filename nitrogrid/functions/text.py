@@ -65,3 +65,28 @@ def stamp(time):
 def plain_path(path):
     """One form for the ways to write a local path: ``/d/f``, ``file:/d/f``, ``file:///d/f``."""
     return F.regexp_replace(F.trim(path), "^file:/+", "/")
+
+
+_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):/"
+
+
+def path_scheme(path):
+    """Scheme of a path; a path without one has the empty scheme, and so has a ``file:`` path."""
+    scheme = F.lower(F.regexp_extract(F.trim(path), _SCHEME, 1))
+    return F.when(scheme == "file", F.lit("")).otherwise(scheme)
+
+
+def path_authority(path):
+    """Host or bucket of a path with a scheme, else empty."""
+    return F.lower(F.regexp_extract(F.trim(path), "^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)/", 1))
+
+
+def path_part(path):
+    """A path without scheme and authority, with single slashes."""
+    bare = F.regexp_replace(F.trim(path), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    return F.regexp_replace(bare, "/+", "/")
+
+
+def decoded_path(path):
+    """A path with its percent escapes resolved; a plus sign stays one, bad escapes stay as they are."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from nitrogrid import constants as K
 from nitrogrid.functions.text import (
-    any_of, blank_to_null, contains_any, download_file_name, plain_path, title_from_snake,
+    any_of, blank_to_null, contains_any, decoded_path, download_file_name, path_authority, path_part,
+    path_scheme, title_from_snake,
 )
 from nitrogrid.operators.ordinals import with_ordinal
 
@@ -103,12 +104,33 @@ def extract_entries(df, key, roles=None, keywords=None, columns=None):
 def resolve_files(entries, listing, key):
     """File of each entry: an existing path first, else a name derived from its URL.
 
-    ``listing`` has one row per existing file (``path``). Adds ``position`` among the
+    ``listing`` has one row per existing file (``path``), of one folder. An entry names a file by
+    its path; scheme and host count where the entry states them. A path that exists as it is
+    written comes before the one that its percent escapes give. Adds ``position`` among the
     entries, ``resolved`` and ``origin`` (``local``, ``download`` or null).
     """
-    numbered = with_ordinal(entries, key, "position")
-    existing = listing.select(plain_path(F.col("path")).alias("_plain"), F.col("path").alias("_exists")).distinct()
-    joined = numbered.withColumn("_plain", plain_path(F.col("file_path"))).join(existing, "_plain", "left")
+    numbered = with_ordinal(entries, key, "position").withColumns({
+        "_scheme": path_scheme(F.col("file_path")), "_host": path_authority(F.col("file_path")),
+        "_written": path_part(F.col("file_path")), "_decoded": decoded_path(path_part(F.col("file_path"))),
+    })
+    files = listing.select(
+        path_scheme(F.col("path")).alias("_of_scheme"), path_authority(F.col("path")).alias("_of_host"),
+        path_part(F.col("path")).alias("_part"), F.col("path").alias("_file"),
+    ).distinct()
+
+    def found(form):
+        side = files.select(*[F.col(c).alias(f"{c}{form}") for c in files.columns])
+        same = (
+            (F.col(form) == side[f"_part{form}"])
+            & ((F.col("_scheme") == side[f"_of_scheme{form}"]) | ((F.col("_scheme") == "") & ~F.lower(F.trim("file_path")).startswith("file:")))
+            & ((F.col("_host") == side[f"_of_host{form}"]) | (F.col("_host") == ""))
+        )
+        return side, same
+
+    written, as_written = found("_written")
+    decoded, as_decoded = found("_decoded")
+    joined = numbered.join(written, as_written, "left").join(decoded, as_decoded, "left") \
+        .withColumn("_exists", F.coalesce("_file_written", "_file_decoded"))
     origin = F.when(F.col("_exists").isNotNull(), F.lit("local")).when(
         F.col("file_url").isNotNull(), F.lit("download")
     )
@@ -117,7 +139,7 @@ def resolve_files(entries, listing, key):
         "resolved": F.when(F.col("_exists").isNotNull(), F.col("_exists")).when(
             F.col("file_url").isNotNull(), download_file_name(F.col("file_url"), F.col("position"))
         ),
-    }).drop("_exists", "_plain")
+    }).select(*[F.col(f"`{c}`") for c in entries.columns], "position", "origin", "resolved")
 
 
 def resolved_files(resolved):

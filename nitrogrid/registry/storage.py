@@ -14,7 +14,7 @@ from nitrogrid.session import work_path
 from nitrogrid.sinks.grids import write_grid
 from nitrogrid.sinks.replies import single_replies, write_replies
 from nitrogrid.sinks.tables import preview, write_catalog_report, write_csv, write_observations
-from nitrogrid.sources.files import list_files
+from nitrogrid.sources.files import list_files, listed
 from nitrogrid.sources.granules import (
     checked_blocks, granules_by_glob, granules_by_token, read_blocks, unread_files,
 )
@@ -83,19 +83,23 @@ def unread_granules(spark, sf):
     blocks.write.parquet(folder)
     spark.createDataFrame([], GRID_BLOCK).coalesce(1).write.mode("append").parquet(folder)
     V.table(spark, sf, "pages").select("url").repartition(3).write.mode("append").text(folder)
-    found, _ = checked_blocks(spark, folder, glob="*")
-    unread = unread_files(spark, folder, "*").agg(F.count(F.lit(1)))
+    found, faults = checked_blocks(spark, folder, glob="*")
+    unread = faults.join(unread_files(spark, folder, "*"), ["path", "error"], "left_semi").agg(F.count(F.lit(1)))
     return found.agg(F.count(F.lit(1)).alias("blocks")).withColumn("unread", unread.scalar())
 
 
 def granule_faults(spark, sf):
-    """Granules of a folder with undecodable blocks and files of another format: all are accounted for."""
-    folder = work_path(spark, "faulty")
+    """Granules of a folder with undecodable blocks and files of another format: all are accounted for.
+
+    The folder's name has a space, an escape and a sign, and its blocks lie in folders by value
+    whose names Spark escapes itself.
+    """
+    folder = work_path(spark, "faulty a%20b #1+") + "/50%"
     gap = F.col("vec_id") % 50 == 7
     V.grid(spark, sf).select(*[
         c if c in ("source_file", "var_attrs", "ds_attrs") else F.when(~gap, F.col(c)).alias(c) for c in GRID_BLOCK.names
-    ]).write.parquet(folder)
-    V.table(spark, sf, "pages").select("url").repartition(3).write.mode("append").text(folder)
+    ]).withColumn("shelf", F.concat(F.lit("1:%41 "), F.length("source_file"))).write.partitionBy("shelf").parquet(folder)
+    V.table(spark, sf, "pages").select("url").repartition(3).write.text(f"{folder}/shelf=other")
     rows, rejected = observations(spark, folder, "*")
     good = rows.groupBy("source_file", "file_index").agg(F.count(F.lit(1)).alias("n"))
     return good.agg(F.lit("good").alias("state"), F.count(F.lit(1)).alias("granules"), F.max("file_index").alias("last")).unionByName(
@@ -118,7 +122,7 @@ def preview_rows(spark, sf):
 
 def _named_granules(spark, sf):
     """Block files of two kinds: canonical names, and other accepted names."""
-    folder = work_path(spark, "granules")
+    folder = work_path(spark, "granules %41 é+") + "/50% of #1"
     blocks = V.grid(spark, sf)
     other = F.col("vec_id") % 2 == 1
     columns = [c for c in GRID_BLOCK.names if c not in ("latitude", "longitude")]
@@ -133,12 +137,12 @@ def _observed(rows):
 
 
 def manifest_to_observations(spark, sf):
-    """A manifest that names files by plain paths and URIs, some twice, some missing; then their rows."""
+    """A manifest that names files by plain paths and escaped URIs, some twice, some missing; then their rows."""
     folder = _named_granules(spark, sf)
-    files = list_files(spark, folder, "*.parquet")
+    files = listed(spark, folder, "*.parquet")
     csv = write_csv(
         files.select(F.col("path").alias("granule"), F.lit("TEMPO").alias("what"))
-        .unionAll(files.select(F.concat(F.lit("file://"), "path"), F.lit("other NO2")))
+        .unionAll(files.select("uri", F.lit("other NO2")))
         .unionAll(files.select(F.concat(F.lit("/gone"), "path"), F.lit("no2"))),
         work_path(spark, "collection"),
     )

@@ -1,5 +1,6 @@
 """Granule discovery and grid-block scans."""
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -11,10 +12,13 @@ from nitrogrid.functions.text import plain_path
 from nitrogrid.operators.grid import extract_variables, validate_blocks
 from nitrogrid.operators.lineage import with_source_file
 from nitrogrid.schemas import GRID_BLOCK
-from nitrogrid.sources.files import list_files
+from nitrogrid.session import work_path
+from nitrogrid.sources.files import list_files, listed
 
-# a Parquet file without rows is a footer; larger files without rows are taken as unreadable
-BARE_FOOTER = 1 << 20
+# files without rows up to this size are looked at in tasks, by so many paths in a read
+SMALL = 16 << 20
+PATHS_TOGETHER = 1000
+URI = "_uri"
 
 
 def granules_by_glob(listing, pattern=K.GRANULE_GLOB):
@@ -67,72 +71,109 @@ def read_foreign_blocks(spark, paths, mode="strict", glob=None):
     return validate_blocks(extract_variables(blocks), mode)
 
 
-def file_faults(spark, folder, glob="*.parquet", schema=GRID_BLOCK):
-    """Files of a folder that do not give all their rows: ``path, file_name, error``.
+def _no_rows(spark, files):
+    """Of files without rows (``uri, path, length``), those that are sound: nothing but a footer of the stated length.
 
-    The number of rows that the footers state (a scan of no column) is compared, per file, with
-    the number that a scan of every column gives. A file without rows is sound if it is nothing
-    but a footer of the stated length.
+    Contents are read in tasks; of the few that are large, only the last bytes.
     """
-    path = F.col("_metadata.file_path").alias("path")
-    rows = _tolerant(spark, schema, glob, folder)
-    stated = rows.select(path).groupBy("path").agg(F.count(F.lit(1)).alias("stated"))
-    every = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(f.dataType, T.MapType) else F.col(c)
-                         for c, f in ((f"`{f.name}`", f) for f in rows.schema)])
-    read = rows.select(path, every.alias("h")).groupBy("path").agg(
-        F.count(F.lit(1)).alias("read"), F.bit_xor("h").alias("_all"))
+    small = [r.path for r in files.filter(F.col("length") <= SMALL).select("path").collect()]
+    large = files.filter(F.col("length") > SMALL).select("uri", "path", "length").collect()
     footer = F.conv(F.hex(F.reverse(F.substring("content", -8, 4))), 16, 10).cast("long")
-    bare = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-        .filter(F.col("length") <= BARE_FOOTER)
-        .select("path", (
-            (F.substring("content", -4, 4) == F.lit(b"PAR1")) & (footer + 12 == F.col("length"))
-        ).alias("bare"))
-    )
-    found = list_files(spark, folder, glob)
-    sides = {"stated": stated, "read": read, "bare": bare}
-    for side in sides.values():
-        found = found.join(side.withColumn("path", plain_path(F.col("path"))), "path", "left")
+    marked = F.substring("content", -4, 4) == F.lit(b"PAR1")
+    sound = spark.createDataFrame([(r.uri,) for r in large if _bare(spark, r.path, r.length)], "uri string")
+    for at in range(0, len(small), PATHS_TOGETHER):
+        # special characters of a glob stand for themselves in these paths
+        paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in small[at:at + PATHS_TOGETHER]]
+        read = spark.read.format("binaryFile").load(paths).withColumn("uri", F.col("_metadata.file_path"))
+        sound = sound.unionByName(read.filter(marked & (footer + 12 == F.col("length"))).select("uri"))
+    return sound
+
+
+def _bare(spark, path, length):
+    """Whether the last bytes of a file say that it is nothing but a footer."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        stream.seek(length - 8)
+        tail = bytes(stream.readNBytes(8))
+    finally:
+        stream.close()
+    return tail[4:] == b"PAR1" and int.from_bytes(tail[:4], "little") + 12 == length
+
+
+def _faults(spark, folder, glob, schema, read):
+    """Files that do not give all rows their footers state; ``read`` (``uri, read``) counts what a scan gave."""
+    stated = _tolerant(spark, schema, glob, folder).groupBy(F.col("_metadata.file_path").alias("uri")) \
+        .agg(F.count(F.lit(1)).alias("stated"))
+    # the listing, the footers and what was read are one row per file; written, as they are used twice
+    path = work_path(spark, "granule-files")
+    listed(spark, folder, glob).join(stated, "uri", "left").join(read, "uri", "left").write.parquet(path)
+    files = spark.read.parquet(path)
+    none = files.filter("stated IS NULL")
+    files = files.join(_no_rows(spark, none).withColumn("bare", F.lit(True)), "uri", "left")
     error = (
         F.when(F.col("stated").isNull() & F.coalesce("bare", F.lit(False)), None)
         .when(F.col("stated").isNull(), F.lit("unreadable file"))
         .when(F.coalesce("read", F.lit(0)) != F.col("stated"),
               F.format_string("damaged file: %d of %d rows", F.coalesce("read", F.lit(0)), F.col("stated")))
-        # always false, but keeps the scan of every column
-        .when(F.col("_all").isNull() & (F.col("read") > 0), F.lit("unreadable file"))
     )
-    return found.select("path", "file_name", error.alias("error")).filter("error IS NOT NULL")
+    return files.select("uri", "path", "file_name", error.alias("error")).filter("error IS NOT NULL")
+
+
+def file_faults(spark, folder, glob="*.parquet", schema=GRID_BLOCK):
+    """Files of a folder that do not give all their rows: ``path, file_name, error``.
+
+    The number of rows that the footers state (a scan of no column) is compared, per file, with
+    the number that a scan of every column gives. A file without rows is sound if it is nothing
+    but a footer of the stated length. ``checked_blocks`` finds the same while it reads the data.
+    """
+    rows = _tolerant(spark, schema, glob, folder)
+    every = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(f.dataType, T.MapType) else F.col(c)
+                         for c, f in ((f"`{f.name}`", f) for f in rows.schema)])
+    read = rows.select(F.col("_metadata.file_path").alias("uri"), every.alias("h")).groupBy("uri") \
+        .agg(F.count(F.lit(1)).alias("read"), F.bit_xor("h").alias("_all"))
+    # always true, but keeps the scan of every column
+    read = read.filter(F.col("_all").isNotNull()).select("uri", "read")
+    return _faults(spark, folder, glob, schema, read).drop("uri")
 
 
 def checked_blocks(spark, folder, mode="lenient", glob="*.parquet", wanted=None, schema=None):
     """``(blocks, faults)`` of a folder: all blocks of sound files, and the files left out whole.
 
+    The folder's data is read once: its blocks are written to the shared folder with the address of
+    their file, and the rows that arrived there per file are compared with what its footers state.
+    A file that breaks on the way has rows missing and is left out whole, with the reason. Blocks,
+    rejects and file numbers are then read from what was written. Files are known by the address
+    that scans state for them, whatever characters their names have.
+
     Without a schema it is merged from the files, which may name their variables differently.
-    ``wanted`` (column ``path``) restricts both to some files; it may be as long as the listing.
-    Faulty files are excluded by name from a scan that stops at damage, so a file that breaks
-    between the two scans is an error and not a loss. The names of faulty files pass through the
-    driver, which holds the listing of the whole folder for the scan anyway.
+    ``wanted`` (column ``path``, as in the listing) restricts both to some files; it may be as long
+    as the listing.
     """
-    faults = file_faults(spark, folder, glob, schema)
-    if wanted is not None:
-        wanted = wanted.select(plain_path(F.col("path")).alias("path")).distinct()
-        faults = faults.join(wanted, "path", "left_semi")
-    bad = [r.path for r in faults.collect()]
     if schema is None:
         # taken from the files that have one; a folder without any has no blocks
         schema = _tolerant(spark, None, glob, folder).schema
-    blocks = _reader(spark, schema, glob).parquet(folder)
-    path = F.col("_metadata.file_path")
-    if bad:
-        blocks = blocks.filter(~path.isin([form for b in bad for form in (b, f"file:{b}", f"file://{b}")]))
+    blocks = _tolerant(spark, schema, glob, folder).withColumn(URI, F.col("_metadata.file_path"))
     if "source_file" not in blocks.columns:
         blocks = with_source_file(blocks)
+    files = None
     if wanted is not None:
-        blocks = blocks.withColumn("_path", plain_path(path))
-        blocks = blocks.join(wanted, blocks["_path"] == wanted["path"], "left_semi").drop("_path")
-    sound = validate_blocks(extract_variables(blocks), mode)
-    return sound, spark.createDataFrame(
-        [], "path string, file_name string, error string") if not bad else faults
+        paths = wanted.select(plain_path(F.col("path")).alias("path")).distinct()
+        files = listed(spark, folder, glob).join(paths, "path", "left_semi").select(F.col("uri").alias(URI))
+        blocks = blocks.join(files, URI, "left_semi")
+    path = work_path(spark, "granules")
+    blocks.write.parquet(path)
+    landed = spark.read.schema(blocks.schema).parquet(path)
+    read = landed.groupBy(F.col(URI).alias("uri")).agg(F.count(F.lit(1)).alias("read"))
+    faults = _faults(spark, folder, glob, schema, read)
+    if files is not None:
+        faults = faults.join(files.withColumnRenamed(URI, "uri"), "uri", "left_semi")
+    out = work_path(spark, "granule-faults")
+    faults.write.parquet(out)
+    faults = spark.read.schema(faults.schema).parquet(out)
+    sound = landed.join(faults.select(F.col("uri").alias(URI)), URI, "left_anti").drop(URI)
+    return validate_blocks(extract_variables(sound), mode), faults.drop("uri")
 
 
 def decode_granules(spark, folder, decoder, pattern=K.GRANULE_GLOB, schema=GRID_BLOCK):

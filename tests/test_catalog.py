@@ -1,5 +1,6 @@
 import os
 
+import pytest
 
 from nitrogrid import constants as K
 from nitrogrid.operators import catalog as C
@@ -276,3 +277,96 @@ def test_damaged_files_are_rejected_whole(spark, tmp_path):
 def test_ordinals_keep_null_keys(spark):
     df = spark.createDataFrame([(None, "x"), (5, "y"), (-3, "z")], "k long, v string")
     assert sorted((r.n, r.v) for r in with_ordinal(df, "k", "n").collect()) == [(0, "x"), (1, "z"), (2, "y")]
+
+
+def test_ordinals_of_tasks_that_write_several_files(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    try:
+        df = spark.range(200).selectExpr("(id * 37) % 200 as k").repartition(5)
+        assert sorted((r.n, r.k) for r in with_ordinal(df, "k", "n").collect()) == [(i, i) for i in range(200)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+NAMES = ["plain", "with space", "per%20cent", "100%", "a#b", "a+b", "a=b", "day=2023-08-01/a", "t=12%3A30/b", "é/ü c"]
+
+
+@pytest.fixture
+def odd_folder(spark, tmp_path):
+    """Sound files under names with characters that addresses escape, and one damaged file beside each."""
+    folder = tmp_path / "odd %41 folder"
+
+    for name in NAMES:
+        at = tmp_path / "made"
+        blocks(spark, block(name)).coalesce(1).write.mode("overwrite").parquet(str(at))
+        target = folder / f"{name}.parquet" if "/" not in name else folder / "sub" / f"{name.replace('/', '_')}.parquet"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(next(at.glob("part-*.parquet")).read_bytes())
+    return folder
+
+
+def test_names_with_escapes_are_sound(spark, odd_folder):
+    for sub, n in ((odd_folder, 7), (odd_folder / "sub", 3)):
+        rows, rejected = observations(spark, str(sub))
+        assert rejected.count() == 0
+        assert rows.select("source_file").distinct().count() == n
+        assert unread_files(spark, str(sub)).count() == 0
+
+
+def test_damaged_file_with_escapes_does_not_end_the_scan(spark, odd_folder):
+    write(odd_folder / "bad %41 #.parquet", "no parquet")
+    rows, rejected = observations(spark, str(odd_folder))
+    assert [(r.source_file, r.error) for r in rejected.collect()] == [("bad %41 #.parquet", "unreadable file")]
+    assert rows.select("source_file").distinct().count() == 7
+
+
+def test_wanted_files_with_escapes(spark, odd_folder):
+    wanted = spark.createDataFrame([(f"{odd_folder}/with space.parquet",), (f"file:{odd_folder}/a#b.parquet",)], "path string")
+    rows, rejected = observations(spark, str(odd_folder), wanted=wanted)
+    assert {r.source_file for r in rows.collect()} == {"with space", "a#b"} and rejected.count() == 0
+
+
+def test_partition_folders(spark, tmp_path):
+    folder = str(tmp_path / "parts")
+    made = blocks(spark, block("x")).selectExpr("*", "'12:30 %20' as day")
+    made.write.partitionBy("day").parquet(folder)
+    write(tmp_path / "parts" / "day=2" / "bad.parquet", "no parquet")
+    rows, rejected = observations(spark, folder)
+    assert rows.count() == 6 and [r.source_file for r in rejected.collect()] == ["bad.parquet"]
+
+
+def test_large_file_without_rows_is_sound(spark, tmp_path, monkeypatch):
+    from nitrogrid.sources import granules
+
+    folder = tmp_path / "blocks"
+    blocks(spark, block("ok")).coalesce(1).write.parquet(str(folder))
+    spark.createDataFrame([], GRID_BLOCK).coalesce(1).write.mode("append").parquet(str(folder))
+    write(folder / "bad.parquet", "no parquet, but long enough")
+    for limit in (granules.SMALL, 0):
+        monkeypatch.setattr(granules, "SMALL", limit)
+        assert [r.file_name for r in unread_files(spark, str(folder)).collect()] == ["bad.parquet"]
+
+
+@pytest.mark.parametrize("entry, found", [
+    ("/d/a b.parquet", "/d/a b.parquet"), ("file:/d/a b.parquet", "/d/a b.parquet"), ("file:///d/a%20b.parquet", "/d/a b.parquet"),
+    ("/d/a%20b.parquet", "/d/a b.parquet"), ("/d//a b.parquet", "/d/a b.parquet"), ("/d/x%20y.parquet", "/d/x%20y.parquet"),
+    ("/d/a+b.parquet", "/d/a+b.parquet"), ("/d/100%.parquet", "/d/100%.parquet"), ("hdfs://nn/d/a b.parquet", None),
+])
+def test_entries_find_local_files(spark, entry, found):
+    from nitrogrid.operators.catalog import resolve_files
+
+    listing = spark.createDataFrame([("/d/a b.parquet",), ("/d/x%20y.parquet",), ("/d/a+b.parquet",), ("/d/100%.parquet",)], "path string")
+    entries = spark.createDataFrame([(1, entry, None)], "entry long, file_path string, file_url string")
+    assert [r.resolved for r in resolve_files(entries, listing, "entry").collect()] == [found]
+
+
+@pytest.mark.parametrize("entry, found", [
+    ("hdfs://nn:8020/d/a%20b.parquet", True), ("/d/a b.parquet", True), ("hdfs://other/d/a b.parquet", False),
+    ("file:/d/a b.parquet", False), ("s3a://nn:8020/d/a b.parquet", False), ("hdfs:/d/a b.parquet", True),
+])
+def test_entries_find_files_of_other_stores(spark, entry, found):
+    from nitrogrid.operators.catalog import resolve_files
+
+    listing = spark.createDataFrame([("hdfs://nn:8020/d/a b.parquet",)], "path string")
+    entries = spark.createDataFrame([(1, entry, None)], "entry long, file_path string, file_url string")
+    assert [r.origin for r in resolve_files(entries, listing, "entry").collect()] == ["local" if found else None]
