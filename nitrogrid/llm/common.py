@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from nitrogrid.session import work_path  # noqa: F401  (also for tests)
 
 ROWS_PER_BATCH = 2_000
+BYTES_PER_BATCH = 8 << 20
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
@@ -24,11 +25,15 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that tasks can import it.
 
-    Texts can be long, so Arrow batches get fewer rows than Spark's default.
+    Texts can be long, so the session's Arrow batches are set to fewer rows than Spark's default and
+    to a number of bytes; smaller settings of the caller stay.
     """
     context = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")
+    if not (most.isdigit() and 0 < int(most) <= BYTES_PER_BATCH):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
@@ -50,6 +55,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def with_text_key(rows: DataFrame) -> DataFrame:
+    """id_and_text with a hash of the text: rows of one doc_id that hold different texts are told apart."""
+    return id_and_text(rows).withColumn("text_key", F.xxhash64("text"))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and still there when an executor is lost."""
     spark = df.sparkSession

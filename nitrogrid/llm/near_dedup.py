@@ -15,7 +15,8 @@ pair that can reach the threshold is tested there, so no link among the candidat
 common passage that many unlike documents share proposes nothing.
 
 Defined cases: texts without words stay apart. Fewer than five words make one shingle. A row
-without doc_id meets only rows of its own shingle set. Repeated rows are one vertex. An empty table
+without doc_id meets only rows of its own shingle set. Repeated rows are one vertex; rows of one
+doc_id with different texts are judged each by its text, and of a class one text stays. An empty table
 gives an empty result. Other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nitrogrid.llm import bitfilter
-from nitrogrid.llm.common import id_and_text, mixed, pieces_of, ship, stored
+from nitrogrid.llm.common import mixed, pieces_of, ship, stored, with_text_key
 from nitrogrid.llm.components import components
 from nitrogrid.llm.textarrays import words
 
@@ -35,7 +36,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 CENTRES = (1, 4)  # centres per band in the rounds before the rest is joined
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +96,7 @@ def band_keys(winner: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, set_a, set_b (both halves of the set's hash), n (shingles) and bands of each row with words."""
+    """doc_id, text_key, set_a, set_b (both halves of the set's hash), n (shingles) and bands of each row with words."""
 
     def sketch(batches):
         for whole in batches:
@@ -110,16 +111,18 @@ def sketched(docs: DataFrame) -> DataFrame:
                 on = np.flatnonzero(n)
                 flat = keys[on].reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(on)), pa.array(a[on]), pa.array(b[on]), pa.array(n[on]),
+                    [*(batch.column(c).take(pa.array(on)) for c in ("doc_id", "text_key")), pa.array(a[on]), pa.array(b[on]), pa.array(n[on]),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * BANDS, pa.int32()), pa.array(flat))],
-                    names=["doc_id", "set_a", "set_b", "n", "bands"])
+                    names=["doc_id", "text_key", "set_a", "set_b", "n", "bands"])
 
-    return id_and_text(docs).mapInArrow(sketch, "doc_id long, set_a long, set_b long, n long, bands array<long>")
+    return with_text_key(docs).mapInArrow(sketch, "doc_id long, text_key long, set_a long, set_b long, n long, bands array<long>")
 
 
 def vertex_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vertex, shingles) for the wanted vertices; texts that are surely not among them do not shuffle."""
-    wanted = stored(wanted.select("vertex").distinct(), "near-wanted")
+    """(vertex, shingles) for the wanted vertices (vertex, doc_id, text_key: distinct, from a stored table).
+
+    Texts that are surely not among them do not shuffle.
+    """
 
     def sets(batches):
         for whole in batches:
@@ -127,12 +130,12 @@ def vertex_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 shingle, _, doc = shingle_sets(batch.column("text"))
                 edge = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"),
+                    [batch.column("vertex"),
                      pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(shingle.view(np.int64)))],
                     names=["vertex", "shingles"])
 
-    rows = bitfilter.rows_near(id_and_text(docs), "doc_id", wanted, "vertex")
-    rows = rows.join(wanted, rows["doc_id"] == wanted["vertex"], "left_semi").dropDuplicates(["doc_id"])
+    rows = bitfilter.rows_near(with_text_key(docs), "doc_id", wanted.select("doc_id").distinct(), "doc_id")
+    rows = rows.dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"])
     return stored(rows.mapInArrow(sets, "vertex long, shingles array<long>"), "near-sets")
 
 
@@ -229,20 +232,28 @@ def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: f
     )
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest doc_id of the class), class_size, kept."""
+def keyed_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """near_classes with text_key, which tells rows of one doc_id apart."""
     ship(docs.sparkSession)
     rows = stored(sketched(docs), "near-sketches")
-    by_set = rows.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("vertex"), F.min("n").alias("n"), F.count("*").alias("copies"),
-        F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands"))
-    vertices = stored(by_set, "near-vertices")
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
+    by_set = stored(rows.groupBy("set_a", "set_b").agg(
+        F.min(place).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"),
+        F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands")), "near-by-set")
+    # a set is known by its first doc_id; sets that share one, as the id stands for several texts, by a hash of all
+    twice = stored(by_set.where("first is not null").groupBy(F.col("first.doc_id").alias("of")).count().where("count > 1").select("of"),
+                   "near-twice")
+    vertices = stored(
+        by_set.join(twice, by_set["first.doc_id"] == twice["of"], "left")
+        .withColumn("vertex", F.when(F.col("of").isNull(), F.col("first.doc_id"))
+                    .otherwise(F.xxhash64("first.doc_id", "first.text_key", "set_a", "set_b"))).drop("of"), "near-vertices")
     named = vertices.where("vertex is not null")
     labels = stored(named.select("vertex", F.col("vertex").alias("label")), "near-labels")
     bands = named.select("vertex", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("met")).where("met > 1").select("band")
     members = stored(bands.join(shared, "band", "left_semi"), "near-bands")
-    sets = vertex_sets(docs, members)
+    wanted = stored(named.select("vertex", "first.*").join(members.select("vertex").distinct(), "vertex", "left_semi"), "near-wanted")
+    sets = vertex_sets(docs, wanted)
     apart = members.withColumn("label", F.col("vertex"))
     for centres in CENTRES:
         edges = stored(verified(centre_pairs(apart, centres), sets, similar), "near-links")
@@ -255,19 +266,27 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         if not edges.isEmpty():
             labels = relabelled(labels, edges)
     classed = vertices.join(labels, "vertex", "left")
-    sizes = classed.where("label is not null").groupBy("label").agg(F.sum("copies").alias("total"))
+    sizes = classed.where("label is not null").groupBy("label").agg(F.sum("copies").alias("total"), F.min("first").alias("head"))
     by_set = classed.join(sizes, "label", "left").select(
-        "set_a", "set_b", "label", F.coalesce("total", "copies").alias("class_size"))
-    found = rows.select("doc_id", "set_a", "set_b").join(by_set, ["set_a", "set_b"]).select(
-        "doc_id", F.col("label").alias("class_id"), "class_size", F.col("doc_id").eqNullSafe(F.col("label")).alias("kept"))
+        "set_a", "set_b", "head", F.coalesce("total", "copies").alias("class_size"))
+    found = rows.select("doc_id", "text_key", "set_a", "set_b").join(by_set, ["set_a", "set_b"]).select(
+        "doc_id", F.col("head.doc_id").alias("class_id"), "class_size",
+        (F.col("head").isNull() | F.coalesce(F.struct("doc_id", "text_key") == F.col("head"), F.lit(False))).alias("kept"), "text_key")
     # texts without words are not in rows; they are their own classes
-    bare = id_and_text(docs).where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    bare = with_text_key(docs).where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "text_key")
     return found.unionByName(bare)
 
 
+def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the smallest doc_id of the class), class_size, kept."""
+    return keyed_classes(docs, similar).drop("text_key")
+
+
 def without_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs that are the first of their class, with the columns of docs."""
-    classes = near_classes(docs, similar)
-    dropped = stored(classes.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("dropped")), "near-dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
+    classes = keyed_classes(docs, similar)
+    dropped = stored(classes.where(~F.col("kept") & F.col("doc_id").isNotNull())
+                     .select(F.col("doc_id").alias("dropped"), F.col("text_key").alias("dropped_key")).distinct(), "near-dropped")
+    same = (docs["doc_id"].cast("long") == dropped["dropped"]) & (F.xxhash64(docs["text"].cast("string")) == dropped["dropped_key"])
+    return docs.join(dropped, same, "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nitrogrid.llm import bitfilter
-from nitrogrid.llm.common import id_and_text, mixed, pieces_of, stored
+from nitrogrid.llm.common import mixed, pieces_of, stored, with_text_key
 
 BATCH_BYTES = 1 << 19
 
@@ -94,26 +94,29 @@ def fingerprinted(rows: DataFrame, keyer: Keyer, fingerprint: Fingerprint, width
                 if not len(on):
                     continue
                 doc = s.documents()[on]
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
+                ids, text_keys = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "text_key"))
                 start, count = s.start[on], s.count[on]
                 fa, fb = fingerprint(s, start, start + count + width - 1)
                 place = start - s.first[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (s.key[on].view(np.int64), fa.view(np.int64), fb.view(np.int64), ids, place,
-                                           count, occurrence(ids, place).view(np.int64))],
-                    names=["key", "fa", "fb", "doc_id", "start", "count", "occurrence"])
+                    [pa.array(x) for x in (s.key[on].view(np.int64), fa.view(np.int64), fb.view(np.int64), ids, text_keys,
+                                           place, count, occurrence(ids, place).view(np.int64))],
+                    names=["key", "fa", "fb", "doc_id", "text_key", "start", "count", "occurrence"])
 
-    return rows.mapInArrow(emit, "key long, fa long, fb long, doc_id long, start long, count long, occurrence long")
+    return rows.mapInArrow(
+        emit, "key long, fa long, fb long, doc_id long, text_key long, start long, count long, occurrence long")
 
 
 def repeated_ranges(docs: DataFrame, keyer: Keyer, fingerprint: Fingerprint, width: int,
                     opened: Callable[[DataFrame, np.ndarray, DataFrame], DataFrame]) -> DataFrame:
-    """(doc_id, lo, hi): ranges of symbols covered by windows that also start earlier.
+    """(doc_id, text_key, lo, hi): ranges of symbols covered by windows that also start earlier.
+
+    text_key is a hash of the text: with the doc_id it names the text, or equal ones, of one document.
 
     opened(rows, packed, hot) finds the repeats among the segments left open: packed is a filter of
     their occurrences, hot has the keys (key, segments) of them all.
     """
-    rows = id_and_text(docs).where("doc_id is not null and text is not null")
+    rows = with_text_key(docs).where("doc_id is not null and text is not null")
     keys = stored(key_counts(rows, keyer), "repeat-keys")
     packed = bitfilter.key_filter(keys, keys.count())
     found = stored(fingerprinted(rows, keyer, fingerprint, width, packed), "repeat-segments")
@@ -123,7 +126,7 @@ def repeated_ranges(docs: DataFrame, keyer: Keyer, fingerprint: Fingerprint, wid
     later = (
         found.join(different, ["key", "fa", "fb"])
         .where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("start") != F.col("head.start")))
-        .select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("count") + width - 1).alias("hi"))
+        .select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + F.col("count") + width - 1).alias("hi"))
     )
     several = stored(different.groupBy("key").agg(F.count("*").alias("segments")).where("segments > 1"), "repeat-several")
     heads = stored(different.join(several, "key").select(F.col("head.occurrence").alias("key")), "repeat-open")
@@ -132,18 +135,18 @@ def repeated_ranges(docs: DataFrame, keyer: Keyer, fingerprint: Fingerprint, wid
 
 
 def open_segments(rows: DataFrame, keyer: Keyer, packed: np.ndarray):
-    """An iterator factory over (part, segments, numbers of the open ones, their documents, ids, places)."""
+    """An iterator factory over (segments, numbers of the open ones, their ids, text keys, places)."""
     shared = rows.sparkSession.sparkContext.broadcast(packed)
 
     def each(batches):
         for batch in batches:
             for part, s in segments_of(keyer, batch):
                 doc = s.documents()
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
+                ids, text_keys = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "text_key"))
                 place = s.start - s.first[doc]
                 on = np.flatnonzero(bitfilter.passes(shared.value, occurrence(ids, place)))
                 if len(on):
-                    yield s, on, ids[on], place[on]
+                    yield s, on, ids[on], text_keys[on], place[on]
 
     return each
 
@@ -164,14 +167,14 @@ def cut_texts(docs: DataFrame, ranges: DataFrame, cut: Callable, schema: str) ->
     """cut(batch with doc_id, text, ranges) over all rows; rows without ranges stay where they are."""
     spark = docs.sparkSession
     grouped = stored(
-        ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-        .withColumnRenamed("doc_id", "range_id"), "repeat-ranges")
-    packed = bitfilter.key_filter(grouped.select(F.xxhash64("range_id").alias("key")), grouped.count())
+        ranges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+        .withColumnsRenamed({"doc_id": "range_id", "text_key": "range_key"}), "repeat-ranges")
+    packed = bitfilter.key_filter(grouped.select(F.xxhash64("range_id", "range_key").alias("key")), grouped.count())
     maybe = bitfilter.tester(spark, packed)
-    rows = id_and_text(docs).withColumn("touched", F.col("doc_id").isNotNull() & maybe(F.xxhash64("doc_id")))
+    rows = with_text_key(docs).withColumn("touched", F.col("doc_id").isNotNull() & maybe(F.xxhash64("doc_id", "text_key")))
     empty = F.expr("cast(array() as array<struct<lo: bigint, hi: bigint>>)")
     whole = rows.where(~F.col("touched")).select("doc_id", "text", empty.alias("ranges"))
     touched = rows.where("touched")
-    touched = touched.join(grouped, touched["doc_id"] == grouped["range_id"], "left") \
+    touched = touched.join(grouped, (touched["doc_id"] == grouped["range_id"]) & (touched["text_key"] == grouped["range_key"]), "left") \
         .select("doc_id", "text", F.coalesce("ranges", empty).alias("ranges"))
     return whole.mapInArrow(cut, schema).unionByName(touched.mapInArrow(cut, schema))

@@ -11,10 +11,11 @@ the words that decide it; so windows with a common high-level symbol meet. A win
 its own hash as key.
 
 Shared symbols only propose. Whole segments and, where those differ, single windows are then
-compared by 128-bit fingerprints of their words.
+compared by fingerprints of their words, in two independent 64-bit streams.
 
 Defined cases: a null text has no words. A row without doc_id is left whole and takes no part. Rows
-with one doc_id and start are at one place: none is earlier. An empty table gives an empty result.
+with one doc_id and start are at one place: none is earlier. What is removed is known by doc_id and
+text, so rows that share a doc_id keep what only the other one repeats. An empty table gives an empty result.
 Other columns are ignored.
 """
 
@@ -144,8 +145,7 @@ def keyed_windows(column: pa.Array, width: int = WINDOW) -> Segments:
 
 
 def fingerprint(s: Segments, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    other = mixed(s.data.hashes + _OTHER)
-    return mixed(range_hash(s.data.hashes, start, end)), mixed(range_hash(other, start, end))
+    return mixed(range_hash(s.data.hashes, start, end)), mixed(range_hash(s.data.second, start, end))
 
 
 def opened_windows(width: int):
@@ -155,22 +155,23 @@ def opened_windows(width: int):
         each = repeats.open_segments(rows, lambda c: keyed_windows(c, width), packed)
 
         def emit(batches):
-            for s, on, ids, place in each(batches):
+            for s, on, ids, text_keys, place in each(batches):
                 n = s.count[on]
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(s.start[on], n) + step
                 fa, fb = fingerprint(s, at, at + width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.array(np.repeat(ids, n)),
-                     pa.array(np.repeat(place, n) + step)], names=["fa", "fb", "doc_id", "start"])
+                     pa.array(np.repeat(text_keys, n)), pa.array(np.repeat(place, n) + step)],
+                    names=["fa", "fb", "doc_id", "text_key", "start"])
 
-        windows = stored(rows.mapInArrow(emit, "fa long, fb long, doc_id long, start long"), "repeat-windows")
+        windows = stored(rows.mapInArrow(emit, "fa long, fb long, doc_id long, text_key long, start long"), "repeat-windows")
         heads = windows.groupBy("fa", "fb").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n")) \
             .where("n > 1").select("fa", "fb", "head")
         return (
             windows.join(heads, ["fa", "fb"])
             .where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("start") != F.col("head.start")))
-            .select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
+            .select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
         )
 
     return opened
@@ -200,7 +201,7 @@ def cut_words(batches):
 
 
 def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(doc_id, lo, hi): the ranges of words to remove; they may overlap."""
+    """(doc_id, text_key, lo, hi): the ranges of words to remove; they may overlap."""
     return repeats.repeated_ranges(docs, lambda c: keyed_windows(c, width), fingerprint, width, opened_windows(width))
 
 

@@ -19,11 +19,15 @@ Windows that are equal then stand together with common prefixes of 100 or more.
 The order, the transform and the common prefixes are sequential arrays that are rewritten each
 round; because collections are bounded they are held in the task's memory instead of files.
 
-A key with more than TOGETHER different segments is dealt to several collections; then one
-representative of each class of each of them meets the others by a 128-bit fingerprint.
+A key with more than FREQUENT different segments is made finer: its windows are cut again where the
+next smallest hashes change, as equal windows agree in all of them, so a common string spreads
+over as many collections as it has surroundings. What then still has more than TOGETHER segments
+around one set of hashes is dealt to several collections; one representative of each class of each
+of these meets the others by a fingerprint of two 64-bit halves.
 
 Defined cases: a null text has no bytes. A row without doc_id is left whole and takes no part. Rows
-with one doc_id and start are at one place: none is earlier. An empty table gives an empty result.
+with one doc_id and start are at one place: none is earlier. What is removed is known by doc_id and
+text, so rows that share a doc_id keep what only the other one repeats. An empty table gives an empty result.
 Other columns are ignored.
 """
 
@@ -44,6 +48,7 @@ from nitrogrid.llm.textarrays import range_hash
 WINDOW = 100
 GRAM = 16
 TOGETHER = 8192
+FREQUENT, FINER = 1024, 3  # segments of a key that is made finer, by so many more hashes
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE_A = mixed(np.arange(1, 257, dtype=np.uint64))
 _BYTE_B = mixed(_BYTE_A + _OTHER)
@@ -195,33 +200,73 @@ def equal_windows(strings: list[bytes], lead: np.ndarray, doc_id: np.ndarray, st
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def made_finer(gram: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, span: int, times: int = FINER):
+    """Segments (start, count) of windows that share a key, cut where the windows' next smallest gram hashes change.
+
+    Gives, for each new segment, the old one's number, its start and count, and a key that the
+    window's content decides: the smallest hashes of the span grams of a window, one after another.
+    """
+    old = np.arange(len(key))
+    seen = [key]
+    for _ in range(times):
+        grams = count + span - 1
+        begin = np.cumsum(grams) - grams
+        value = gram[np.arange(int(grams.sum())) + np.repeat(start - begin, grams)]
+        for smaller in seen:
+            value[value == np.repeat(smaller, grams)] = np.iinfo(np.uint64).max
+        owner = np.repeat(np.arange(len(count)), count)
+        window = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        least = window_minima(value, span)[begin[owner] + window]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
+        at = np.flatnonzero(new)
+        of = owner[at]
+        old, start, count = old[of], start[of] + window[at], np.diff(np.append(at, len(owner)))
+        key = mixed(key[of] * _OTHER + least[at])
+        seen = [*(x[of] for x in seen), least[at]]
+    return old, start, count, key
+
+
 def opened_windows(width: int):
     """Repeats among open segments by the sorted suffixes of bounded collections."""
 
     def opened(rows: DataFrame, packed: np.ndarray, several: DataFrame) -> DataFrame:
         context = rows.sparkSession.sparkContext
-        hot = stored(several.where(F.col("segments") > TOGETHER), "repeat-hot")
-        most = hot.agg(F.max("segments").alias("n")).first()["n"] or 0
-        shares = max(1, -(-most // TOGETHER))
-        hot_filter = context.broadcast(bitfilter.key_filter(hot.select("key"), hot.count()))
+        frequent = stored(several.where(F.col("segments") > FREQUENT), "repeat-frequent")
+        finer = context.broadcast(bitfilter.key_filter(frequent.select("key"), frequent.count()))
         each = repeats.open_segments(rows, lambda c: keyed_windows(c, width), packed)
 
         def emit(batches):
-            for s, on, ids, place in each(batches):
-                key = s.key[on]
-                dealt = bitfilter.passes(hot_filter.value, key)
-                share = repeats.occurrence(ids, place) % np.uint64(shares)
-                home = np.where(dealt, mixed(key + (share + np.uint64(1)) * _OTHER), key)
+            for s, on, ids, text_keys, place in each(batches):
+                key, start, count, lead = s.key[on], s.start[on], s.count[on], s.lead[on]
+                often = bitfilter.passes(finer.value, key)
+                of = np.flatnonzero(often)
+                if len(of):
+                    old, begin, n, home = made_finer(gram_hashes(s.data), key[of], start[of], count[of], width - GRAM + 1)
+                    old = of[old]
+                    calm = np.flatnonzero(~often)
+                    number = np.concatenate([calm, old])
+                    shift = np.concatenate([np.zeros(len(calm), np.int64), begin - start[old]])
+                    key, count = np.concatenate([key[calm], home]), np.concatenate([count[calm], n])
+                    often = np.concatenate([often[calm], np.ones(len(old), bool)])
+                    start, lead = start[number] + shift, lead[number] - shift
+                    ids, text_keys, place = ids[number], text_keys[number], place[number] + shift
                 raw = s.data.tobytes()
-                stop = s.start[on] + s.count[on] + width - 1
-                pieces = [raw[a:b] for a, b in zip(s.start[on].tolist(), stop.tolist(), strict=True)]
+                pieces = [raw[a:b] for a, b in zip(start.tolist(), (start + count + width - 1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(home.view(np.int64)), pa.array(dealt), pa.array(ids), pa.array(place),
-                     pa.array(s.lead[on].astype(np.int32)), pa.array(pieces, pa.binary())],
-                    names=["home", "hot", "doc_id", "start", "lead", "piece"])
-
-        pieces = rows.mapInArrow(emit, "home long, hot boolean, doc_id long, start long, lead int, piece binary")
-        shape = "doc_id long, start long, windows long, fa long, fb long"
+                    [pa.array(key.view(np.int64)), pa.array(often), pa.array(ids), pa.array(text_keys), pa.array(place),
+                     pa.array(lead.astype(np.int32)), pa.array(pieces, pa.binary())],
+                    names=["home", "often", "doc_id", "text_key", "start", "lead", "piece"])
+
+        pieces = stored(rows.mapInArrow(
+            emit, "home long, often boolean, doc_id long, text_key long, start long, lead int, piece binary"), "repeat-pieces")
+        crowded = stored(pieces.where("often").groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER)
+                         .select(F.col("home").alias("crowd"), F.ceil(F.col("n") / TOGETHER).alias("shares")), "repeat-crowded")
+        share = F.pmod(F.xxhash64("doc_id", "start"), F.col("shares"))
+        pieces = pieces.join(crowded, pieces["home"] == crowded["crowd"], "left").select(
+            F.when(F.col("shares").isNull(), F.col("home")).otherwise(F.xxhash64("home", share)).alias("home"),
+            F.col("shares").isNotNull().alias("hot"), "doc_id", "text_key", "start", "lead", "piece")
+        shape = "doc_id long, text_key long, start long, windows long, fa long, fb long"
 
         def collections(batches):
             """Rows of whole homes, TOGETHER or a few more at a time. Rows come in order of their homes."""
@@ -248,7 +293,7 @@ def opened_windows(width: int):
         def solve(batches):
             for t in collections(batches):
                 strings = t.column("piece").to_pylist()
-                ids, starts = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
+                ids, text_keys, starts = (t.column(c).to_numpy() for c in ("doc_id", "text_key", "start"))
                 hot_rows = t.column("hot").to_numpy()
                 lead = t.column("lead").to_numpy().astype(np.int64)
                 string, offset, first = equal_windows(strings, lead, ids, starts, width)
@@ -262,8 +307,9 @@ def opened_windows(width: int):
                 at = np.flatnonzero(new)
                 zero = np.zeros(len(at), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[s[at]]), pa.array(starts[s[at]] + o[at]), pa.array(np.diff(np.append(at, len(on)))),
-                     pa.array(zero), pa.array(zero)], names=["doc_id", "start", "windows", "fa", "fb"])
+                    [pa.array(ids[s[at]]), pa.array(text_keys[s[at]]), pa.array(starts[s[at]] + o[at]),
+                     pa.array(np.diff(np.append(at, len(on)))), pa.array(zero), pa.array(zero)],
+                    names=["doc_id", "text_key", "start", "windows", "fa", "fb"])
                 on = np.flatnonzero(first & hot_rows[string])
                 if len(on):
                     raw = np.frombuffer(b"".join(strings), np.uint8)
@@ -271,20 +317,20 @@ def opened_windows(width: int):
                     at = base[string[on]] + offset[on]
                     fa, fb = (mixed(range_hash(b[raw], at, at + width)).view(np.int64) for b in (_BYTE_A, _BYTE_B))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[string[on]]), pa.array(starts[string[on]] + offset[on]),
+                        [pa.array(ids[string[on]]), pa.array(text_keys[string[on]]), pa.array(starts[string[on]] + offset[on]),
                          pa.array(np.zeros(len(on), np.int64)), pa.array(fa), pa.array(fb)],
-                        names=["doc_id", "start", "windows", "fa", "fb"])
+                        names=["doc_id", "text_key", "start", "windows", "fa", "fb"])
 
         solved = stored(pieces.repartition("home").sortWithinPartitions("home").mapInArrow(solve, shape), "repeat-solved")
         later = solved.where("windows > 0").select(
-            "doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + width - 1).alias("hi"))
+            "doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + width - 1).alias("hi"))
         heads = solved.where("windows = 0")
         best = heads.groupBy("fa", "fb").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n")) \
             .where("n > 1").select("fa", "fb", "head")
         across = (
             heads.join(best, ["fa", "fb"])
             .where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("start") != F.col("head.start")))
-            .select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
+            .select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
         )
         return later.unionByName(across)
 
@@ -314,7 +360,7 @@ def cut_bytes(batches):
 
 
 def repeated_bytes(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(doc_id, lo, hi): the ranges of bytes to remove; they may overlap."""
+    """(doc_id, text_key, lo, hi): the ranges of bytes to remove; they may overlap."""
     return repeats.repeated_ranges(docs, lambda c: keyed_windows(c, width), fingerprint, width, opened_windows(width))
 
 

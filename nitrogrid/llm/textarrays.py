@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,33 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return (total[end] - total[start]) * powers(len(values) + 1, "down")[start]
 
 
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+_SEEDS = (np.uint64(0x8C5F9A3B1D2E4F67), np.uint64(0x27D4EB2F165667C5))
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+BLOCKS = 8  # blocks of eight bytes of words that are hashed together; longer words go one by one
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, stream: int) -> np.ndarray:
+    """A 64-bit hash of each raw[start:end], by mixing its blocks of eight bytes; two independent streams."""
+    size = end - start
+    found = mixed(size.astype(np.uint64) + _SEEDS[stream])
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    long = size > 8 * BLOCKS
+    left = np.flatnonzero((size > 0) & ~long)
+    for k in range(BLOCKS):
+        left = left[size[left] > 8 * k]
+        if not len(left):
+            break
+        block = np.ascontiguousarray(eights[start[left] + 8 * k]).view(np.uint64).ravel()
+        block &= _MASKS[np.minimum(size[left] - 8 * k, 8)]
+        found[left] = mixed(found[left] * _OTHER + block)
+    for i in np.flatnonzero(long).tolist():
+        digest = hashlib.blake2b(raw[start[i]:end[i]].tobytes(), digest_size=16).digest()
+        found[i] = np.frombuffer(digest, np.uint64)[stream]
+    return found
+
+
 @dataclass
 class Words:
     hashes: np.ndarray   # one 64-bit hash per word
@@ -41,6 +70,11 @@ class Words:
     first: np.ndarray    # for each document the number of its first word; one more entry than documents
     raw: np.ndarray      # the bytes of all texts
 
+    @cached_property
+    def second(self) -> np.ndarray:
+        """A second hash of each word, independent of the first."""
+        return word_hashes(self.raw, self.start, self.end, 1)
+
 
 def words(column: pa.Array) -> Words:
     """The words (runs of other than white space) of a text column."""
@@ -57,12 +91,5 @@ def words(column: pa.Array) -> Words:
     last = edges[edges > 0] - 1
     ends[last] = inside[last]
     end = np.flatnonzero(ends) + 1
-    hashes = mixed(range_hash(raw.astype(np.uint64) + np.uint64(1), start, end) + (end - start).astype(np.uint64))
-    return Words(hashes, start, end, np.searchsorted(start, offsets), raw)
-
+    return Words(word_hashes(raw, start, end, 0), start, end, np.searchsorted(start, offsets), raw)
 
-def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of width values (across document borders too)."""
-    n = max(0, len(values) - width + 1)
-    start = np.arange(n)
-    return mixed(range_hash(values, start, start + width))

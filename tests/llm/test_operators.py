@@ -375,7 +375,8 @@ def test_leaks(spark):
     got = decontamination.contaminated(frame(spark, rows), bench)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == truth
     left = decontamination.without_contaminated(frame(spark, rows), bench)
-    assert {r["doc_id"] for r in left.collect()} == {i for i, _, _ in rows} - {d for d, _ in truth}
+    # the row without doc_id holds an item as well
+    assert {r["doc_id"] for r in left.collect()} == {i for i, _, _ in rows} - {d for d, _ in truth} - {None}
 
 
 def test_leaks_of_many_short_items(spark):
@@ -556,3 +557,61 @@ def test_empty_table(spark, nothing):
 
 def test_scratch_is_shared(spark):
     assert work_path(spark, "x") != work_path(spark, "x")
+
+
+# rows that share a doc_id, and words whose polynomial hashes would agree
+
+def doubled(n, a="ab"):
+    """The word that is its own complement, doubled n times."""
+    for _ in range(n):
+        a += a.translate({97: 98, 98: 97})
+    return a
+
+
+def two_texts():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b = (" ".join(word() for _ in range(60)) for _ in range(2))
+    return a, b, " ".join(word() for _ in range(60))
+
+
+def test_words_with_one_polynomial_hash_differ(spark):
+    word = doubled(10)
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} {word}", "en"), (2, f"{head} {word.translate({97: 98, 98: 97})}", "en")]
+    assert [r["n_removed"] for r in substring_dedup.without_repeats(frame(spark, rows)).collect()] == [0, 0]
+
+
+def test_rows_of_one_id_keep_their_own_text(spark):
+    a, b, c = two_texts()
+    near = a.split()
+    near[30] = "other"
+    rows = [(1, a, "en"), (2, a, "en"), (2, b, "en")]
+    for op, size in ((substring_dedup, 60), (suffix_dedup, len(a))):
+        got = {(r["doc_id"], r["kept_sha256"]): r["n_removed"] for r in op.without_repeats(frame(spark, rows)).collect()}
+        empty = hashlib.sha256(b"").hexdigest()
+        assert got == {(1, hashlib.sha256(a.encode()).hexdigest()): 0, (2, empty): size, (2, hashlib.sha256(b.encode()).hexdigest()): 0}
+    kept = near_dedup.without_near_duplicates(frame(spark, [(1, a, "en"), (2, " ".join(near), "en"), (2, b, "en"), (3, c, "en")]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (2, b), (3, c)])
+
+
+def test_leaks_by_row(spark):
+    a, b, c = two_texts()
+    items = spark.createDataFrame([(1, " ".join(a.split()[:30]))], "item_id long, text string")
+    rows = [(1, a, "en"), (1, b, "en"), (None, a, "en"), (None, c, "en")]
+    kept = decontamination.without_contaminated(frame(spark, rows), items)
+    assert sorted(r["text"] for r in kept.collect()) == sorted([b, c])
+    assert [r["doc_id"] for r in decontamination.contaminated(frame(spark, rows), items).collect()] == [1]
+
+
+@pytest.mark.parametrize("frequent, together", [(2, 8192), (2, 3), (1, 1)])
+def test_suffix_dedup_of_frequent_keys(spark, monkeypatch, frequent, together):
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    rng = random.Random(6)
+    middle = "".join(rng.choice("abcdefgh") for _ in range(40))
+    around = ["".join(rng.choice("stuvwxyz") for _ in range(80)) for _ in range(6)]
+    rows = [(i, rng.choice(around)[-rng.randint(20, 80):] + middle + rng.choice(around)[:rng.randint(20, 80)], "en") for i in range(60)]
+    rows += [(100 + i, "ab" * rng.randint(40, 90) + t, "en") for i, (_, t, _) in enumerate(stringy(rng, "ab é\n", 12))]
+    want = brute_repeats(rows, lambda t: t.encode(), bytes, 100)
+    assert by_row(suffix_dedup.without_repeats(frame(spark, rows))) == sorted(want, key=repr)
