@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -68,6 +70,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(function):
+    """A function over batches that gives unused memory back to the system once its task has ended.
+
+    Workers live on and serve later stages; without this each keeps what its largest batch took.
+    """
+    @wraps(function)
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

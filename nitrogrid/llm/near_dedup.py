@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nitrogrid.llm import bitfilter
-from nitrogrid.llm.common import mixed, pieces_of, ship, stored, with_text_key
+from nitrogrid.llm.common import mixed, pieces_of, ship, stored, tidy, with_text_key
 from nitrogrid.llm.components import components
 from nitrogrid.llm.textarrays import words
 
@@ -115,7 +115,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * BANDS, pa.int32()), pa.array(flat))],
                     names=["doc_id", "text_key", "set_a", "set_b", "n", "bands"])
 
-    return with_text_key(docs).mapInArrow(sketch, "doc_id long, text_key long, set_a long, set_b long, n long, bands array<long>")
+    return with_text_key(docs).mapInArrow(tidy(sketch), "doc_id long, text_key long, set_a long, set_b long, n long, bands array<long>")
 
 
 def vertex_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def vertex_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = bitfilter.rows_near(with_text_key(docs), "doc_id", wanted.select("doc_id").distinct(), "doc_id")
     rows = rows.dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"])
-    return stored(rows.mapInArrow(sets, "vertex long, shingles array<long>"), "near-sets")
+    return stored(rows.mapInArrow(tidy(sets), "vertex long, shingles array<long>"), "near-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
         pairs.select("a", "b")
         .join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
-        .mapInArrow(test, "a long, b long")
+        .mapInArrow(tidy(test), "a long, b long")
     )
 
 

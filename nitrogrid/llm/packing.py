@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nitrogrid.llm.common import id_and_text, stored, texts
+from nitrogrid.llm.common import id_and_text, stored, texts, tidy
 
 WINDOW = 1024
 END_ID = 0
@@ -82,7 +82,7 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, fold
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    return id_and_text(docs).mapInArrow(cut, PIECE)
+    return id_and_text(docs).mapInArrow(tidy(cut), PIECE)
 
 
 class Capacities:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nitrogrid.llm import bitfilter
-from nitrogrid.llm.common import id_and_text, mixed, ship, stored, texts
+from nitrogrid.llm.common import id_and_text, mixed, ship, stored, texts, tidy
 
 GRADES = 3
 MOST_ROWS = 20_000
@@ -121,7 +121,7 @@ def word_counts(docs: DataFrame, flags: DataFrame) -> DataFrame:
                 [pa.array(some, pa.string()), *(pa.array([met[k][w] for w in some], pa.int64()) for k in (1, 0))],
                 names=["word", "bad", "good"])
 
-    counted = rows.mapInArrow(count, "word string, bad long, good long")
+    counted = rows.mapInArrow(tidy(count), "word string, bad long, good long")
     return counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
@@ -227,7 +227,7 @@ def held_out(rows: DataFrame, judges: list[Model]) -> tuple[np.ndarray, np.ndarr
                 severity[at] = shared.value[k].severity([found[i] for i in at])[0]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(severity, pa.float64())], names=["toxic", "severity"])
 
-    judged = rows.mapInArrow(score, "toxic int, severity double").toPandas()
+    judged = rows.mapInArrow(tidy(score), "toxic int, severity double").toPandas()
     return judged["severity"].to_numpy(), judged["toxic"].to_numpy()
 
 
@@ -260,7 +260,7 @@ def worst_passages(rows: DataFrame, place: dict[str, int], toxic_words: set[str]
                 pa.array(density, pa.float64()),
             ], names=["doc_id", "toxic", "features", "density"])
 
-    encoded = rows.mapInArrow(encode, "doc_id long, toxic int, features array<int>, density double").toPandas()
+    encoded = rows.mapInArrow(tidy(encode), "doc_id long, toxic int, features array<int>, density double").toPandas()
     encoded = encoded.sort_values(["doc_id", "density"])
     toxic = encoded["toxic"].to_numpy()
     density = encoded["density"].to_numpy()
@@ -282,7 +282,7 @@ def graded(docs: DataFrame, model: Model, reject_from: float | None = None) -> D
                  pa.array([round(s) for s in severity], pa.int32()), pa.array([s >= reject_from for s in severity], pa.bool_())],
                 names=["doc_id", "severity", "p_toxic", "grade", "rejected"])
 
-    return id_and_text(docs).mapInArrow(score, "doc_id long, severity double, p_toxic double, grade int, rejected boolean")
+    return id_and_text(docs).mapInArrow(tidy(score), "doc_id long, severity double, p_toxic double, grade int, rejected boolean")
 
 
 def without_toxic(docs: DataFrame, model: Model, reject_from: float | None = None) -> DataFrame:
