@@ -2,11 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from nitrogrid.operators import declared as A
 from nitrogrid.operators import densify as D
 from nitrogrid.operators import grid as G
 from nitrogrid.operators.lineage import union_all, with_file_index
 from nitrogrid.operators.quality import distinct_values
 from nitrogrid.registry import views as V
+from nitrogrid.session import work_path
+from nitrogrid.sinks.grids import write_declared_grid
+from nitrogrid.sources.granules import read_blocks
 
 POINT = ["no2", "latitude", "longitude"]
 BOX = (26.5, 30.0, -124.0, -119.5)
@@ -121,6 +125,39 @@ def dense_tiles(spark, sf):
     return rows.select("source_file", "lat_offset", "latitude", "longitude", F.round("no2", 2).alias("no2"))
 
 
+LAT_AXIS, LON_AXIS = A.Axis.between(25.0, 50.0, 2.5), A.Axis.between(-125.0, -65.0, 5.0)
+
+
+def dated(spark, sf):
+    return V.obs(spark, sf).withColumns({"date": F.to_date("time"), "no2": F.col("no2") / 1e13})
+
+
+def declared_grid(spark, sf):
+    """Every cell of declared axes for each date, through tiles of four latitude rows; also bands without any row."""
+    tiles = A.declared_tiles(dated(spark, sf), LAT_AXIS, LON_AXIS, rows_per_tile=4)
+    return A.tile_cells(tiles, LAT_AXIS, LON_AXIS).select(
+        F.col("date").cast("string").alias("date"), "lat_index", "lon_index", "latitude", "longitude",
+        F.round("no2", 6).alias("no2"))
+
+
+def declared_grid_sink(spark, sf):
+    """Tiles over declared axes written as blocks by day, a day written a second time, read and flattened."""
+    path = work_path(spark, "declared-grid")
+    rows = dated(spark, sf).filter(F.col("latitude") < 30)
+    write_declared_grid(rows, path, LAT_AXIS, LON_AXIS, rows_per_tile=4)
+    again = rows.filter(F.dayofmonth("date") % 2 == 0).withColumn("no2", F.col("no2") + 1)
+    write_declared_grid(again, path, LAT_AXIS, LON_AXIS, rows_per_tile=4)
+    blocks = read_blocks(spark, path)
+    return G.flatten_grid(G.valid_blocks(blocks), keep=["source_file"]).select(
+        "source_file", "latitude", "longitude", F.round("no2", 2).alias("no2"))
+
+
+def off_grid_rows(spark, sf):
+    """Observations that a smaller grid does not hold."""
+    small = A.Axis.between(25.0, 30.0, 2.5), A.Axis.between(-120.0, -70.0, 5.0)
+    return A.off_grid(dated(spark, sf), *small).groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def lineage_union(spark, sf):
     """Rows of two unlike frames with the position of their file in the file list."""
     rows = V.obs(spark, sf)
@@ -157,6 +194,9 @@ QUERIES = {
     "densify_grid": densify_grid,
     "dense_tiles": dense_tiles,
     "lineage_union": lineage_union,
+    "declared_grid": declared_grid,
+    "declared_grid_sink": declared_grid_sink,
+    "off_grid_rows": off_grid_rows,
 }
 
 FLAT = "vec_id, round(no2, 6) AS no2, latitude, longitude, strftime(day, '%Y-%m-%d') AS day"
@@ -172,7 +212,28 @@ dense AS (SELECT spine.*, coalesce(c.no2, 0.0) AS no2 FROM spine LEFT JOIN (
   SELECT date, latitude, longitude, arg_max(no2, event_id) AS no2 FROM gridded GROUP BY ALL) c
   USING (date, latitude, longitude))"""
 
+
+def _declared(rows):
+    return f"""WITH {V.OBS}, dated AS (SELECT event_id, time::date AS date, latitude, longitude, no2 / 1e13::double AS no2 FROM obs),
+rows AS ({rows}),
+placed AS (SELECT date, floor((latitude - 25.0::double) / 2.5::double)::int AS lat_index,
+                  floor((longitude + 125.0::double) / 5.0::double)::int AS lon_index, arg_max(no2, event_id) AS no2
+           FROM rows WHERE latitude < 52.5::double AND longitude < -60.0::double GROUP BY ALL),
+dense AS (SELECT f.date, f.lat_index, f.lon_index, 25.0::double + f.lat_index * 2.5::double AS latitude,
+                 -125.0::double + f.lon_index * 5.0::double AS longitude, coalesce(p.no2, 0.0::double) AS no2
+          FROM (SELECT d.date, a.i AS lat_index, b.j AS lon_index FROM (SELECT DISTINCT date FROM rows) d,
+                       (SELECT unnest(range(11)) AS i) a, (SELECT unnest(range(13)) AS j) b) f
+          LEFT JOIN placed p USING (date, lat_index, lon_index))"""
+
+
 ORACLE = {
+    "declared_grid": f"""{_declared("SELECT * FROM dated")}
+SELECT strftime(date, '%Y-%m-%d') AS date, lat_index, lon_index, latitude, longitude, round(no2, 6) AS no2 FROM dense""",
+    "declared_grid_sink": f"""{_declared("""SELECT event_id, date, latitude, longitude,
+  no2 + CASE WHEN day(date) % 2 = 0 THEN 1 ELSE 0 END AS no2 FROM dated WHERE latitude < 30""")}
+SELECT 'grid_' || strftime(date, '%Y-%m-%d') AS source_file, latitude, longitude, round(no2::float::double, 2) AS no2 FROM dense""",
+    "off_grid_rows": f"""WITH {V.OBS} SELECT strftime(time::date, '%Y-%m-%d') AS date, count(*) AS n FROM obs
+WHERE NOT (latitude >= 25 AND latitude < 32.5 AND longitude >= -120 AND longitude < -65) GROUP BY 1""",
     "flatten_bbox_lenient": """WITH cells AS (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding) AS v FROM embeddings)
 SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN round(v::double, 6) END AS no2,
        25.0::double + p // 8 AS latitude, -125.0::double + p % 8 AS longitude,

@@ -6,6 +6,7 @@ from nitrogrid import constants as K
 from nitrogrid.functions.field import box_response, expected_field, smooth_response
 from nitrogrid.functions.calendar import date_spine, is_weekend
 from nitrogrid.functions.geo import box_weight, cell_index, hotspot_influence
+from nitrogrid.operators.boxes import first_box
 from nitrogrid.operators import quality
 from nitrogrid.operators.air_quality import classify, with_display
 from nitrogrid.operators.features import (
@@ -104,6 +105,22 @@ def hotspot_influence_events(spark, sf):
     )
 
 
+def box_table(spark, sf):
+    """Boxes of all sizes from the suppliers: some overlap, some are points, one covers the whole field."""
+    n = F.col("s_suppkey")
+    low = F.lit(25.0) + F.pmod(n * 37, F.lit(250)) * F.lit(0.1)
+    left = F.lit(-125.0) + F.pmod(n * 91, F.lit(600)) * F.lit(0.1)
+    return V.table(spark, sf, "supplier").select(
+        F.pmod(n * 13, F.lit(10007)).alias("priority"), low.alias("lat_lo"), left.alias("lon_lo"),
+        F.when(n % 50 == 3, F.lit(50.0)).otherwise(low + F.pmod(n, F.lit(7)) * F.lit(0.5)).alias("lat_hi"),
+        (left + F.pmod(n, F.lit(11)) * F.lit(0.9)).alias("lon_hi"), F.col("s_acctbal").alias("weight"))
+
+
+def box_table_weight(spark, sf):
+    """For each observation the first of the table's boxes that holds it."""
+    return first_box(V.obs(spark, sf), box_table(spark, sf), "event_id").select("event_id", "priority", "weight")
+
+
 def box_weight_events(spark, sf):
     return V.obs(spark, sf).select(
         "event_id", box_weight(F.col("latitude"), F.col("longitude")).alias("weight")
@@ -218,6 +235,7 @@ QUERIES = {
     "missing_counts": missing_counts,
     "hotspot_influence": hotspot_influence_events,
     "box_weight": box_weight_events,
+    "box_table_weight": box_table_weight,
     "expected_field": expected_field_orders,
     "expected_field_daily": expected_field_daily,
     "response_smooth": response_smooth,
@@ -307,6 +325,14 @@ SELECT count(*) AS rows, count(no2) AS kept, count(*) - count(no2) AS removed,
        count(*) - count(no2) AS missing_cells FROM obs_missing""",
     "hotspot_influence": f"""WITH {V.OBS}
 SELECT event_id, round({INFLUENCE_SQL} / 1e13, 6) AS influence FROM obs""",
+    "box_table_weight": f"""WITH {V.OBS}, lows AS (
+  SELECT s_suppkey AS n, (s_suppkey * 13) % 10007 AS priority, s_acctbal AS weight,
+         25.0::double + ((s_suppkey * 37) % 250) * 0.1::double AS lat_lo, -125.0::double + ((s_suppkey * 91) % 600) * 0.1::double AS lon_lo
+  FROM supplier),
+boxes AS (SELECT *, CASE WHEN n % 50 = 3 THEN 50.0::double ELSE lat_lo + (n % 7) * 0.5::double END AS lat_hi,
+                 lon_lo + (n % 11) * 0.9::double AS lon_hi FROM lows)
+SELECT event_id, min(priority) AS priority, arg_min(weight, priority) AS weight
+FROM obs LEFT JOIN boxes ON latitude BETWEEN lat_lo AND lat_hi AND longitude BETWEEN lon_lo AND lon_hi GROUP BY event_id""",
     "box_weight": f"""WITH {V.OBS}
 SELECT event_id, CASE WHEN latitude BETWEEN 40 AND 41 AND longitude BETWEEN -75 AND -73 THEN 2.0::double
        WHEN latitude BETWEEN 33 AND 35 AND longitude BETWEEN -119 AND -117 THEN 1.8::double
