@@ -8,6 +8,7 @@ from nitrogrid.session import work_path
 from nitrogrid.sources.manifest import (
     read_manifest, read_manifest_texts, texts_schema, with_row_number,
 )
+from nitrogrid.sources.records import read_split_texts
 
 COLUMNS = ["Granule Path", "Download URL", "Acquisition Date", "Collection"]
 
@@ -93,6 +94,23 @@ def csv_row_numbers(spark, sf):
     )
 
 
+def split_csv_records(spark, sf):
+    """Documents, with line breaks and quotes in their cells, written as CSV and read split by split.
+
+    Each record carries its place in its file, which its number must agree with.
+    """
+    path = work_path(spark, "documents-csv")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    text = F.concat(F.lit('"a", \n'), F.coalesce("text", F.lit("")), F.lit('\n\n"'))
+    V.table(spark, sf, "documents").select("doc_id", text.alias("text")).repartitionByRange(4, "doc_id") \
+        .sortWithinPartitions("doc_id").select("doc_id", "text", place.alias("place")) \
+        .write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows = read_split_texts(spark, path)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("sha"),
+                       (F.col("row_number") == F.col("place").cast("long") + 2).alias("in_order"))
+
+
 def csv_inferred(spark, sf):
     """Events written as CSV with missing-value texts, read back with inferred types."""
     path = work_path(spark, "events-csv")
@@ -126,6 +144,7 @@ QUERIES = {
     "instruction_sections": instruction_sections,
     "csv_row_numbers": csv_row_numbers,
     "csv_inferred": csv_inferred,
+    "split_csv_records": split_csv_records,
 }
 
 _RESOLVED = V.FILE_MANIFEST + """, numbered AS (
@@ -196,6 +215,8 @@ SELECT section, row_number, length(text) AS length, md5(text) AS md5 FROM texts"
     "csv_row_numbers": f"""WITH {V.MANIFEST}
 SELECT row_number AS key, short_name,
        row_number() OVER (PARTITION BY row_number // 1000 ORDER BY row_number) + 1 AS record FROM manifest""",
+    "split_csv_records": """SELECT doc_id, true AS in_order,
+  sha256('"a", ' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '"') AS sha FROM documents""",
     "csv_inferred": """SELECT CASE WHEN event_id % 3 <> 0 THEN event_type END AS event_type, count(*) AS n,
   count(*) FILTER (event_id % 7 > 1) AS present, round(sum(value) FILTER (event_id % 7 > 1), 4) AS total,
   max(event_id) AS last, 'bigint,double' AS types
