@@ -196,6 +196,7 @@ SEASON_SCENARIOS = [
 WEEKEND_SCENARIOS = [("Weekday", 0), ("Weekend", 1)]
 SCENARIO_LAT, SCENARIO_LON = 40.7, -74.0
 SCENARIO_MONTH, SCENARIO_DAY_OF_YEAR = 8, 220
+SCENARIO_COVARIATES = ["month", "day_of_year", "is_weekend", "temperature", "wind_speed", "humidity"]
 
 # --- forest profiles: trees, depth, minimum rows per leaf --------------------------------
 FOREST_PROFILES = {

@@ -6,6 +6,7 @@ from nitrogrid import constants as K
 from nitrogrid.functions.calendar import is_weekend
 from nitrogrid.functions.field import box_response, smooth_response
 from nitrogrid.operators.air_quality import classify
+from nitrogrid.operators.nearest import nearest
 from nitrogrid.sources.requests import explode_batches
 
 
@@ -75,14 +76,14 @@ def score_requests(df, predictor, as_of=None, range_check=True):
     return classify(scored).withColumn("timestamp", stamp)
 
 
-def score_batches(batches, predictor, as_of=None, keep=(), range_check=True):
+def score_batches(batches, predictor, as_of=None, keep=(), range_check=True, position=None):
     """Score every location of batch requests.
 
     A missing name becomes the default. A location without coordinates, or outside the box where
     ``range_check`` is on, stays with its ``error`` and no prediction; so does a request without
-    locations, as one row.
+    locations, as one row. ``position`` names a column for the place in the request's list.
     """
-    rows = explode_batches(batches, keep)
+    rows = explode_batches(batches, keep, position)
     rows = rows.withColumn("name", F.coalesce("name", F.lit(K.DEFAULT_LOCATION_NAME)))
     return score_requests(rows, predictor, as_of, range_check)
 
@@ -112,6 +113,20 @@ def city_scenarios(spark):
     ])
 
 
+def city_observations(spark, observations, tie, covariates=K.SCENARIO_COVARIATES):
+    """The cities with the covariates of their nearest observations, and the ``distance`` to them.
+
+    Covariates that the observations lack, or have no value for, keep the fixed summer ones.
+    """
+    cities = city_scenarios(spark)
+    given = [c for c in covariates if c in observations.columns]
+    seen = observations.select(tie, "latitude", "longitude", *[F.col(c).alias(f"_seen_{c}") for c in given])
+    near = nearest(cities, seen, tie, [tie, *[f"_seen_{c}" for c in given]])
+    return near.withColumns({
+        c: F.coalesce(F.col(f"_seen_{c}").cast(cities.schema[c].dataType), F.col(c)) for c in given
+    }).drop(*[f"_seen_{c}" for c in given])
+
+
 def season_scenarios(spark):
     """One place in four seasons."""
     return _scenario_rows(spark, [

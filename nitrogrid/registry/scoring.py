@@ -169,7 +169,7 @@ SCORED_COLUMNS = f"""round(v / 1e13, 6) AS no2_value, {V.CODE_SQL.format(x='v')}
        {V.COLOUR_SQL.format(x='v')} AS color, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, error"""
 
 _BATCH = V.REQUESTS + f""", located AS (
-  SELECT event_id // 16 AS request_id, coalesce(name, 'Unknown') AS name, latitude, longitude, {ERROR_SQL} AS error,
+  SELECT event_id, event_id // 16 AS request_id, coalesce(name, 'Unknown') AS name, latitude, longitude, {ERROR_SQL} AS error,
          CASE WHEN (event_id // 16) % 3 <> 0 THEN (event_id // 16) % 365 + 1 ELSE 20 END AS day_of_year,
          CASE WHEN (event_id // 16) % 3 <> 0 THEN (event_id // 16) % 2 ELSE 1 END AS is_weekend
   FROM requests),

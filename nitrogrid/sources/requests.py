@@ -19,13 +19,14 @@ def parse_requests(df, body="body", schema=SCORE_REQUEST, keep=()):
     return parsed.select(*keep, "_request.*")
 
 
-def explode_batches(batches, keep=()):
+def explode_batches(batches, keep=(), position=None):
     """One row per location; the shared covariates are kept. No shuffle.
 
     A request without locations keeps one row, whose location is null; ``has_locations`` is false
-    where the request had no list at all.
+    where the request had no list at all. ``position`` names a column for the place in the list.
     """
     shared = [f.name for f in COVARIATES if f.name in batches.columns]
-    rows = batches.select(*keep, *shared, F.col("locations").isNotNull().alias("has_locations"),
-                          F.explode_outer("locations").alias("_location"))
-    return rows.select(*keep, "_location.*", *shared, "has_locations")
+    located = (F.posexplode_outer("locations").alias(position, "_location") if position
+               else F.explode_outer("locations").alias("_location"))
+    rows = batches.select(*keep, *shared, F.col("locations").isNotNull().alias("has_locations"), located)
+    return rows.select(*keep, *([position] if position else []), "_location.*", *shared, "has_locations")
