@@ -58,22 +58,31 @@ def forest(params):
     return RandomForestRegressor(**settings)
 
 
+# the fewest partitions of training rows, and the rows a partition holds on average at most
 PARTITIONS = 8
+ROWS_PER_PARTITION = 250_000
+
+
+def partition_count(rows, least=PARTITIONS, each=ROWS_PER_PARTITION):
+    """Partitions for so many training rows: a function of the data, not of the machine."""
+    return max(least, -(-rows // each))
 
 
 def train_model(df, features, key, profile="full", test_size=0.2, folds=5, seed=K.SEED,
-                partitions=PARTITIONS, parallelism=None, **params):
+                partitions=None, parallelism=None, **params):
     """Split, scale, cross-validate and fit on ``label``; metrics on train and test.
 
     Cross-validation runs on the training part only, ``parallelism`` fits at a time (default: all
     folds), and its final refit on the whole training part is the model, so nothing is fitted twice.
-    A fit samples rows by partition, so the training rows are dealt by a hash of the key to a stated
-    number of ``partitions`` and ordered there: the model does not depend on the machine or on how
-    the table was split. The number should suit the table.
+    A fit samples rows by partition, so the training rows are dealt by a hash of the key to a number
+    of ``partitions`` that follows from the row count unless it is given, and ordered there: the
+    model does not depend on the machine or on how the table was split, and a partition does not
+    grow with the table.
     """
     settings = {**K.FOREST_PROFILES[profile], **params}
     parts = split_rows(df, key, test_size, seed=seed)
     train = parts.filter(F.col("split") == "train")
+    partitions = partitions or partition_count(train.count())
     prepare = Pipeline(stages=[
         scaler_stage(train, features),
         VectorAssembler(inputCols=[SCALED + c for c in features], outputCol="features"),

@@ -5,6 +5,7 @@ fits its own model; its results are stated as properties that SQL can state too:
 values inside the range of the labels, scores above the gate.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nitrogrid import constants as K
@@ -87,6 +88,13 @@ def cross_validation(spark, sf):
         "status": state.select("status"),
         "features": state.select(F.size("features")),
         "reported": T.report(trained, spark).select(F.count("value")),
+        "report_agrees": T.report(trained, spark).select(F.bool_and(F.coalesce(*[
+            F.when(F.col("key") == name, F.abs(F.col("value") - value) < 1e-9)
+            for name, value in {"r2": p["test_r2"], "rmse": p["test_rmse"], "cv_mean": p["cv_mean"],
+                                "accuracy_percent": 100 * p["test_r2"], **trained.importance}.items()
+        ]))),
+        "top_features": T.importances(trained, spark, 3).select(
+            F.concat_ws(",", F.array_sort(F.collect_list(F.col("rank").cast("string"))))),
     }
     return training_rows(spark, sf).agg(F.count(F.lit(1)).alias("rows")).select(
         "rows", *[one.scalar().alias(name) for name, one in facts.items()],
@@ -142,11 +150,14 @@ def _scored_places(spark, sf, changes):
 
 
 def scenario_seasons(spark, sf):
-    """All places in four seasons: more in summer's phase of the year than in autumn's."""
+    """All places in four seasons; the response's wave has its seasons in the order Spring, Winter, Summer, Fall."""
     changes = [(name, {"month": month, "day_of_year": doy, "temperature": t}) for name, month, doy, t in K.SEASON_SCENARIOS]
     scored = _scored_places(spark, sf, changes)
-    return scored.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(_in_range(spark, sf, F.col("no2_value"))).alias("in_range"))
+    seasons = scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(_in_range(spark, sf, F.col("no2_value"))).alias("in_range"),
+        F.avg("no2_value").alias("mean"))
+    # four rows
+    return seasons.select("label", "n", "in_range", F.row_number().over(Window.orderBy(F.desc("mean"))).alias("place"))
 
 
 def scenario_weekend(spark, sf):
@@ -193,14 +204,14 @@ ORACLE = {
     "model_gate": f"SELECT count(*) AS rows, {_COUNTS}, true AS passed FROM orders",
     "model_gate_boxes": f"SELECT count(*) AS rows, {_COUNTS}, true AS learned FROM orders",
     "cross_validation": f"""SELECT count(*) AS rows, true AS importances_sum_to_one, '1,2,3,4,5,6,7,8' AS ranks, true AS top_three,
-  'ready' AS status, 8 AS features, 14 AS reported, {_COUNTS}, true AS folds_passed, true AS folds_agree FROM orders""",
+  'ready' AS status, 8 AS features, 14 AS reported, true AS report_agrees, '1,2,3' AS top_features, {_COUNTS}, true AS folds_passed, true AS folds_agree FROM orders""",
     "forest_predictions": """SELECT month(o_orderdate) AS month, count(*) AS n, true AS in_range, true AS near
 FROM orders GROUP BY 1""",
     "bulk_score": """SELECT o_orderkey AS event_id, round(25.0::double + (o_custkey % 251) * 0.1::double, 6) AS latitude,
   month(o_orderdate) AS month, true AS in_range FROM orders""",
     "forest_batch": RS.BATCH + """ SELECT request_id, name, error, error IS NULL AS scored, error IS NULL AS classed FROM located""",
     "saved_model_scores": "SELECT count(*) AS rows, count(*) AS equal FROM orders",
-    "scenario_seasons": """SELECT label, count(*) AS n, true AS in_range
-FROM orders, (VALUES ('Winter'), ('Spring'), ('Summer'), ('Fall')) s(label) GROUP BY 1""",
+    "scenario_seasons": """SELECT label, count(*) AS n, true AS in_range, place
+FROM orders, (VALUES ('Spring', 1), ('Winter', 2), ('Summer', 3), ('Fall', 4)) s(label, place) GROUP BY 1, 4""",
     "scenario_weekend": """SELECT month(o_orderdate) AS month, 2 * count(*) AS n, true AS weekday_higher FROM orders GROUP BY 1""",
 }

@@ -84,6 +84,10 @@ def test_fit_does_not_depend_on_the_input_partitions(spark):
     assert a == b
 
 
+def test_partitions_follow_the_rows():
+    assert [T.partition_count(n) for n in (0, 1, 2_000_000, 2_000_001, 10 ** 11)] == [8, 8, 8, 9, 400_000]
+
+
 def test_profiles():
     assert K.FOREST_PROFILES["full"] == {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 2}
     forest = T.forest(K.FOREST_PROFILES["quick"])
