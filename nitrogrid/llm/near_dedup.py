@@ -207,27 +207,37 @@ def mixed_bands(members: DataFrame) -> DataFrame:
 def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Pairs of different labels that share a band and one of their rarest shingles.
 
-    Two sets of that similarity share one of the first n - ceil(similar * n) + 1 shingles of each,
-    in any common order; the order here is by frequency among these vertices, rarest first.
+    Sets of n and m >= n shingles of that similarity share ceil(similar / (1 + similar) * (n + m)) of
+    them, so in any common order they meet within the first n - ceil(2 * similar / (1 + similar) * n) + 1
+    of the smaller and m - ceil(similar * m) + 1 of the larger one; the order here is by frequency among
+    these vertices, rarest first. At the first shingle they share, what follows in both must suffice
+    for the rest of the overlap (positional filter), so no pair is lost by asking that of each meeting.
     """
     vertices = members.select("vertex").distinct()
     each = sets.join(vertices, "vertex").join(sizes, "vertex") \
         .select("vertex", "n", F.explode("shingles").alias("shingle"))
     frequency = each.groupBy("shingle").agg(F.count("*").alias("met"))
     place = F.row_number().over(Window.partitionBy("vertex").orderBy("met", "shingle"))
+    # a little less than the exact bounds: they must not fail by rounding
+    short = F.col("n") - F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("n") - 1e-6) + 1
     prefix = (
         each.join(frequency, "shingle").where("met > 1")
         # shingles met once come first in the order and match nothing; they take their places
         .join(each.join(frequency, "shingle").where("met = 1").groupBy("vertex").agg(F.count("*").alias("alone")), "vertex", "left")
         .withColumn("place", place + F.coalesce("alone", F.lit(0)))
-        .where(F.col("place") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n")) + 1)
-        .select("vertex", "n", "shingle")
+        .where(F.col("place") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-6) + 1)
+        .select("vertex", "n", "shingle", "place", (F.col("place") <= short).alias("early"))
     )
-    keyed = stored(members.join(prefix, "vertex").select("band", "shingle", "vertex", "label", "n"), "near-rest")
-    other = keyed.select("band", "shingle", F.col("vertex").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    keyed = stored(members.join(prefix, "vertex").select("band", "shingle", "vertex", "label", "n", "place", "early"), "near-rest")
+    smaller = keyed.where("early").drop("early")
+    larger = keyed.select("band", "shingle", F.col("vertex").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"),
+                          F.col("place").alias("pb"))
+    least = F.lit(similar / (1 + similar)) * (F.col("n") + F.col("nb")) - 1e-6
+    follow = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) + 1
     return (
-        keyed.join(other, ["band", "shingle"])
-        .where((F.col("label") < F.col("lb")) & (F.col("n") >= similar * F.col("nb")) & (F.col("nb") >= similar * F.col("n")))
+        smaller.join(larger, ["band", "shingle"])
+        .where((F.col("label") != F.col("lb")) & (F.struct("n", "vertex") < F.struct("nb", "b"))
+               & (F.col("n") >= similar * F.col("nb") - 1e-6) & (follow >= least))
         .select(F.col("vertex").alias("a"), "b").distinct()
     )
 

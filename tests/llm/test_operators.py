@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nitrogrid.llm import (
     bitfilter, components, decontamination, exact_dedup, language_id, license_scan, near_dedup, packing,
@@ -615,3 +616,20 @@ def test_suffix_dedup_of_frequent_keys(spark, monkeypatch, frequent, together):
     rows += [(100 + i, "ab" * rng.randint(40, 90) + t, "en") for i, (_, t, _) in enumerate(stringy(rng, "ab é\n", 12))]
     want = brute_repeats(rows, lambda t: t.encode(), bytes, 100)
     assert by_row(suffix_dedup.without_repeats(frame(spark, rows))) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rest_pairs_lose_no_link(spark, seed):
+    """Variants of a text at all distances, with shingles of their own first in the order: every pair at 0.8 is proposed."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for vertex in range(60):
+        base = rng.permutation(100)[: rng.integers(80, 101)]
+        sets.append((vertex, sorted({*map(int, base), *(1000 + 100 * vertex + k for k in range(rng.integers(0, 25)))})))
+    table = spark.createDataFrame(sets, "vertex long, shingles array<long>")
+    members = table.select(F.lit(1).alias("band"), "vertex", F.col("vertex").alias("label"))
+    got = {(min(r), max(r)) for r in near_dedup.rest_pairs(
+        members.unionByName(members.withColumn("band", F.lit(2))), table, table.select("vertex", F.size("shingles").alias("n"))).collect()}
+    wanted = {(a, b) for a, x in sets for b, y in sets if a < b
+              and len(set(x) & set(y)) * 10 >= 8 * len(set(x) | set(y))}
+    assert wanted and wanted <= got
