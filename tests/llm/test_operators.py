@@ -45,7 +45,8 @@ def brute_labels(words):
     for t in license_scan.templates():
         if not t.phrase:
             for s in range(0, len(words), license_scan.STRIDE):
-                n = len(set(words[s:s + license_scan.BLOCK]) & set(t.tokens))
+                width = max(license_scan.BLOCK, license_scan.STRIDE * (1 + -(-len(t.words) // license_scan.STRIDE)))
+                n = len(set(words[s:s + width]) & set(t.tokens))
                 if n >= t.need:
                     found.add(t.label)
                     best = max(best, n / len(t.tokens))
@@ -70,6 +71,40 @@ def test_license_places(spark, odd_rows):
         assert r["score"] == (1.0 if base else best)
 
 
+def test_license_texts_of_any_length(spark):
+    """Whole notices at any place, with up to a fifth of their words changed; the blocks that meet them."""
+    rng = random.Random(21)
+    known = [t for t in license_scan.templates() if not t.phrase]
+    assert max(len(t.words) for t in known) > 3 * license_scan.STRIDE
+    own = " ".join(f"clause{k}" for k in range(400))
+    rows = [(0, f"w {own} w", "en"), (1, None, "en"), (2, "", "en"), (None, own, "en")]
+    for i in range(120):
+        words = list(rng.choice(known).words)
+        for k in rng.sample(range(len(words)), int(len(words) * rng.choice([0, 0.1, 0.2, 0.3]))):
+            words[k] = f"x{rng.randrange(50)}"
+        rows.append((10 + i, " ".join(["w"] * rng.randrange(200) + words + ["v"] * rng.randrange(60)), "en"))
+    further = {**license_scan.TEMPLATES, **license_scan.BODIES, own: "own"}
+    got = license_scan.template_blocks(frame(spark, rows), further=further).collect()
+    want = []
+    for doc_id, text, _ in rows:
+        words = license_scan.words_of(text or "")
+        for t in license_scan.templates(further=further):
+            width = max(license_scan.BLOCK, license_scan.STRIDE * (1 + -(-len(t.words) // license_scan.STRIDE)))
+            for s in range(0, 0 if t.phrase else len(words), license_scan.STRIDE):
+                n = len(set(words[s:s + width]) & set(t.tokens))
+                if n >= t.need:
+                    want.append((doc_id, t.label, " ".join(t.words), s, min(width, len(words) - s), n, n / len(t.tokens)))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert {0, None} <= {r["doc_id"] for r in got if r["label"] == "own" and r["containment"] == 1}
+    # a whole notice lies in one block wherever it begins
+    rows = [(100 * k + offset, " ".join(["w"] * offset + t.words), "en") for k, t in enumerate(known) for offset in range(0, 60, 7)]
+    whole = license_scan.template_blocks(frame(spark, rows)).where("containment = 1").collect()
+    assert {(i, t) for i, t, *_ in rows} <= {(r["doc_id"], " ".join(["w"] * (r["doc_id"] % 100)) + " " * (r["doc_id"] % 100 > 0) + r["template"])
+                                             for r in whole}
+    with pytest.raises(ValueError):
+        license_scan.templates(further={"--": "none"})
+
+
 # 2 and 9 substrings
 
 def brute_repeats(rows, cut, join, width):
@@ -216,6 +251,23 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((sa == sb).mean() - exact) < 0.04
 
 
+def test_texts_that_repeat_lines_meet_those_that_do_not(spark):
+    """Recall by repetition: sets of similarity 0.8 to 0.9, where one text has a third of its lines many times."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for i in range(150):
+        lines = [" ".join(word() for _ in range(20)) for _ in range(12)]
+        other = [*lines[:11], " ".join(word() for _ in range(20))] if i % 2 else lines[:11]
+        times = (1, 20, 50, 200)[i % 4]
+        again = [line for line in lines[:4] for _ in range(times - 1)]
+        rows += [(2 * i, "\n".join(lines + again), "en"), (2 * i + 1, "\n".join(other), "en")]
+    want = brute_classes(rows)
+    near = sum(want[2 * i] == want[2 * i + 1] for i in range(150))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(frame(spark, rows)).collect()}
+    assert near > 50 and got == want
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 102), (200, 200)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
