@@ -1,7 +1,8 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
 A document is the weighted set of its shingles of five words; a shingle that stands n times weighs
-1 + ln n. Each shingle is a Poisson process of that rate whose arrivals fall on random registers; a
+1 + REPEATED * (1 - 1 / n), so less than 1 + REPEATED: the sets decide, and a text that repeats its lines must
+still meet one that has each of them once. Each shingle is a Poisson process of that rate whose arrivals fall on random registers; a
 register keeps its earliest arrival. An element stops once its next arrival is later than all
 registers of the document, so most elements make one arrival. Two documents agree in a register
 with the probability Jaccard similarity of their sets. Registers are banded; documents that share a
@@ -36,6 +37,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
+REPEATED = 0.25  # what a shingle that is repeated without end weighs more than one that stands once
 BATCH_BYTES = 1 << 20
 CENTRES = (1, 4)  # centres per band in the rounds before the rest is joined
 
@@ -65,6 +67,11 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np
     return hashes[at], np.diff(np.append(at, len(hashes))), number[at]
 
 
+def weights(times: np.ndarray) -> np.ndarray:
+    """Weight of a shingle by how often it stands."""
+    return 1 + REPEATED * (1 - 1 / times)
+
+
 def signatures(shingle: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, registers: int = REGISTERS) -> np.ndarray:
     """The shingle that came first in each register, per document. Early termination by document."""
     earliest = np.full(docs * registers, np.inf)
@@ -103,7 +110,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             for batch in pieces_of(whole, BATCH_BYTES):
                 shingle, times, doc = shingle_sets(batch.column("text"))
                 docs_here = batch.num_rows
-                keys = band_keys(signatures(shingle, 1 + np.log(times), doc, docs_here))
+                keys = band_keys(signatures(shingle, weights(times), doc, docs_here))
                 n = np.bincount(doc, minlength=docs_here)
                 edge = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(shingle + np.uint64(k)))]) for k in (1, 2)]
