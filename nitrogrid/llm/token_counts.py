@@ -4,8 +4,8 @@ A text is cut at places that no piece of the vocabulary spans, so its pre-tokens
 independently. New pre-tokens of a batch lie in ragged numpy arrays (symbol ids, next symbol,
 owner); each round applies, in every sequence at once, the pair of the lowest rank (leftmost of
 equal ones), until no pair of any sequence is in the vocabulary. What survives is counted; a symbol
-outside the vocabulary counts its UTF-8 bytes. A very long pre-token merges in blocks, so a round
-touches a block and the blocks' minima only.
+outside the vocabulary counts its UTF-8 bytes. A very long pre-token holds its places by rank, and a
+round applies its lowest rank at all places of it, so a round touches the places that change only.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens. Repeated rows are counted each. An
 empty table gives an empty result. Other columns are ignored.
@@ -13,7 +13,9 @@ empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +87,7 @@ class Merger:
             self.counts.update(zip(some, self.merged(some).tolist(), strict=True))
         for w in new:
             if len(w) > LONG:
-                self.counts[w] = sum(self.long_count(part) for part in self.parts(w))
+                self.counts[w] = self.parts_count(Counter(self.parts(w)))
         get = self.counts.__getitem__
         found = [sum(map(get, w)) for w in words]
         for w in new:
@@ -98,6 +100,15 @@ class Merger:
         cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.inside]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
+    def parts_count(self, times: Counter) -> int:
+        """The count of parts that stand so many times; short ones merge together."""
+        short = sorted(p for p in times if len(p) <= LONG)
+        total = sum(self.long_count(p) * k for p, k in times.items() if len(p) > LONG)
+        for at in range(0, len(short), TOGETHER):
+            some = short[at:at + TOGETHER]
+            total += int(self.merged(some) @ np.array([times[p] for p in some]))
+        return total
+
     def start(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
         """Symbol ids of the characters, and how many tokens each counts while it is alone."""
         other = self.width - 1
@@ -133,40 +144,70 @@ class Merger:
         return result
 
     def long_count(self, part: str) -> int:
-        """The count of one long sequence: the same merges, with the minimum kept by blocks."""
-        if len(part) <= LONG:
-            return int(self.merged([part])[0])
+        """The count of one long sequence: each round applies the lowest rank at all its places, from the left.
+
+        While what a round makes pairs at higher ranks only, merging its places together is the same as one
+        after the other; a round ends at the first place whose new symbol has a pair that comes no later.
+        """
         ids, cost = self.start(part)
         n = len(ids)
-        width = max(64, int(n ** 0.5))
-        rank = np.full(-(-n // width) * width, NO_RANK)
-        made = np.full(len(rank), -1, np.int64)
-        rank[:n - 1], made[:n - 1] = self.ranks(ids[:-1], ids[1:])
-        blocks = rank.reshape(-1, width)
-        least = blocks.min(axis=1)
+        rank, made = np.full(n, NO_RANK), np.full(n, -1, np.int64)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         gone = np.zeros(n, bool)
-        while True:
-            b = int(least.argmin())
-            if least[b] >= NO_RANK:
-                return int(cost[~gone].sum())
-            i = b * width + int(blocks[b].argmin())
-            j = int(after[i])
-            ids[i], cost[i] = made[i], self.cost[made[i]]
-            gone[j], rank[j] = True, NO_RANK
-            nxt = int(after[j])
-            after[i] = nxt
-            if nxt < n:
-                before[nxt] = i
-            for left, right in ((int(before[i]), i), (i, nxt)):
-                if left >= 0:
-                    if right < n:
-                        r, m = self.ranks(ids[left:left + 1], ids[right:right + 1])
-                        rank[left], made[left] = r[0], m[0]
-                    else:
-                        rank[left] = NO_RANK
-            for k in {b, j // width, max(int(before[i]), 0) // width}:
-                least[k] = blocks[k].min()
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def hold(places):
+            """Notes places by their rank."""
+            places = places[rank[places] < NO_RANK]
+            places = places[np.argsort(rank[places], kind="stable")]
+            edges = np.flatnonzero(np.diff(rank[places])) + 1
+            for some in np.split(places, edges) if len(places) else ():
+                r = int(rank[some[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(some)
+
+        rank[:n - 1], made[:n - 1] = self.ranks(ids[:-1], ids[1:])
+        hold(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[~gone[places] & (rank[places] == r)]
+            if not len(places):
+                continue
+            # of places that overlap, each second one from the left
+            linked = np.append(False, after[places[:-1]] == places[1:])
+            step = np.arange(len(places))
+            taken = places[(step - np.maximum.accumulate(np.where(linked, 0, step))) % 2 == 0]
+            right = after[taken]
+            follow = after[right]
+            new = made[taken]
+            # the neighbours of each new symbol when it is made: those to the left have merged, those to the right have not
+            left = np.where(before[taken] >= 0, ids[before[taken]], -1)
+            left[1:] = np.where(before[taken[1:]] == right[:-1], new[:-1], left[1:])
+            next_one = np.where(follow < n, ids[np.minimum(follow, n - 1)], -1)
+            early = np.flatnonzero((self.ranks(left, new)[0] <= r) | (self.ranks(new, next_one)[0] <= r))
+            if len(early):
+                k = int(early[0]) + 1
+                hold(places[places > taken[k - 1]])
+                taken, right, follow = taken[:k], right[:k], follow[:k]
+            places = taken
+            ids[places] = made[places]
+            cost[places] = self.cost[ids[places]]
+            gone[right], rank[right] = True, NO_RANK
+            after[places] = follow
+            inner = follow < n
+            before[follow[inner]] = places[inner]
+            changed = np.unique(np.concatenate([before[places], places]))
+            changed = changed[changed >= 0]
+            ahead = after[changed]
+            rank[changed[ahead == n]] = NO_RANK
+            changed, ahead = changed[ahead < n], ahead[ahead < n]
+            rank[changed], made[changed] = self.ranks(ids[changed], ids[ahead])
+            hold(changed)
+        return int(cost[~gone].sum())
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> str:

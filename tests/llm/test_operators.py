@@ -551,6 +551,23 @@ def test_token_counts(spark, odd_rows):
     assert by_row(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("most", [2, 2048])
+def test_long_sequences_as_the_library(monkeypatch, most):
+    """Sequences without a space merge round by round as well, whatever their length."""
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "LONG", most)
+    rng = random.Random(12)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    n = 20_000 if most > 2 else 300
+    found = [draw(a, k) for a in ("a", "ab", "etaoinshr", "0123456789", "\u4e00\u4e8c\u4e09\u7684", "-=", " ", " a", "ab\u00e9\U0001f600\n", "aeiou ")
+             for k in (1, 7, n // 3, n)]
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_file())
+    merger = token_counts.Merger(token_counts.model_file())
+    for text in found:
+        assert merger.text_counts([text]) == [len(library.encode(text))]
+
+
 # 10 language
 
 def test_forward_backward():
