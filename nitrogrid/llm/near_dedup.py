@@ -10,10 +10,12 @@ band are candidates, and the Jaccard similarity of their shingle sets decides (S
 
 Documents with one shingle set are one vertex from the start, so copies never form pairs. The
 candidates of a band are tested against one centre of it, the vertices that this leaves apart
-against a few centres of other classes. What then still shares a band without sharing a class is
-joined by the rarest shingles (prefix filter) with length filter: each
-pair that can reach the threshold is tested there, so no link among the candidates is lost, and a
-common passage that many unlike documents share proposes nothing.
+against a few centres of other classes, and what is left then against one centre of each of its bands. What still
+shares a band without sharing a class is joined by the rarest of the shingles in which the sets
+differ from that centre (prefix filter): each pair that can reach the threshold is tested there, so no
+link among the candidates is lost. What a group has in common is no difference, so variants of one
+text that stay under the threshold do not all meet, and a common passage that many unlike
+documents share proposes nothing.
 
 Defined cases: texts without words stay apart. Fewer than five words make one shingle. A row
 without doc_id meets only rows of its own shingle set. Repeated rows are one vertex; rows of one
@@ -40,6 +42,7 @@ REGISTERS = BANDS * ROWS
 REPEATED = 0.25  # what a shingle that is repeated without end weighs more than one that stands once
 BATCH_BYTES = 1 << 20
 CENTRES = (1, 4)  # centres per band in the rounds before the rest is joined
+PARITIES = 512  # buckets of a set of differences; a multiple of 64
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,42 +214,92 @@ def mixed_bands(members: DataFrame) -> DataFrame:
     return members.join(several, "band", "left_semi")
 
 
-def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs of different labels that share a band and one of their rarest shingles.
+def grouped(members: DataFrame) -> DataFrame:
+    """(vertex, label, centre), distinct: the vertices that share a band share its centre, a vertex of that band."""
+    # another order than that of centre_pairs, so that most of these centres are new to their bands
+    centres = members.groupBy("band").agg(F.min_by("vertex", F.struct(F.xxhash64("vertex", F.lit("rest")), "vertex")).alias("centre"))
+    return members.join(centres, "band").select("vertex", "label", "centre").distinct()
 
-    Sets of n and m >= n shingles of that similarity share ceil(similar / (1 + similar) * (n + m)) of
-    them, so in any common order they meet within the first n - ceil(2 * similar / (1 + similar) * n) + 1
-    of the smaller and m - ceil(similar * m) + 1 of the larger one; the order here is by frequency among
-    these vertices, rarest first. At the first shingle they share, what follows in both must suffice
-    for the rest of the overlap (positional filter), so no pair is lost by asking that of each meeting.
-    """
-    vertices = members.select("vertex").distinct()
-    each = sets.join(vertices, "vertex").join(sizes, "vertex") \
-        .select("vertex", "n", F.explode("shingles").alias("shingle"))
-    frequency = each.groupBy("shingle").agg(F.count("*").alias("met"))
-    place = F.row_number().over(Window.partitionBy("vertex").orderBy("met", "shingle"))
-    # a little less than the exact bounds: they must not fail by rounding
-    short = F.col("n") - F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("n") - 1e-6) + 1
-    prefix = (
-        each.join(frequency, "shingle").where("met > 1")
-        # shingles met once come first in the order and match nothing; they take their places
-        .join(each.join(frequency, "shingle").where("met = 1").groupBy("vertex").agg(F.count("*").alias("alone")), "vertex", "left")
-        .withColumn("place", place + F.coalesce("alone", F.lit(0)))
-        .where(F.col("place") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-6) + 1)
-        .select("vertex", "n", "shingle", "place", (F.col("place") <= short).alias("early"))
-    )
-    keyed = stored(members.join(prefix, "vertex").select("band", "shingle", "vertex", "label", "n", "place", "early"), "near-rest")
-    smaller = keyed.where("early").drop("early")
-    larger = keyed.select("band", "shingle", F.col("vertex").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"),
-                          F.col("place").alias("pb"))
-    least = F.lit(similar / (1 + similar)) * (F.col("n") + F.col("nb")) - 1e-6
-    follow = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) + 1
-    return (
-        smaller.join(larger, ["band", "shingle"])
-        .where((F.col("label") != F.col("lb")) & (F.struct("n", "vertex") < F.struct("nb", "b"))
-               & (F.col("n") >= similar * F.col("nb") - 1e-6) & (follow >= least))
-        .select(F.col("vertex").alias("a"), "b").distinct()
+
+def differences(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(vertex, centre, linked, only, parity) for the centres of the vertex's bands: whether both are similar, the
+    shingles that one of the two has and the other has not, and for PARITIES buckets whether their number is odd."""
+
+    def differ(batches):
+        for batch in batches:
+            linked, only = np.zeros(batch.num_rows, bool), []
+            odd = np.zeros((batch.num_rows, PARITIES), np.uint8)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+                only.append(np.setxor1d(x, y, assume_unique=True))
+                both = (len(x) + len(y) - len(only[-1])) // 2
+                linked[i] = both >= similar * (len(x) + len(y) - both)
+                bucket = mixed(only[-1].view(np.uint64)) % np.uint64(PARITIES)
+                odd[i] = np.bincount(bucket.astype(np.int64), minlength=PARITIES) & 1
+            edge = np.concatenate([[0], np.cumsum([len(o) for o in only])])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vertex"), batch.column("centre"), pa.array(linked),
+                 pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *only]))),
+                 pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (PARITIES // 64), pa.int32()),
+                                          pa.array(np.packbits(odd, axis=1).view(np.int64).reshape(-1)))],
+                names=["vertex", "centre", "linked", "only", "parity"])
+
+    pairs = (
+        grouped(members).select("vertex", "centre")
+        .join(sets.select("vertex", F.col("shingles").alias("x")), "vertex")
+        .join(sets.select(F.col("vertex").alias("centre"), F.col("shingles").alias("y")), "centre")
     )
+    return stored(pairs.select("vertex", "centre", "x", "y").mapInArrow(
+        tidy(differ), "vertex long, centre long, linked boolean, only array<long>, parity array<long>"), "near-differences")
+
+
+def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: float = SIMILAR,
+               different: DataFrame | None = None) -> DataFrame:
+    """Pairs of different labels that share a band's centre and may be similar, all similar ones among them.
+
+    Each set is told by where it differs from the centre c, so what a whole band has in common drops out
+    and proposes nothing. x and y are similar if they differ in at most least = (1 - similar) / (1 + similar) * (n + m)
+    shingles, n and m being their sizes. With a = |x ^ c| and b = |y ^ c| these two sets of differences then
+    share t = (a + b - least) / 2 shingles or more, so for t > 0, in any common order, they meet within
+    the first a - t + 1 and b - t + 1 of them; the order here is by frequency in the group of c, rarest
+    first. m <= n / similar bounds least by (1 - similar) / similar * n, and b - a is at most least, so for
+    a <= b that is among the first least / 2 + 1 of x and the first least + 1 of y. At the first one they share, what
+    follows in both must suffice for the rest of t (positional filter), so no pair is lost by asking that of each meeting.
+    Nor by asking that at most least buckets have other parities: each of them holds a shingle in which x and y differ.
+
+    For t <= 0 both are similar to c itself, as a - (1 - similar) / (1 + similar) * n is least for c. Such pairs
+    are looked for only around centres whose similar vertices have several labels; once the links to
+    the centres have joined labels there are none.
+    """
+    if different is None:
+        different = differences(members, sets, similar)
+    # a little more than the exact bounds: they must not fail by rounding
+    share, slack = F.lit((1 - similar) / (1 + similar)), 1e-6
+    rows = different.join(grouped(members), ["vertex", "centre"]).join(sizes, "vertex") \
+        .select("centre", "vertex", "label", "n", F.size("only").alias("apart"), "linked", "only", "parity")
+    each = rows.withColumn("shingle", F.explode("only")).drop("linked", "only")
+    met = F.count("*").over(Window.partitionBy("centre", "shingle"))
+    place = F.row_number().over(Window.partitionBy("vertex", "centre").orderBy("met", "shingle"))
+    most = F.lit((1 - similar) / similar) * F.col("n") + slack
+    prefix = stored(
+        each.withColumn("met", met).withColumn("place", place).where((F.col("place") <= most + 1) & (F.col("met") > 1))
+        .select("centre", "shingle", "vertex", "label", "n", "apart", "place", "parity"), "near-rest")
+    other = lambda df: df.withColumnsRenamed({c: f"{c}_b" for c in ("vertex", "label", "n", "apart", "place", "parity")})
+    follow = F.least(F.col("apart") - F.col("place"), F.col("apart_b") - F.col("place_b")) + 1
+    least = share * (F.col("n") + F.col("n_b"))
+    differ = sum(F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITIES // 64))
+    meeting = prefix.where(F.col("place") <= most / 2 + 1).join(other(prefix), ["centre", "shingle"]).where(
+        (F.col("label") != F.col("label_b")) & (F.struct("apart", "vertex") < F.struct("apart_b", "vertex_b"))
+        & (F.least("n", "n_b") >= similar * F.greatest("n", "n_b") - slack)
+        & (2 * follow >= F.col("apart") + F.col("apart_b") - least - slack) & (differ <= least + slack))
+    around = rows.where("linked").select("centre", "vertex", "label", "n", "apart")
+    several = around.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
+    around = stored(around.join(several, "centre", "left_semi"), "near-around")
+    close = around.join(other(around), "centre").where(
+        (F.col("label") != F.col("label_b")) & (F.struct("apart", "vertex") < F.struct("apart_b", "vertex_b"))
+        & (F.col("apart") + F.col("apart_b") <= least + slack))
+    pair = [F.col("vertex").alias("a"), F.col("vertex_b").alias("b")]
+    return meeting.select(pair).unionByName(close.select(pair)).distinct()
 
 
 def keyed_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -279,7 +332,13 @@ def keyed_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         labels = relabelled(labels, edges)
         apart = stored(mixed_bands(members.join(labels, "vertex")), "near-apart")
     if not apart.isEmpty():
-        edges = stored(verified(rest_pairs(apart, sets, named.select("vertex", "n"), similar), sets, similar), "near-links")
+        different = differences(apart, sets, similar)
+        edges = different.where("linked and vertex <> centre").select(F.col("vertex").alias("a"), F.col("centre").alias("b"))
+        if not edges.isEmpty():
+            labels = relabelled(labels, edges)
+            apart = stored(mixed_bands(members.join(labels, "vertex")), "near-apart")
+    if not apart.isEmpty():
+        edges = stored(verified(rest_pairs(apart, sets, named.select("vertex", "n"), similar, different), sets, similar), "near-links")
         if not edges.isEmpty():
             labels = relabelled(labels, edges)
     classed = vertices.join(labels, "vertex", "left")

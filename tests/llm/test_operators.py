@@ -702,3 +702,19 @@ def test_rest_pairs_lose_no_link(spark, seed):
     wanted = {(a, b) for a, x in sets for b, y in sets if a < b
               and len(set(x) & set(y)) * 10 >= 8 * len(set(x) | set(y))}
     assert wanted and wanted <= got
+
+
+def test_rest_pairs_of_variants_under_the_threshold(spark):
+    """Texts that each change some places of one text: the pairs proposed are few more than the similar ones."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for vertex in range(200):
+        gone = {int(i) for at in rng.integers(0, 196, rng.integers(2, 6)) for i in range(at, at + 5)}
+        sets.append((vertex, sorted({*range(200)} - gone | {1000 + 100 * vertex + k for k in range(len(gone))})))
+    table = spark.createDataFrame(sets, "vertex long, shingles array<long>")
+    members = table.select(F.lit(1).alias("band"), "vertex", F.col("vertex").alias("label"))
+    got = {(min(r), max(r)) for r in near_dedup.rest_pairs(
+        members, table, table.select("vertex", F.size("shingles").alias("n"))).collect()}
+    wanted = {(a, b) for a, x in sets for b, y in sets if a < b
+              and len(set(x) & set(y)) * 10 >= 8 * len(set(x) | set(y))}
+    assert wanted <= got and len(wanted) > 1000 and len(got) < 1.25 * len(wanted)
