@@ -453,6 +453,44 @@ def test_leaks_of_many_short_items(spark):
     assert all(r["lcs"] >= decontamination.LCS and -1 <= r["cosine"] <= 1 for r in got.values())
 
 
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_latent_space_is_fitted_on_all_passages(spark, monkeypatch, held):
+    """The products of features and the vectors over thousands of documents, against dense matrices."""
+    monkeypatch.setattr(decontamination, "HELD", held)
+    rng = random.Random(26)
+    vocabulary = [f"w{k:02d}" for k in range(40)]
+    rows = [(i, " ".join(rng.choice([*vocabulary, "other", "more"]) for _ in range(rng.choice([0, 3, 10, 96, 97, 250]))), "en")
+            for i in range(2500)] + [(None, "w00 w01 w00", "en"), (7, None, "en")]
+    place = {w: i for i, w in enumerate(vocabulary[5:])}
+    idf = np.array([1 + 0.1 * i for i in range(35)])
+    passages = []
+    for _, text, _ in rows:
+        words = (text or "").split()
+        for b in range(0, len(words), decontamination.WINDOW):
+            v = np.zeros(35)
+            for w in words[b:b + decontamination.WINDOW]:
+                if w in place:
+                    v[place[w]] += idf[place[w]]
+            if v.any():
+                passages.append(v / np.linalg.norm(v))
+    a = np.array(passages)
+    numbers = decontamination.numbered(frame(spark, rows), vocabulary)
+    products = decontamination.passage_products(numbers, decontamination.feature_numbers(vocabulary, place), idf)
+    got = np.zeros((35, 35))
+    for r in products.collect():
+        assert r["other"][0] == r["feature"] and len(set(r["other"])) == len(r["other"])
+        got[r["feature"], r["other"]] = r["value"]
+    assert np.allclose(got, np.triu(a.T @ a)) and np.isclose(np.trace(got), len(passages)) and len(passages) > 2000
+    own = [(np.array([0, 3]), np.array([0.6, 0.8]))]
+    basis = decontamination.randomised_svd(products, own, 3.0, 35, rank=35)
+    row = np.zeros(35)
+    row[[0, 3]] = 0.6, 0.8
+    _, exact, _ = np.linalg.svd(np.vstack([a, 3 * row]), full_matrices=False)
+    assert np.allclose(sorted(np.linalg.norm(np.vstack([a, 3 * row]) @ basis, axis=0)), sorted(exact), rtol=0.02)
+    counts = decontamination.document_counts(numbers, vocabulary)
+    assert counts == {w: sum(w in (t or "").split() for _, t, _ in rows) for w in vocabulary}
+
+
 def test_leaks_of_nothing(spark, odd, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(odd, none).count() == 0
