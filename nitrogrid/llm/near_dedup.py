@@ -275,14 +275,21 @@ def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: f
         different = differences(members, sets, similar)
     # a little more than the exact bounds: they must not fail by rounding
     share, slack = F.lit((1 - similar) / (1 + similar)), 1e-6
-    rows = different.join(grouped(members), ["vertex", "centre"]).join(sizes, "vertex") \
-        .select("centre", "vertex", "label", "n", F.size("only").alias("apart"), "linked", "only", "parity")
-    each = rows.withColumn("shingle", F.explode("only")).drop("linked", "only")
-    met = F.count("*").over(Window.partitionBy("centre", "shingle"))
-    place = F.row_number().over(Window.partitionBy("vertex", "centre").orderBy("met", "shingle"))
+    told = stored(
+        different.select("vertex", "centre", F.size("only").alias("apart"), "linked", "parity")
+        .join(grouped(members), ["vertex", "centre"]).join(sizes, "vertex"), "near-told")
+    # the exploded rows go through both exchanges with nothing but their keys; those met once only count, as they come first
+    each = different.select("vertex", "centre", F.explode("only").alias("shingle"))
+    one = Window.partitionBy("vertex", "centre")
+    placed = (
+        each.withColumn("met", F.count("*").over(Window.partitionBy("centre", "shingle"))).where("met > 1")
+        .withColumn("place", F.row_number().over(one.orderBy("met", "shingle"))).withColumn("common", F.count("*").over(one))
+        .drop("met")
+    )
     most = F.lit((1 - similar) / similar) * F.col("n") + slack
     prefix = stored(
-        each.withColumn("met", met).withColumn("place", place).where((F.col("place") <= most + 1) & (F.col("met") > 1))
+        placed.join(told, ["vertex", "centre"]).withColumn("place", F.col("apart") - F.col("common") + F.col("place"))
+        .where(F.col("place") <= most + 1)
         .select("centre", "shingle", "vertex", "label", "n", "apart", "place", "parity"), "near-rest")
     other = lambda df: df.withColumnsRenamed({c: f"{c}_b" for c in ("vertex", "label", "n", "apart", "place", "parity")})
     follow = F.least(F.col("apart") - F.col("place"), F.col("apart_b") - F.col("place_b")) + 1
@@ -292,7 +299,7 @@ def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: f
         (F.col("label") != F.col("label_b")) & (F.struct("apart", "vertex") < F.struct("apart_b", "vertex_b"))
         & (F.least("n", "n_b") >= similar * F.greatest("n", "n_b") - slack)
         & (2 * follow >= F.col("apart") + F.col("apart_b") - least - slack) & (differ <= least + slack))
-    around = rows.where("linked").select("centre", "vertex", "label", "n", "apart")
+    around = told.where("linked").select("centre", "vertex", "label", "n", "apart")
     several = around.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
     around = stored(around.join(several, "centre", "left_semi"), "near-around")
     close = around.join(other(around), "centre").where(
