@@ -253,6 +253,11 @@ def differences(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -
         tidy(differ), "vertex long, centre long, linked boolean, only array<long>, parity array<long>"), "near-differences")
 
 
+def _before(order: str, *by: str):
+    """The rows of a group that come before a row."""
+    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: float = SIMILAR,
                different: DataFrame | None = None) -> DataFrame:
     """Pairs of different labels that share a band's centre and may be similar, all similar ones among them.
@@ -273,11 +278,23 @@ def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: f
     """
     if different is None:
         different = differences(members, sets, similar)
+    meeting, close = met_pairs(members, sizes, different, similar)
+    return meeting.unionByName(close).distinct()
+
+
+def met_pairs(members: DataFrame, sizes: DataFrame, different: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """The pairs of rest_pairs as (a, b): those that meet at a difference, each once, and those around a centre.
+
+    A pair may share many centres and many shingles. Each centre alone finds it, and what holds at any shingle
+    that both share holds at the first one as well, where more follows. So it is given
+    only under the first centre that both have, at the first shingle that both have there: each row carries what comes before.
+    """
     # a little more than the exact bounds: they must not fail by rounding
     share, slack = F.lit((1 - similar) / (1 + similar)), 1e-6
     told = stored(
         different.select("vertex", "centre", F.size("only").alias("apart"), "linked", "parity")
-        .join(grouped(members), ["vertex", "centre"]).join(sizes, "vertex"), "near-told")
+        .join(grouped(members), ["vertex", "centre"]).join(sizes, "vertex")
+        .withColumn("centres", F.collect_list("centre").over(_before("centre", "vertex"))), "near-told")
     # the exploded rows go through both exchanges with nothing but their keys; those met once only count, as they come first
     each = different.select("vertex", "centre", F.explode("only").alias("shingle"))
     one = Window.partitionBy("vertex", "centre")
@@ -290,15 +307,18 @@ def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: f
     prefix = stored(
         placed.join(told, ["vertex", "centre"]).withColumn("place", F.col("apart") - F.col("common") + F.col("place"))
         .where(F.col("place") <= most + 1)
-        .select("centre", "shingle", "vertex", "label", "n", "apart", "place", "parity"), "near-rest")
-    other = lambda df: df.withColumnsRenamed({c: f"{c}_b" for c in ("vertex", "label", "n", "apart", "place", "parity")})
+        .withColumn("shingles", F.collect_list("shingle").over(_before("place", "vertex", "centre")))
+        .select("centre", "shingle", "vertex", "label", "n", "apart", "place", "parity", "centres", "shingles"), "near-rest")
+    other = lambda df: df.withColumnsRenamed(
+        {c: f"{c}_b" for c in ("vertex", "label", "n", "apart", "place", "parity", "centres", "shingles")})
     follow = F.least(F.col("apart") - F.col("place"), F.col("apart_b") - F.col("place_b")) + 1
     least = share * (F.col("n") + F.col("n_b"))
     differ = sum(F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITIES // 64))
     meeting = prefix.where(F.col("place") <= most / 2 + 1).join(other(prefix), ["centre", "shingle"]).where(
         (F.col("label") != F.col("label_b")) & (F.struct("apart", "vertex") < F.struct("apart_b", "vertex_b"))
         & (F.least("n", "n_b") >= similar * F.greatest("n", "n_b") - slack)
-        & (2 * follow >= F.col("apart") + F.col("apart_b") - least - slack) & (differ <= least + slack))
+        & (2 * follow >= F.col("apart") + F.col("apart_b") - least - slack) & (differ <= least + slack)
+        & ~F.arrays_overlap("centres", "centres_b") & ~F.arrays_overlap("shingles", "shingles_b"))
     around = told.where("linked").select("centre", "vertex", "label", "n", "apart")
     several = around.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
     around = stored(around.join(several, "centre", "left_semi"), "near-around")
@@ -306,7 +326,7 @@ def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: f
         (F.col("label") != F.col("label_b")) & (F.struct("apart", "vertex") < F.struct("apart_b", "vertex_b"))
         & (F.col("apart") + F.col("apart_b") <= least + slack))
     pair = [F.col("vertex").alias("a"), F.col("vertex_b").alias("b")]
-    return meeting.select(pair).unionByName(close.select(pair)).distinct()
+    return meeting.select(pair), close.select(pair)
 
 
 def keyed_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

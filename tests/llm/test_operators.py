@@ -742,6 +742,26 @@ def test_rest_pairs_lose_no_link(spark, seed):
     assert wanted and wanted <= got
 
 
+@pytest.mark.parametrize("bands", [1, 3])
+def test_a_pair_leaves_the_rest_join_once(spark, bands):
+    """Variants that share many differences and several centres: the join gives each pair one row."""
+    rng = np.random.default_rng(5)
+    # two forms, so most differences from a centre of the other form are shared by many
+    sets = [(vertex, sorted({*range(200), *(range(300, 330) if vertex % 2 else ())} - {*map(int, rng.integers(0, 200, 18))}
+                            | {1000 + 100 * vertex + k for k in range(12)})) for vertex in range(60)]
+    table = spark.createDataFrame(sets, "vertex long, shingles array<long>")
+    members = table.select(F.explode(F.array(*map(F.lit, range(bands)))).alias("band"), "vertex", F.col("vertex").alias("label"))
+    # band k lacks vertices below k, so the bands have several centres
+    members = members.where("band = 0 or pmod(xxhash64(vertex), 3) <> pmod(band, 3)")
+    sizes = table.select("vertex", F.size("shingles").alias("n"))
+    meeting, close = near_dedup.met_pairs(members, sizes, near_dedup.differences(members, table))
+    rows = [tuple(sorted(r)) for r in meeting.collect()]
+    assert len(rows) == len(set(rows)) > 100
+    found = {*rows, *(tuple(sorted(r)) for r in close.collect())}
+    assert found == {tuple(sorted(r)) for r in near_dedup.rest_pairs(members, table, sizes).collect()}
+    assert {(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) * 10 >= 8 * len(set(x) | set(y))} <= found
+
+
 def test_rest_pairs_of_variants_under_the_threshold(spark):
     """Texts that each change some places of one text: the pairs proposed are few more than the similar ones."""
     rng = np.random.default_rng(4)
