@@ -47,6 +47,8 @@ SEED = 20_240_607
 BATCH_BYTES = 340 << 10  # of word numbers; about what 512 KB of text have
 TOGETHER = 128  # rows of the feature products that are multiplied at once
 HELD = 1 << 20  # products of features that a task holds before it adds them up
+# each task sends sums of its own, so few tasks add up much: word numbers, and products, whose number the benchmark bounds
+ADDED_BYTES, MULTIPLIERS = 16 << 20, 4
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -153,7 +155,8 @@ def counts_of(words: list[str], place: dict[str, int]) -> tuple[np.ndarray, np.n
 def randomised_svd(products: DataFrame, own: list[tuple[np.ndarray, np.ndarray]], weight: float, features: int,
                    rank: int = RANK) -> np.ndarray:
     """Right singular vectors (features x rank) of the passages whose products are given, together with the
-    rows `own`, times weight. Each pass adds up, in Spark, transposed(A) A Q."""
+    rows `own`, times weight. Each pass adds up, in Spark, transposed(A) A Q; each of MULTIPLIERS tasks sends
+    features x width sums at most, however many partitions the products have."""
     width = min(features, rank + OVERSAMPLE)
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((features, width)))[0]
     context = products.sparkSession.sparkContext
@@ -188,12 +191,12 @@ def randomised_svd(products: DataFrame, own: list[tuple[np.ndarray, np.ndarray]]
             return pd.DataFrame({"feature": [int(pdf["feature"].iloc[0])], "row": [total.tobytes()]})
 
         # a group has one row per task, of a row of the small matrix
-        summed = products.mapInArrow(tidy(product), "feature long, row binary") \
+        summed = products.coalesce(MULTIPLIERS).mapInArrow(tidy(product), "feature long, row binary") \
             .groupBy("feature").applyInPandas(added, "feature long, row binary")
         z = np.zeros_like(q)
         for feature, value in own:
             np.add.at(z, feature, weight ** 2 * np.outer(value, value @ q[feature]))
-        for r in summed.toLocalIterator():
+        for r in summed.coalesce(MULTIPLIERS).toLocalIterator():
             z[r["feature"]] += np.frombuffer(r["row"])
         vectors, _, _ = np.linalg.svd(z, full_matrices=False)
         q = vectors
@@ -241,6 +244,8 @@ def passage_products(numbers: DataFrame, feature: np.ndarray, idf: np.ndarray) -
     """(feature, other, value): the features from this one on that share a passage with it, itself first, and the
     sums of products over all passages of all documents, as a stored table."""
     features = len(idf)
+    size = numbers.agg(F.sum(F.octet_length("ids")).alias("n")).first()["n"] or 0
+    together = numbers.select("ids").coalesce(max(1, -(-size // ADDED_BYTES)))
     shared = numbers.sparkSession.sparkContext.broadcast((feature, idf))
 
     def rows_of(keys, values):
@@ -274,7 +279,7 @@ def passage_products(numbers: DataFrame, feature: np.ndarray, idf: np.ndarray) -
 
     kind = "feature long, other array<int>, value array<double>"
     # a group has a row of at most so many entries as features each time that a task adds up
-    return stored(numbers.select("ids").mapInArrow(tidy(multiply), kind).groupBy("feature").applyInPandas(added, kind), "latent-products")
+    return stored(together.mapInArrow(tidy(multiply), kind).groupBy("feature").applyInPandas(added, kind), "latent-products")
 
 
 def lcs_length(masks: dict[str, int], size: int, window: list[str]) -> int:

@@ -491,6 +491,22 @@ def test_latent_space_is_fitted_on_all_passages(spark, monkeypatch, held):
     assert counts == {w: sum(w in (t or "").split() for _, t, _ in rows) for w in vocabulary}
 
 
+def test_leak_sums_come_from_few_tasks(spark, monkeypatch):
+    """Many partitions: each task sends sums of its own, so the passages' products and each pass come from few."""
+    monkeypatch.setattr(decontamination, "MULTIPLIERS", 2)
+    rows = [(i, f"w{i % 5} w{(i + 1) % 5} w{(i * i) % 5}", "en") for i in range(400)]
+    vocabulary = [f"w{k}" for k in range(5)]
+    numbers = decontamination.numbered(frame(spark, rows).repartition(40), vocabulary)
+    assert numbers.rdd.getNumPartitions() > 2
+    tasks = []
+    mapped = type(numbers).mapInArrow
+    monkeypatch.setattr(type(numbers), "mapInArrow", lambda self, *a, **k: (tasks.append(self.rdd.getNumPartitions()), mapped(self, *a, **k))[1])
+    idf = np.ones(5)
+    products = decontamination.passage_products(numbers, decontamination.feature_numbers(vocabulary, {w: i for i, w in enumerate(vocabulary)}), idf)
+    decontamination.randomised_svd(products, [(np.array([0]), np.array([1.0]))], 1.0, 5, rank=5)
+    assert tasks[0] == 1 and max(tasks) <= 2
+
+
 def test_leaks_of_nothing(spark, odd, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(odd, none).count() == 0
