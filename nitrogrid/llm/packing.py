@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nitrogrid.llm.common import id_and_text, stored, texts, tidy
+from nitrogrid.llm.common import id_and_text, pieces_of, stored, texts, tidy
 
 WINDOW = 1024
 END_ID = 0
 SPECIAL = {"<|endoftext|>": 50256}
 NUMBERED_TOGETHER = 50_000
+BATCH_BYTES = 1 << 20
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -69,10 +70,10 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, fold
     """One row per piece: full windows of each document and what is left over."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole, BATCH_BYTES)):
             found = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = np.append(token_ids(text, folder_path), end_id).astype("<u4")
+                ids = np.append(token_ids(text, folder_path), np.uint32(end_id)).astype("<u4", copy=False)
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window]
                     found.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int32)))

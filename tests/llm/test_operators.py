@@ -578,6 +578,15 @@ def test_packed(spark, odd_rows):
         assert at <= 1024
 
 
+def test_packing_tokenizes_few_texts_at_once(spark, monkeypatch):
+    """Parts of a batch: the pieces are those of the whole batch, whatever the bound."""
+    rows = [(i, "some words " * (i % 7), "en") for i in range(60)] + [(None, None, "en")]
+    docs = frame(spark, rows)
+    want = sorted(map(repr, packing.cut_pieces(docs).collect()))
+    monkeypatch.setattr(packing, "BATCH_BYTES", 50)
+    assert sorted(map(repr, packing.cut_pieces(docs).collect())) == want and len(want) == 61
+
+
 def test_packed_sequences_hold_the_ids(spark, odd_rows):
     rows = [r for r in odd_rows if r[0] is not None]
     pieces = packing.packed(frame(spark, rows)).cache()

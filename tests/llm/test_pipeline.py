@@ -52,3 +52,17 @@ def test_stages_on_odd_rows(spark, odd_rows):
     ids = [r["doc_id"] for r in docs.collect()]
     assert 10 in ids and 11 not in ids and 12 not in ids
     assert near_dedup.SIMILAR == 0.8
+
+
+def test_stages_bound_their_batches(spark):
+    """One session serves all stages, so each of them asks for smaller Arrow batches than an operator alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = frame(spark, [(1, "a text", "en")])
+    try:
+        for _, stage in [s for s in corpus_pipeline.STAGES if s[0] in ("exact dedup", "packing")]:
+            spark.conf.set(key, "8388608")
+            stage(spark, docs, SF)
+            assert int(spark.conf.get(key).removesuffix("b")) <= 2 << 20
+    finally:
+        spark.conf.set(key, before)
