@@ -43,6 +43,7 @@ REPEATED = 0.25  # what a shingle that is repeated without end weighs more than
 BATCH_BYTES = 1 << 20
 CENTRES = (1, 4)  # centres per band in the rounds before the rest is joined
 PARITIES = 512  # buckets of a set of differences; a multiple of 64
+SET_PARITIES = 4096  # buckets of a whole set; a multiple of 64
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,8 +129,17 @@ def sketched(docs: DataFrame) -> DataFrame:
     return with_text_key(docs).mapInArrow(tidy(sketch), "doc_id long, text_key long, set_a long, set_b long, n long, bands array<long>")
 
 
+def set_parities(shingle: np.ndarray, doc: np.ndarray, docs: int, buckets: int = SET_PARITIES) -> np.ndarray:
+    """Per document a row of 64-bit words: for each bucket of its shingles, a bit that says whether their number is odd."""
+    at, met = np.unique(doc * buckets + (mixed(shingle) % np.uint64(buckets)).astype(np.int64), return_counts=True)
+    at = at[met % 2 == 1]
+    bits = np.zeros(docs * buckets // 8, np.uint8)
+    np.add.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))  # each bit comes once, so nothing is carried
+    return bits.view(np.int64).reshape(docs, buckets // 64)
+
+
 def vertex_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vertex, shingles) for the wanted vertices (vertex, doc_id, text_key: distinct, from a stored table).
+    """(vertex, n, parity, shingles) for the wanted vertices (vertex, doc_id, text_key: distinct, from a stored table).
 
     Texts that are surely not among them do not shuffle.
     """
@@ -138,15 +148,39 @@ def vertex_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in pieces_of(whole, BATCH_BYTES):
                 shingle, _, doc = shingle_sets(batch.column("text"))
-                edge = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))])
+                n = np.bincount(doc, minlength=batch.num_rows)
+                edge = np.concatenate([[0], np.cumsum(n)])
+                odd = set_parities(shingle, doc, batch.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vertex"),
+                    [batch.column("vertex"), pa.array(n),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1) * odd.shape[1], pa.int32()), pa.array(odd.reshape(-1))),
                      pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(shingle.view(np.int64)))],
-                    names=["vertex", "shingles"])
+                    names=["vertex", "n", "parity", "shingles"])
 
     rows = bitfilter.rows_near(with_text_key(docs), "doc_id", wanted.select("doc_id").distinct(), "doc_id")
     rows = rows.dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"])
-    return stored(rows.mapInArrow(tidy(sets), "vertex long, shingles array<long>"), "near-sets")
+    return stored(rows.mapInArrow(tidy(sets), "vertex long, n long, parity array<long>, shingles array<long>"), "near-sets")
+
+
+def _odd():
+    """In how many buckets the columns parity and parity_b differ."""
+    buckets = F.zip_with("parity", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(buckets, F.lit(0), lambda total, x: total + x)
+
+
+def maybe_similar(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) without those whose parities tell that they are not similar.
+
+    Each bucket of other parity holds a shingle that one of the two has and the other has not, and similar sets differ
+    in (1 - similar) / (1 + similar) * (n + m) shingles at most. So no similar pair is lost, and few others take whole sets along.
+    """
+    here = sets.select("vertex", "n", "parity")
+    most = F.lit((1 - similar) / (1 + similar)) * (F.col("n") + F.col("n_b")) + 1e-6
+    return (
+        pairs.select("a", "b").join(here.withColumnRenamed("vertex", "a"), "a")
+        .join(here.withColumnsRenamed({"vertex": "b", "n": "n_b", "parity": "parity_b"}), "b")
+        .where(_odd() <= most).select("a", "b")
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -165,7 +199,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     return (
-        pairs.select("a", "b")
+        maybe_similar(pairs, sets, similar)
         .join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
         .mapInArrow(tidy(test), "a long, b long")
@@ -253,11 +287,6 @@ def differences(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -
         tidy(differ), "vertex long, centre long, linked boolean, only array<long>, parity array<long>"), "near-differences")
 
 
-def _before(order: str, *by: str):
-    """The rows of a group that come before a row."""
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-
 def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: float = SIMILAR,
                different: DataFrame | None = None) -> DataFrame:
     """Pairs of different labels that share a band's centre and may be similar, all similar ones among them.
@@ -285,40 +314,49 @@ def rest_pairs(members: DataFrame, sets: DataFrame, sizes: DataFrame, similar: f
 def met_pairs(members: DataFrame, sizes: DataFrame, different: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """The pairs of rest_pairs as (a, b): those that meet at a difference, each once, and those around a centre.
 
-    A pair may share many centres and many shingles. Each centre alone finds it, and what holds at any shingle
-    that both share holds at the first one as well, where more follows. So it is given
-    only under the first centre that both have, at the first shingle that both have there: each row carries what comes before.
+    A pair may share many centres and many shingles. Each centre alone finds it, so it is given only under the first
+    centre that both have. What holds at any shingle that both share holds at those they shared before as well, where
+    more follows, so they need not meet where both have the same shingle before: of a stretch of shared shingles
+    the first one counts. The join's rows carry their centres and one shingle, not all that comes before, nor the parities:
+    a row stands for one difference, and texts differ in hundreds. Each pair is brought to its parities once.
     """
     # a little more than the exact bounds: they must not fail by rounding
     share, slack = F.lit((1 - similar) / (1 + similar)), 1e-6
+    before = Window.partitionBy("vertex").orderBy("centre").rowsBetween(Window.unboundedPreceding, -1)
     told = stored(
-        different.select("vertex", "centre", F.size("only").alias("apart"), "linked", "parity")
+        different.select("vertex", "centre", F.size("only").alias("apart"), "linked")
         .join(grouped(members), ["vertex", "centre"]).join(sizes, "vertex")
-        .withColumn("centres", F.collect_list("centre").over(_before("centre", "vertex"))), "near-told")
+        .withColumn("centres", F.collect_list("centre").over(before)), "near-told")
     # the exploded rows go through both exchanges with nothing but their keys; those met once only count, as they come first
     each = different.select("vertex", "centre", F.explode("only").alias("shingle"))
     one = Window.partitionBy("vertex", "centre")
+    rarest = one.orderBy("met", "shingle")
     placed = (
         each.withColumn("met", F.count("*").over(Window.partitionBy("centre", "shingle"))).where("met > 1")
-        .withColumn("place", F.row_number().over(one.orderBy("met", "shingle"))).withColumn("common", F.count("*").over(one))
-        .drop("met")
+        .withColumn("place", F.row_number().over(rarest)).withColumn("previous", F.lag("shingle").over(rarest))
+        .withColumn("common", F.count("*").over(one)).drop("met")
     )
     most = F.lit((1 - similar) / similar) * F.col("n") + slack
     prefix = stored(
         placed.join(told, ["vertex", "centre"]).withColumn("place", F.col("apart") - F.col("common") + F.col("place"))
         .where(F.col("place") <= most + 1)
-        .withColumn("shingles", F.collect_list("shingle").over(_before("place", "vertex", "centre")))
-        .select("centre", "shingle", "vertex", "label", "n", "apart", "place", "parity", "centres", "shingles"), "near-rest")
+        .select("centre", "shingle", "vertex", "label", "n", "apart", "place", "previous", "centres"), "near-rest")
     other = lambda df: df.withColumnsRenamed(
-        {c: f"{c}_b" for c in ("vertex", "label", "n", "apart", "place", "parity", "centres", "shingles")})
+        {c: f"{c}_b" for c in ("vertex", "label", "n", "apart", "place", "previous", "centres", "parity")})
     follow = F.least(F.col("apart") - F.col("place"), F.col("apart_b") - F.col("place_b")) + 1
     least = share * (F.col("n") + F.col("n_b"))
-    differ = sum(F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITIES // 64))
+    first = F.coalesce(F.col("previous") != F.col("previous_b"), F.lit(True))
     meeting = prefix.where(F.col("place") <= most / 2 + 1).join(other(prefix), ["centre", "shingle"]).where(
         (F.col("label") != F.col("label_b")) & (F.struct("apart", "vertex") < F.struct("apart_b", "vertex_b"))
         & (F.least("n", "n_b") >= similar * F.greatest("n", "n_b") - slack)
-        & (2 * follow >= F.col("apart") + F.col("apart_b") - least - slack) & (differ <= least + slack)
-        & ~F.arrays_overlap("centres", "centres_b") & ~F.arrays_overlap("shingles", "shingles_b"))
+        & (2 * follow >= F.col("apart") + F.col("apart_b") - least - slack)
+        & first & ~F.arrays_overlap("centres", "centres_b"))
+    parities = different.select("vertex", "centre", "parity")
+    meeting = (
+        meeting.select("centre", "vertex", "vertex_b", least.alias("least")).distinct()
+        .join(parities, ["vertex", "centre"]).join(other(parities), ["vertex_b", "centre"])
+        .where(_odd() <= F.col("least") + slack)
+    )
     around = told.where("linked").select("centre", "vertex", "label", "n", "apart")
     several = around.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
     around = stored(around.join(several, "centre", "left_semi"), "near-around")

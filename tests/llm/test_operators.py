@@ -801,3 +801,35 @@ def test_rest_pairs_of_variants_under_the_threshold(spark):
     wanted = {(a, b) for a, x in sets for b, y in sets if a < b
               and len(set(x) & set(y)) * 10 >= 8 * len(set(x) | set(y))}
     assert wanted <= got and len(wanted) > 1000 and len(got) < 1.25 * len(wanted)
+
+
+def test_rows_of_the_rest_join_do_not_grow_with_the_differences(spark, monkeypatch):
+    """Long lists of differences: a row of the join stands for one of them and carries no list of the others."""
+    rng = np.random.default_rng(6)
+    sets = [(vertex, sorted({*range(600)} - {*map(int, rng.integers(0, 600, 90))} | {1000 + 100 * vertex + k for k in range(40)}))
+            for vertex in range(40)]
+    table = spark.createDataFrame(sets, "vertex long, shingles array<long>")
+    members = table.select(F.lit(1).alias("band"), "vertex", F.col("vertex").alias("label"))
+    tables, store = {}, near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, label: tables.setdefault(label, store(df, label)))
+    near_dedup.rest_pairs(members, table, table.select("vertex", F.size("shingles").alias("n"))).collect()
+    rest = tables["near-rest"]
+    held = sum(F.size(f.name) for f in rest.schema.fields if f.dataType.typeName() == "array")
+    assert rest.count() > 1000 and rest.agg(F.max(held)).first()[0] == 0  # one centre, so none before it
+
+
+def test_pairs_of_long_texts_are_told_apart_without_their_sets(spark):
+    """Texts of thousands of shingles on both sides of the threshold: no similar pair is lost, and few others need their sets compared."""
+    rng = np.random.default_rng(7)
+    sets = [np.array(sorted({*range(3000)} - {*map(int, rng.choice(3000, gone, replace=False))}
+                            | {10_000 + 1000 * vertex + k for k in range(gone)}), np.uint64)
+            for vertex, gone in enumerate([120, 140, 450, 600] * 15)]
+    odd = near_dedup.set_parities(np.concatenate(sets), np.repeat(np.arange(60), [len(x) for x in sets]), 60)
+    table = spark.createDataFrame([(v, len(x), odd[v].tolist(), x.tolist()) for v, x in enumerate(sets)],
+                                  "vertex long, n long, parity array<long>, shingles array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a)], "a long, b long")
+    wanted = {(a, b) for a in range(60) for b in range(a)
+              if len(both := np.intersect1d(sets[a], sets[b])) * 10 >= 8 * (len(sets[a]) + len(sets[b]) - len(both))}
+    got = {tuple(r) for r in near_dedup.maybe_similar(pairs, table).collect()}
+    assert wanted <= got and 200 < len(wanted) < 800 and len(got) < 1.25 * len(wanted)
+    assert {tuple(r) for r in near_dedup.verified(pairs, table).collect()} == wanted
