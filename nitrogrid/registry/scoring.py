@@ -100,7 +100,9 @@ def scenario_offsets(spark, sf):
 def stream_flatten(spark, sf):
     """The embeddings table as a block stream, flattened to Parquet, then read."""
     source = V.table(spark, sf, "embeddings")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    # the table is a file or a folder of files, which a filter on file names would miss; a stream takes
+    # a path to one file only as a pattern
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/embeddings[.]parquet")
     start = F.to_timestamp_ntz(F.lit("2023-08-01 00:00:00"))
     blocks = stream.select(
         "vec_id",
@@ -110,8 +112,9 @@ def stream_flatten(spark, sf):
         F.transform("embedding", lambda x: F.when(x >= -0.2, x)).alias("no2"),
     )
     out = work_path(spark, "stream-flatten")
-    P.start(P.flatten_stream(blocks, keep=["vec_id"]), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select(
+    rows = P.flatten_stream(blocks, keep=["vec_id"])
+    P.start(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows").select(
         "vec_id", F.round("no2", 6).alias("no2"), "latitude", "longitude",
         F.date_format("time", "yyyy-MM-dd").alias("day"),
     )

@@ -1,10 +1,12 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from nitrogrid.operators.air_quality import class_dimension, classify, with_display
 from nitrogrid.plans import scoring as S
+from nitrogrid.registry import scoring as queries
 from nitrogrid.schemas import BATCH_REQUEST, SCORE_REQUEST
 from nitrogrid.sinks.replies import batch_replies, single_replies, write_replies
 from nitrogrid.sources.requests import parse_requests, read_batch_requests, read_requests
@@ -164,3 +166,19 @@ def test_block_stream(spark, tmp_path):
 
 def test_batch_schema_covers_the_request():
     assert BATCH_REQUEST.names[0] == "locations" and "humidity" in BATCH_REQUEST.names
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_flatten_reads_a_table_of_files(spark, tmp_path, files):
+    """The table is one file or a folder of files, and may have no rows."""
+    table = spark.range(6).select(
+        F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast("float"), 64).alias("embedding"), F.lit(1).alias("label"))
+    table = table.filter("vec_id < 0").coalesce(1) if files == 0 else table.repartition(files)
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = queries.stream_flatten(spark, str(tmp_path))
+    assert {r.vec_id: r["count"] for r in rows.groupBy("vec_id").count().collect()} == ({n: 64 for n in range(6)} if files else {})
+    if files == 1:
+        part = next((tmp_path / "embeddings.parquet").glob("part-*.parquet"))
+        (tmp_path / "one").mkdir()
+        shutil.copy(part, tmp_path / "one" / "embeddings.parquet")
+        assert sorted(queries.stream_flatten(spark, str(tmp_path / "one")).collect()) == sorted(rows.collect())
