@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from nitrogrid.operators.nearest import nearest
 from nitrogrid.plans import scoring as S
+from tests.conftest import watch_writes
 
 
 def brute(places, sites):
@@ -61,3 +62,33 @@ def test_cities_take_what_was_seen(spark):
     new_york, montana = rows["New York City"], rows["Rural Montana"]
     assert (new_york.id, new_york.month, new_york.temperature, new_york.humidity) == (1, 1, 25.0, 60.0)
     assert (montana.id, montana.day_of_year, montana.temperature, montana.distance) == (2, 350, -5.0, 0.0)
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_far_places_do_not_meet_all_sites(spark, monkeypatch, dense):
+    """300 places far from 3,000 observations on a lattice, or in three crowded cells: 900,000 pairs in all."""
+    rng = np.random.default_rng(5)
+    places = np.column_stack([rng.uniform(25, 50, 300), rng.uniform(-20, -14, 300)])
+    sites = np.stack(np.meshgrid(25 + np.arange(50) * 0.5, -125 + np.arange(60)), -1).reshape(-1, 2)
+    if dense:
+        sites = np.array([[30.0, -70.0], [40.0, -66.0], [45.0, -90.0]])[np.arange(3000) % 3] + rng.uniform(0, 0.1, (3000, 2))
+    points = spark.createDataFrame(pd.DataFrame(places, columns=["latitude", "longitude"]).rename_axis("id").reset_index())
+    seen = spark.createDataFrame(pd.DataFrame(sites, columns=["latitude", "longitude"]).rename_axis("k").reset_index())
+    with monkeypatch.context() as patch:
+        made = watch_writes(patch)
+        found = nearest(points, seen, "k", ["k"])
+    assert [r.k for r in found.orderBy("id").collect()] == brute(places.tolist(), sites.tolist())
+    # 27,000 rows are the observations in nine cells each
+    assert 300 <= max(made) <= (400_000 if dense else 27_000)
+
+
+def test_many_sites_in_one_cell(spark):
+    """More observed places in a cell than stand in one row, and ties between such rows."""
+    spots = [(30.0 + n * 0.0005, -100.0) for n in range(200)]
+    seen = spark.createDataFrame([(k, *at) for k, at in enumerate(spots)], "k int, latitude double, longitude double")
+    points = spark.createDataFrame([(n, at[0], at[1] + 0.01) for n, at in enumerate(spots)], "id int, latitude double, longitude double")
+    assert [r.k for r in nearest(points, seen, "k", ["k"]).orderBy("id").collect()] == list(range(200))
+    between = spark.createDataFrame([(0, 30.0, -100.0)], "id int, latitude double, longitude double")
+    ring = [(900 - k, 30.0 + (k % 2 * 2 - 1) * 0.0625, -100.0 + (k // 2 - 49) * 0.0009765625) for k in range(198)]
+    sites = spark.createDataFrame(ring, "k int, latitude double, longitude double")
+    assert nearest(between, sites, "k", ["k"]).first().k == min(k for k, _, lon in ring if lon == -100.0)
