@@ -12,7 +12,7 @@ from nitrogrid.operators.boxes import first_box
 from nitrogrid.operators.grid import flatten_grid, valid_blocks
 from nitrogrid.sinks.grids import write_declared_grid
 from nitrogrid.sources.granules import read_blocks
-from tests.conftest import plan_text
+from tests.conftest import most_rows, plan_text, watch_writes
 
 LAT, LON = A.Axis.between(25.0, 27.0, 0.5), A.Axis.between(-125.0, -124.0, 0.25)
 SCHEMA = "event_id int, date date, latitude double, longitude double, no2 double"
@@ -105,3 +105,40 @@ def test_no_boxes(spark):
     table = spark.createDataFrame([], "priority int, lat_lo double, lat_hi double, lon_lo double, lon_hi double, weight double")
     df = spark.createDataFrame([(1, 2.0, 3.0)], "event_id int, latitude double, longitude double")
     assert [tuple(r) for r in first_box(df, table, "event_id").collect()] == [(1, 2.0, 3.0, None, None)]
+
+
+def test_points_do_not_meet_all_boxes_that_hold_them(spark, monkeypatch):
+    """3,000 points at 300 places in 800 wide boxes: 408,000 pairs of a point and a box that holds it."""
+    rng = random.Random(11)
+    spots = [(25 + rng.randrange(100) * 0.25, -125 + rng.randrange(100) * 0.5) for _ in range(300)]
+    points = [(k, *spots[k % 300]) for k in range(3000)]
+    boxes = []
+    for k in range(800):
+        lat, lon = rng.uniform(20, 40), rng.uniform(-130, -85)
+        boxes.append((rng.randrange(400), lat, lat + rng.uniform(5, 15), lon, lon + rng.uniform(20, 30), float(k)))
+    df = spark.createDataFrame(points, "event_id int, latitude double, longitude double")
+    table = spark.createDataFrame(boxes, "priority int, lat_lo double, lat_hi double, lon_lo double, lon_hi double, weight double")
+    with monkeypatch.context() as patch:
+        made = watch_writes(patch)
+        found = first_box(df, table, "event_id")
+        made.append(most_rows(found))
+    def held(la, lo):
+        return min(((b[0], b[5]) for b in boxes if b[1] <= la <= b[2] and b[3] <= lo <= b[4]), default=(None, None))
+
+    assert {r.event_id: (r.priority, r.weight) for r in found.collect()} == {k: held(la, lo) for k, la, lo in points}
+    assert 3000 <= max(made) <= 20_000
+
+
+def test_odd_points_and_boxes(spark):
+    inf, nan = float("inf"), float("nan")
+    points = [(1, 2.0, 2.0), (1, 9.0, 9.0), (2, 9.0, 9.0), (3, inf, 2.0), (3, inf, 2.0), (4, -inf, 2.0), (None, 2.0, 2.0),
+              (5, nan, 2.0), (6, None, 2.0), (7, -0.0, 0.0), (8, 5e9, -5e9), (9, 50.0, 50.0)]
+    boxes = [(5, 1.0, 3.0, 1.0, 3.0, 1.0), (4, 8.0, 9.0, 9.0, 9.0, None), (4, 8.0, 9.0, 9.0, 9.0, 2.0), (6, 0.0, 0.0, -0.0, 0.0, 3.0),
+             (7, 4e9, 6e9, -6e9, -4e9, 4.0), (None, 50.0, 60.0, 50.0, 60.0, 5.0), (1, 50.0, 60.0, 50.0, 60.0, 6.0),
+             (0, 3.0, 1.0, 1.0, 3.0, 7.0), (0, None, 3.0, 1.0, 3.0, 8.0)]
+    df = spark.createDataFrame(points, "event_id int, latitude double, longitude double")
+    table = spark.createDataFrame(boxes, "priority int, lat_lo double, lat_hi double, lon_lo double, lon_hi double, weight double")
+    got = sorted(((r.event_id, r.latitude, r.priority, r.weight) for r in first_box(df, table, "event_id").collect()), key=str)
+    held = {1: (4, None), 2: (4, None), 7: (6, 3.0), 8: (7, 4.0), 9: (None, 5.0)}
+    assert str(got) == str(sorted(((k, la, *held.get(k, (None, None))) for k, la, _ in points), key=str))
+    assert first_box(df.filter("event_id > 90"), table, "event_id").count() == 0
